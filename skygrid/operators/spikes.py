@@ -158,7 +158,14 @@ def rain_spikes(v: np.ndarray, sid: np.ndarray, groups: int, calm: np.ndarray) -
     change = np.ones(n, bool)
     change[1:] = (cand[1:] != cand[:-1]) | (sid[1:] != sid[:-1])
     st, ln = runs(change)
-    return cand & np.repeat(ln <= 2, ln)
+    # the details that open and close it stand out of the series' own
+    d = haar_detail(v, sid)
+    have = np.isfinite(d) & calm
+    bound = DETAIL_Z * 1.4826 * np.nan_to_num(group_median(sid[have], np.abs(d[have]), groups))
+    after = np.append(d, np.nan)[st + ln]
+    opens = ~(d[st] <= bound[sid[st]])
+    closes = ~(after >= -bound[sid[st]])
+    return cand & np.repeat((ln <= 2) & opens & closes, ln)
 
 
 def flag(s: Series) -> pa.RecordBatch | None:
