@@ -43,7 +43,7 @@ def p2_consolidated(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     r = rolling(table(spark, d, "grid_obs"), table(spark, d, "imd_objects"))
-    rounded = {c: F.round(c, 4) for c in ("sum_7", "mean_7", "sum_30", "mean_30")}
+    rounded = {c: F.round(c, 6) for c in ("sum_7", "mean_7", "sum_30", "mean_30")}
     return r.withColumns(rounded)
 
 
@@ -112,8 +112,8 @@ u AS (SELECT object_id, lon_i, lat_i, pos, CAST(NULL AS DOUBLE) AS v FROM sp UNI
 y AS (SELECT object_id, lon_i, lat_i, pos, max(v) AS v FROM u GROUP BY object_id, lon_i, lat_i, pos),
 x AS (SELECT y.*, o.s FROM y JOIN o ON o.object_id = y.object_id WHERE pos BETWEEN 0 AND n_days - 1)
 SELECT object_id, lon_i, lat_i, pos, s + pos AS day,
-       round(sum(v) OVER w7, 4) AS sum_7, round(avg(v) OVER w7, 4) AS mean_7, count(v) OVER w7 AS n_7,
-       round(sum(v) OVER w30, 4) AS sum_30, round(avg(v) OVER w30, 4) AS mean_30, count(v) OVER w30 AS n_30
+       round(sum(v) OVER w7, 6) AS sum_7, round(avg(v) OVER w7, 6) AS mean_7, count(v) OVER w7 AS n_7,
+       round(sum(v) OVER w30, 6) AS sum_30, round(avg(v) OVER w30, 6) AS mean_30, count(v) OVER w30 AS n_30
 FROM x
 WINDOW w7 AS (PARTITION BY object_id, lon_i, lat_i ORDER BY pos ROWS 6 PRECEDING),
        w30 AS (PARTITION BY object_id, lon_i, lat_i ORDER BY pos ROWS 29 PRECEDING)
