@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrid.llm import digests, runs
+from skygrid.llm import digests, leakage, runs, stuffing
 from skygrid.session import table
 
 
@@ -37,6 +37,19 @@ def p5_combined(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "eval_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed(table(spark, d, "documents")).where("found").select("doc_id")
+
+
+def p8_features(spark: SparkSession, d: str) -> DataFrame:
+    """The measures behind p8_found, of every document."""
+    return stuffing.stuffed(table(spark, d, "documents"))
+
+
 _READINGS = """r AS (
   SELECT object_id, lon_i, lat_i, pos, min(var) AS var, min(value) AS v FROM grid_obs
   WHERE value IS NOT NULL AND value <> -999 GROUP BY object_id, lon_i, lat_i, pos)"""
@@ -65,5 +78,5 @@ SELECT 'all' AS grain, var, CAST(NULL AS INT) AS lon_i, CAST(NULL AS INT) AS lat
 UNION ALL SELECT 'cell', var, lon_i, lat_i, NULL, count(*), true FROM x GROUP BY var, lon_i, lat_i
 UNION ALL SELECT 'day', var, NULL, NULL, day, count(*), true FROM x GROUP BY var, day"""
 
-QUERIES = {"p4_found": p4_found, "p4_events": p4_events, "p5_percentiles": p5_percentiles, "p5_certified": p5_certified, "p5_combined": p5_combined}
+QUERIES = {"p4_found": p4_found, "p4_events": p4_events, "p5_percentiles": p5_percentiles, "p5_certified": p5_certified, "p5_combined": p5_combined, "p6_found": p6_found, "p8_found": p8_found, "p8_features": p8_features}
 SQL = {"p4_found": P4_FOUND_SQL, "p4_events": P4_EVENTS_SQL, "p5_certified": P5_CERTIFIED_SQL}
