@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrid.llm import digests, leakage, runs, stuffing
+from skygrid.llm import digests, leakage, mixing, runs, stuffing
 from skygrid.session import table
 
 
@@ -41,6 +41,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "eval_id")
 
 
+def p7_uses(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    uses, about = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.shares(uses, table(spark, d, "mix_targets"), about["tokenizer"])
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed(table(spark, d, "documents")).where("found").select("doc_id")
 
@@ -78,5 +87,5 @@ SELECT 'all' AS grain, var, CAST(NULL AS INT) AS lon_i, CAST(NULL AS INT) AS lat
 UNION ALL SELECT 'cell', var, lon_i, lat_i, NULL, count(*), true FROM x GROUP BY var, lon_i, lat_i
 UNION ALL SELECT 'day', var, NULL, NULL, day, count(*), true FROM x GROUP BY var, day"""
 
-QUERIES = {"p4_found": p4_found, "p4_events": p4_events, "p5_percentiles": p5_percentiles, "p5_certified": p5_certified, "p5_combined": p5_combined, "p6_found": p6_found, "p8_found": p8_found, "p8_features": p8_features}
+QUERIES = {"p4_found": p4_found, "p4_events": p4_events, "p5_percentiles": p5_percentiles, "p5_certified": p5_certified, "p5_combined": p5_combined, "p6_found": p6_found, "p7_uses": p7_uses, "p7_shares": p7_shares, "p8_found": p8_found, "p8_features": p8_features}
 SQL = {"p4_found": P4_FOUND_SQL, "p4_events": P4_EVENTS_SQL, "p5_certified": P5_CERTIFIED_SQL}
