@@ -11,7 +11,9 @@
    earlier steps from the gradients, so no rate is stored between passes.
 4. The mix must have the target shares by delivered source, so a last shift per
    source, found by passes over a grid of shifts, makes those totals exact.
-5. Rates become whole uses by error diffusion of tokens within hash-ordered buckets.
+5. Rates become whole uses by error diffusion of tokens within hashed buckets, the
+   longest texts first: neighbours are of like length, so no length is favoured, and
+   what is owed at the end is less than half of a bucket's shortest texts.
 
 The total is the largest that the caps allow (times fill). Sources without any
 token take no part and the others' shares are renormalised; their actual share is 0.
@@ -301,7 +303,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer_path: str = TOKENIZE
     order = F.xxhash64("doc_id")
     rated = soft.mapInArrow(_rates(spark.sparkContext.broadcast(fit), k), "doc_id long, source string, s int, tokens long, rate double")
     rated = rated.withColumns({"bucket": F.pmod(order, per.cast("long")).cast("int"), "o": F.xxhash64("doc_id", F.lit(1))})
-    uses = rated.repartition("s", "bucket").sortWithinPartitions("s", "bucket", "o", "doc_id").mapInArrow(_round, "doc_id long, source string, tokens long, rate double, uses long")
+    uses = rated.repartition("s", "bucket").sortWithinPartitions("s", "bucket", F.desc("tokens"), "o", "doc_id").mapInArrow(_round, "doc_id long, source string, tokens long, rate double, uses long")
     return uses, {"tokenizer": os.path.basename(tokenizer_path), "total": total, "objective": history, "temperature": temperature, "accuracy": best["hits"] / max(best["n"], 1) if best else None}
 
 
