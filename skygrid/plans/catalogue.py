@@ -1,6 +1,6 @@
 """All queries of the core, by name, with their SQL."""
 
-from skygrid.plans import quality
+from skygrid.plans import climate, quality
 
-QUERIES = {**quality.QUERIES}
-SQL = {**quality.SQL}
+QUERIES = {**climate.QUERIES, **quality.QUERIES}
+SQL = {**climate.SQL, **quality.SQL}
