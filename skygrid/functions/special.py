@@ -49,13 +49,17 @@ def lgamma(x: Column) -> Column:
     return F.lit(0.9189385332046727) + (y + 0.5) * F.log(t) - t + F.log(s)
 
 
-def gamma_cdf(x: Column, shape: Column, scale: Column, terms: int = 300) -> Column:
-    """Gamma distribution function by its power series: each term is the one before times z / (shape + n)."""
+def gamma_cdf(x: Column, shape: Column, scale: Column, terms: int = 600) -> Column:
+    """Gamma distribution function by its power series: each term is the one before times z / (shape + n).
+
+    The terms rise while n < z - shape and then fall off within a few square roots of
+    z; as many are added as that takes, at most `terms`.
+    """
     z = x / scale
     first = F.exp(-z + shape * F.log(z) - lgamma(shape + 1.0))
     state = F.struct(first.alias("term"), first.alias("total"))
     done = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms - 1)),
+        F.sequence(F.lit(1), F.least(F.lit(terms), F.ceil(F.greatest(z - shape, F.lit(0.0)) + 8.0 * F.sqrt(z) + 30.0).cast("int"))),
         state,
         lambda acc, n: F.struct((acc["term"] * z / (shape + n)).alias("term"), (acc["total"] + acc["term"] * z / (shape + n)).alias("total")),
         lambda acc: F.least(acc["total"], F.lit(1.0)),

@@ -221,10 +221,10 @@ SELECT lon_i, lat_i, m, round({ppf_text("h")}, 4) + 0.0 AS spei FROM h""",
 )
 _add(
     "drought_class",
-    lambda s, d: drought.spi(grid(s, d, "rain")).withColumn("spi", F.round("spi", 4)).withColumn("class", drought.drought_class(F.col("spi"))).where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("n")),
+    lambda s, d: drought.spi(grid(s, d, "rain")).withColumn("spi", F.round("spi", 4)).withColumn("class", drought.drought_class(F.col("spi"))).groupBy("class").agg(F.count(F.lit(1)).alias("n")),
     "SELECT CASE WHEN spi <= -2 THEN 'extreme' WHEN spi <= -1.5 THEN 'severe' WHEN spi < -1 THEN 'moderate' WHEN spi <= 1 THEN 'normal' WHEN spi >= 2 THEN 'extremely wet' END AS class, count(*) AS n FROM ("
     + SQL["spi"]
-    + ") WHERE spi <= 1 OR spi >= 2 GROUP BY 1",
+    + ") GROUP BY 1",
 )
 
 # rasters
@@ -297,3 +297,38 @@ x AS (SELECT lon_i, lat_i, max(elev) AS elev, max(km) AS km FROM (SELECT lon_i,
 SELECT c.lon_i, c.lat_i, CAST(CASE WHEN elev IS NULL THEN -1 WHEN elev >= 1000 THEN 1 WHEN km <= 50 THEN 2 ELSE 0 END AS INT) AS region FROM dim_cell c JOIN x ON x.lon_i = c.lon_i AND x.lat_i = c.lat_i""",
 )
 _add("fixture", lambda s, d: rows(s, d), f"WITH {FX} SELECT lon_i, lat_i, lon, lat, pos, is_land, region, rain, tmax, tmin FROM fx")
+
+
+def _grd_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The fixture's maximum temperature for one year, written as a raster file on the catalogued grid and read back."""
+    import datetime as dt
+
+    from skygrid.model import ARCHIVE, GridFrame, Meta
+    from skygrid.session import fresh_dir
+    from skygrid.sources.grd import _load
+    from skygrid.sources.sinks import to_grd
+
+    folder = fresh_dir(spark, "grd").removeprefix("file://")
+    g = grid(spark, d, "tmax")
+    year = GridFrame(g.df.where("pos < 365"), Meta("tmax", dt.date(1991, 1, 1), dt.date(1991, 12, 31), ARCHIVE["tmax"]))
+    to_grd(year, folder).collect()
+    back, _ = _load(spark, "tmax", 1991, None, "yearly", folder)
+    return _rounded(back.where("lon_i < 4 and lat_i < 3 and date between '1991-02-01' and '1991-03-31'").select("lon_i", "lat_i", "pos", "date", "value"), 4, "value")
+
+
+_add("grd_scan", _grd_scan, f"WITH {FX} SELECT lon_i, lat_i, pos, date, round(tmax, 4) + 0.0 AS value FROM fx WHERE date BETWEEN DATE '1991-02-01' AND DATE '1991-03-31'")
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    from skygrid.streaming.ingest import daily_totals
+
+    return _rounded(daily_totals(table(spark, d, "grid_obs"), window="30 days").select(F.to_date("window_start").alias("window_start"), "var", "readings", "at_least_2_5", "total"), 4, "total")
+
+
+_add(
+    "ingest_totals",
+    _streamed,
+    """WITH v AS (SELECT object_id, lon_i, lat_i, pos, min(var) AS var, min(value) AS value, count(DISTINCT CAST(floor((epoch(loaded_at)) / 2592000) AS BIGINT)) AS k, min(loaded_at) AS t FROM grid_obs
+WHERE value IS NOT NULL AND value <> -999 AND loaded_at IS NOT NULL GROUP BY object_id, lon_i, lat_i, pos)
+SELECT DATE '1970-01-01' + CAST(floor(epoch(t) / 2592000) AS INT) * 30 AS window_start, var, count(*) AS readings, count(*) FILTER (WHERE value >= 2.5) AS at_least_2_5, round(sum(value), 4) + 0.0 AS total FROM v GROUP BY 1, 2""",
+)
