@@ -286,7 +286,11 @@ def digests(blocks: DataFrame, grains: Sequence[str], delta: float = DELTA) -> D
 
 
 def roll_up(kept: DataFrame, delta: float = DELTA) -> DataFrame:
-    """Digests kept per object, day or cell combined into those of each variable as a whole."""
+    """Digests kept per object, day or cell combined into those of each variable as a whole.
+
+    Digests per day lack the readings of unknown objects: certify their sum over the
+    blocks whose start is known.
+    """
     whole = kept.withColumns({"grain": F.lit(GRAINS["all"]), "a": F.lit(0).cast("long"), "b": F.lit(0).cast("long"), "salt": F.pmod(F.xxhash64("a", "b"), F.lit(SALT)).cast("int")})
     return merge(whole.select(*DIGEST.names), delta)
 
@@ -314,7 +318,13 @@ def _count(grains: Sequence[int], sent) -> Callable:
         below, upto = np.zeros((size, ps), np.int64), np.zeros((size, ps), np.int64)
         for part in _by_size(batches, 4, 400_000):
             for own, g, v in _keys(part, grains):
-                to = np.array([index[tuple(k)] for k in own.tolist()])
+                to = np.array([index.get(tuple(k), -1) for k in own.tolist()])
+                if (to < 0).any():  # groups without estimate are not asked for
+                    at = np.flatnonzero(to >= 0)
+                    new = np.full(to.size, -1)
+                    new[at] = np.arange(at.size)
+                    keep = new[g] >= 0
+                    g, v, to = new[g[keep]], v[keep], to[at]
                 for j in range(ps):
                     e = est[to, j][g]
                     below[to, j] += np.bincount(g[v < e], minlength=to.size)

@@ -28,7 +28,7 @@ def p5_certified(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_combined(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each variable from the digests kept per object and from those kept per day, each certified."""
-    blocks = digests.readings(table(spark, d, "grid_obs"), table(spark, d, "imd_objects"))
+    blocks = digests.readings(table(spark, d, "grid_obs"), table(spark, d, "imd_objects")).where("start is not null")
     parts = []
     for grain in ("object", "day"):
         whole = digests.roll_up(digests.digests(blocks, [grain]))
