@@ -97,18 +97,19 @@ def day_blocks(files: DataFrame) -> DataFrame:
     )
 
 
-def kept_blocks(files: DataFrame) -> DataFrame:
+def kept_blocks(files: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """The blocks and parts of blocks to copy: every distinct record once, with the first file that carried it.
 
     parts is NULL for a block copied whole, else the records to copy as (cell, 4 bytes).
     Equal versions of a day collapse before the shuffle; the records of differing
     versions are reduced to their first carrier with map-side aggregation, so no
-    object, day or value can gather an unbounded group in one task.
+    object, day or value can gather an unbounded group in one task. The distinct
+    versions are written once to the shared folder, since three branches read them.
     """
     dated = day_blocks(files).where(F.col("day").isNotNull())
     key = ["object_id", "day"]
     first = dated.groupBy(*key, "n_lat", "n_lon", "block").agg(F.min(F.struct("file_id", "cat")).alias("f"))
-    first = first.select(*key, "n_lat", "n_lon", "block", F.col("f.file_id").alias("file_id"), F.col("f.cat").alias("cat"))
+    first = materialise(first.select(*key, "n_lat", "n_lon", "block", F.col("f.file_id").alias("file_id"), F.col("f.cat").alias("cat")), "versions", scratch)
     versions = first.groupBy(*key).agg(F.count(F.lit(1)).alias("versions"))
     first = first.join(versions, key)
     whole = first.where("versions = 1").select("cat", *key, "file_id", "n_lat", "n_lon", "block", F.lit(None).cast("array<struct<cell:int,raw:binary>>").alias("parts"))
@@ -210,7 +211,7 @@ def consolidate(files: DataFrame, objects: DataFrame, out_dir: str | None = None
     spark = files.sparkSession
     out_dir = out_dir or fresh_dir(spark, "consolidated")
     scratch: list[str] = []
-    kept = materialise(kept_blocks(files), "kept-blocks", scratch)
+    kept = materialise(kept_blocks(files, scratch), "kept-blocks", scratch)
     size = F.when(F.col("parts").isNull(), F.length("block")).otherwise(4 * F.size("parts"))
     year = F.year("day")
     totals = kept.groupBy("cat", year.alias("year")).agg(F.sum(size).alias("total"), F.count(F.lit(1)).alias("n"))
