@@ -52,3 +52,22 @@ def year_bucket(pos: Column, year0: int) -> Column:
 def month_bucket(pos: Column, year0: int) -> Column:
     p = pseudo_date(pos, year0)
     return (F.year(p) - F.lit(year0)) * 12 + F.month(p) - 1
+
+
+def year_ends(start: dt.date, end: dt.date) -> list[int]:
+    """Days up to the end of each calendar year from that of start to that of end, counted by position."""
+    out, total = [], 0
+    for y in range(start.year, end.year + 1):
+        total += 366 if is_leap(y) else 365
+        out.append(total)
+    return out
+
+
+def month_ends(start: dt.date, end: dt.date) -> list[int]:
+    """Days up to the end of each month of those years, counted by position."""
+    out, total = [], 0
+    for y in range(start.year, end.year + 1):
+        for m in range(1, 13):
+            total += total_days(dt.date(y, m, 1), dt.date(y + m // 12, m % 12 + 1, 1)) - 1
+            out.append(total)
+    return out

@@ -82,7 +82,7 @@ def day_blocks(files: DataFrame) -> DataFrame:
     ).where(
         F.col("file_id").isNotNull()
         & F.col("object_id").isNotNull()
-        & (F.col("no_days") > 0)
+        & (F.least("no_days", "n_lat", "n_lon") > 0)
         & (F.length("payload") > 0)
         & (F.length("payload") == F.col("no_days") * cells * 4)
     )
@@ -212,6 +212,7 @@ def consolidate(files: DataFrame, objects: DataFrame, out_dir: str | None = None
     out_dir = out_dir or fresh_dir(spark, "consolidated")
     scratch: list[str] = []
     kept = materialise(kept_blocks(files, scratch), "kept-blocks", scratch)
+    remove(spark, scratch.pop(0))  # the versions are no longer needed
     size = F.when(F.col("parts").isNull(), F.length("block")).otherwise(4 * F.size("parts"))
     year = F.year("day")
     totals = kept.groupBy("cat", year.alias("year")).agg(F.sum(size).alias("total"), F.count(F.lit(1)).alias("n"))

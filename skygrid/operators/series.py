@@ -224,7 +224,11 @@ def per_series(blocks: DataFrame, fn: Callable[[Series], pa.RecordBatch | None],
 
 
 def with_objects(blocks: DataFrame, objects: DataFrame) -> DataFrame:
-    """Add start_day and days (from start_day and end_day, which are right where no_days is not) of each block's object."""
-    start, end = F.to_date(F.substring("start_day", 1, 10)), F.to_date(F.substring("end_day", 1, 10))
-    o = objects.where(F.col("object_id").isNotNull()).groupBy(F.col("object_id").cast("long").alias("object_id")).agg(F.min(start).alias("start_date"), F.max(F.datediff(end, start) + 1).alias("days"))
+    """Add start_date and days (from start_day and end_day, which are right where no_days is not) of each block's object.
+
+    An end before the start is no day at all; what is no date is NULL, as for an unknown object.
+    """
+    start, end = (F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")).cast("date") for c in ("start_day", "end_day"))
+    days = F.greatest(F.datediff(end, start) + 1, F.lit(0))
+    o = objects.where(F.col("object_id").isNotNull()).groupBy(F.col("object_id").cast("long").alias("object_id")).agg(F.min(start).alias("start_date"), F.max(F.when(start.isNotNull() & end.isNotNull(), days)).alias("days"))
     return blocks.join(o, "object_id", "left")

@@ -49,6 +49,15 @@ def materialise(df: DataFrame, purpose: str, drop_after: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where the input has fewer pieces than those, for work that costs much more than moving the rows.
+
+    Only an input of fewer splits than cores is moved, so at most that many splits' worth of rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system of its scheme."""
     jvm = spark.sparkContext._jvm
