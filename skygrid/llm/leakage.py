@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skygrid.llm.words import fold, unescape
+from skygrid.session import spread
 
 RUNNING, EIGHTH = 12, 8
 Q = 10
@@ -247,9 +248,19 @@ def _bands(index: Index, docs: list, at: np.ndarray, doc: np.ndarray, lo: np.nda
             yield dd, k, *got
 
 
+_LAST: list = []
+
+
+def _index(items: list[tuple[int, str]]) -> Index:
+    """The index of a block of items, kept by a Python worker for its next task."""
+    if not _LAST or _LAST[0] != items:
+        _LAST[:] = [items, Index(items)]
+    return _LAST[1]
+
+
 def _find(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(sent.value)
+        index = _index(sent.value)
         docs, chars = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -281,7 +292,7 @@ def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS
     repeated rows give the pair once; empty tables give no rows.
     """
     spark = documents.sparkSession
-    rows = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = spread(documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     blocks, block, size = [], [], 0
     for r in items.where(F.col("text").isNotNull() & F.col("eval_id").isNotNull()).select(F.col("eval_id").cast("long").alias("eval_id"), "text").toLocalIterator():
         if block and size + len(r["text"]) > block_chars:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skygrid.llm.words import fold
-from skygrid.session import materialise
+from skygrid.session import materialise, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 FEATURES = 1 << 14
@@ -260,7 +260,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer_path: str = TOKENIZE
     sources = sorted(wanted)
     k = len(sources)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    docs = materialise(rows.mapInArrow(_prepare(tokenizer_path, sources), DOCS), "mix-docs")
+    docs = materialise(spread(rows).mapInArrow(_prepare(tokenizer_path, sources), DOCS), "mix-docs")
     counts = docs.where("fold > 0").select("s", "words").mapInArrow(_count(k + 1), "s int, f int, n long").groupBy("s", "f").agg(F.sum("n").alias("n")).collect()
     model = Classifier([tuple(r) for r in counts], k + 1)
     sent = spark.sparkContext.broadcast(model)

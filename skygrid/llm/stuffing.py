@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skygrid.llm.words import FUNCTION_WORDS, LINK, STATEMENT, TAGS, fold, unescape
+from skygrid.session import spread
 
 SHARE = 2 / 3
 WINDOW = 9
@@ -213,7 +214,7 @@ def _calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def calibrate(documents: DataFrame, text: str = "text") -> dict[str, float]:
     """Function-word threshold per language from the density histograms of all documents (at most 7 x BINS counts come back)."""
-    rows = documents.select(text).mapInArrow(_calibrate, "language string, bin int, n long").groupBy("language", "bin").agg(F.sum("n").alias("n")).collect()
+    rows = spread(documents.select(text)).mapInArrow(_calibrate, "language string, bin int, n long").groupBy("language", "bin").agg(F.sum("n").alias("n")).collect()
     out = {}
     for lang in {r["language"] for r in rows}:
         hist = np.zeros(BINS)
@@ -246,5 +247,5 @@ def stuffed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Labels and other columns are not looked at.
     """
     thresholds = calibrate(documents, text)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     return rows.mapInArrow(_flag(thresholds), FEATURES)
