@@ -134,8 +134,8 @@ def temperature_spikes(v: np.ndarray, sid: np.ndarray, pos: np.ndarray, groups:
 def rain_spikes(v: np.ndarray, sid: np.ndarray, groups: int, calm: np.ndarray) -> np.ndarray:
     """Readings at least RAIN_RATIO times the largest reading of their series apart from cases, back at the level within two days.
 
-    Going down from a series' largest readings, the deepest gap of that ratio above
-    the upper tenth of its wet readings separates the cases from the weather.
+    Going down from a series' largest readings, the deepest gap of that ratio within
+    the upper third of its wet readings separates the cases from the weather.
     """
     n = v.size
     out = np.zeros(n, bool)
@@ -149,7 +149,7 @@ def rain_spikes(v: np.ndarray, sid: np.ndarray, groups: int, calm: np.ndarray) -
     rank = np.arange(order.size) - start[s]
     below = np.append(x[1:], 0.0)
     below[np.append(s[1:] != s[:-1], True)] = 0.0
-    gap = (x >= RAIN_RATIO * below) & (below > 0) & (rank < np.maximum(wet[s] // 10, 1))
+    gap = (x >= RAIN_RATIO * below) & (below > 0) & (rank < np.maximum(wet[s] // 3, 1))
     last = np.full(groups, -1)
     np.maximum.at(last, s[gap], rank[gap])
     cand = np.zeros(n, bool)
