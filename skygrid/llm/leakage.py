@@ -36,6 +36,8 @@ BAND = 64
 BLOCK_CHARS = 2_000_000
 #: Characters of documents that one vectorised step looks up.
 STEP_CHARS = 4_000_000
+#: A longer text is searched in windows of so many words that overlap by more than any qualifying stretch needs.
+WINDOW_WORDS, OVERLAP_WORDS = 20_000, 200
 PAIRS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("eval_id", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("edits", T.IntegerType())])
 
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|font|small|mark|sub|sup|a|tt|code)\b[^<>]*>", re.I)
@@ -54,6 +56,12 @@ def words_of(text: str | None) -> list[str]:
     return [w.replace("_", "") for w in _WORD.findall(fold(t)) if w != "_"]
 
 
+def windows(words: list[str]) -> list[list[str]]:
+    """All words, in overlapping windows; a qualifying stretch has fewer than OVERLAP_WORDS words and so lies whole in one of them."""
+    step = WINDOW_WORDS - OVERLAP_WORDS
+    return [words[i : i + WINDOW_WORDS] for i in range(0, max(len(words) - OVERLAP_WORDS, 1), step)]
+
+
 def _codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
 
@@ -270,12 +278,12 @@ def _find(sent):
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = words_of(t)
-                docs.append((i, w))
-                chars += sum(map(len, w))
-                if chars >= STEP_CHARS:
-                    yield flush()
-                    docs, chars = [], 0
+                for w in windows(words_of(t)):
+                    docs.append((i, w))
+                    chars += sum(map(len, w))
+                    if chars >= STEP_CHARS:
+                        yield flush()
+                        docs, chars = [], 0
         if docs:
             yield flush()
 

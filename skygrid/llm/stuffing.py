@@ -155,12 +155,13 @@ def _repeated(words: list[str]) -> np.ndarray:
 def _chains(words: list[str], stated: np.ndarray) -> np.ndarray:
     """Words in chains of one recurring content word with no statement between."""
     out = np.zeros(len(words), bool)
-    count = Counter(words)
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(i)
     said = np.concatenate([[0], np.cumsum(stated)])
-    for w, c in count.items():
-        if c <= CHAIN_LINKS or w in _FUNCTION:
+    for w, at in places.items():
+        if len(at) <= CHAIN_LINKS or w in _FUNCTION:
             continue
-        at = [i for i, x in enumerate(words) if x == w]
         linked = [b - a <= CHAIN_GAP and said[b] == said[a] for a, b in zip(at, at[1:])] + [False]
         begin = 0
         for k, fine in enumerate(linked):

@@ -167,6 +167,13 @@ def test_tiny_items_long_texts_and_empty_tables(spark):
     assert pairs(spark, [], (ITEM,)) == [] and pairs(spark, [ITEM], ()) == []
 
 
+def test_long_texts_are_searched_in_windows(spark):
+    w = [f"x{i}" for i in range(60_500)]
+    for at in (0, 19_790, 39_795, 60_480):
+        text = w[:at] + ITEM.split()[:14] + w[at:]
+        assert pairs(spark, [" ".join(text)], (ITEM,)) == [(0, 100)]
+
+
 def test_bound_never_exceeds_what_is_kept():
     r = random.Random(3)
     for _ in range(200):
@@ -256,6 +263,8 @@ def test_stuffing(spark):
 
 def test_long_text_is_judged_whole():
     th = {"en": 0.15}
+    many = " ".join(f"w{i % 30000} the" for i in range(100_000))
+    assert stuffing.measure(many, th)["words"] == 200_000
     honest = "I ordered the green one for use in the shed and it has survived every storm. "
     assert not stuffing.measure(STUFFED[0] + ". " + honest * 3000, th)["found"]
     assert stuffing.measure(honest + "buy rain gauge cheap hose " * 20000, th)["found"]
