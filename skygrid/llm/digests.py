@@ -34,7 +34,7 @@ HELD = 2_000_000
 #: Tasks' digests of one variable as a whole are merged in so many parts first.
 SALT = 32
 #: Groups whose estimates may be sent to every task for the counting pass; beyond it they are joined. 24 doubles each.
-SENT_GROUPS = 500_000
+SENT_GROUPS = 200_000
 
 DIGEST = T.StructType(
     [
