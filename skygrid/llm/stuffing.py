@@ -21,6 +21,7 @@ the text holds most of, since labels are often missing or wrong.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skygrid.llm.words import FUNCTION_WORDS, LINK, STATEMENT, TAGS, fold, unescape
-from skygrid.session import spread
+from skygrid.session import materialise, spread
 
 SHARE = 2 / 3
 WINDOW = 9
@@ -48,11 +49,14 @@ SHORT = 12
 #: A chain: occurrences of the same content word at most so far apart, at least so many in a row.
 CHAIN_GAP, CHAIN_LINKS = 8, 3
 BINS = 100
+#: Numbers of function words in a window below which a threshold can lie.
+LEVELS = 4
 
 _LISTS = {lang: frozenset(fold(w) for w in ws.split()) for lang, ws in FUNCTION_WORDS.items()}
 _FUNCTION = frozenset().union(*_LISTS.values())
 _OF = {w: tuple(sorted(lang for lang, ws in _LISTS.items() if w in ws)) for w in _FUNCTION}
 _LINK = "\x01"
+_MAYBE_LINK = re.compile(r"\w\.[a-z]|://|www", re.I)
 _TOKEN = re.compile("\x02|[#@]?[\\wऀ-෿$@!|]*[\\wऀ-෿][\\wऀ-෿$@'’]*(?:[-.][\\wऀ-෿$@]+)*")
 _ANCHOR = re.compile(r"<a\b[^<>]*href[^<>]*>(.*?)</a\s*>", re.I | re.S)
 _MARKDOWN = re.compile(r"\[([^\[\]]*)\]\(\s*([^()\s]+)\s*\)")
@@ -74,8 +78,7 @@ FEATURES = T.StructType(
         T.StructField("duplicate_line_share", T.DoubleType()),
         T.StructField("link_share", T.DoubleType()),
         T.StructField("separator_density", T.DoubleType()),
-        T.StructField("stuffed_share", T.DoubleType()),
-        T.StructField("found", T.BooleanType()),
+        T.StructField("stuffed_by_level", T.ArrayType(T.DoubleType())),
     ]
 )
 
@@ -83,10 +86,12 @@ FEATURES = T.StructType(
 def split(text: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
     """Folded words (links as one), lines, which words are links, tags or anchor text, and the item (between separators) of each word."""
     t = unescape(text)
-    t = _ANCHOR.sub(lambda m: f" \x01{m[1]}\x01 ", t)
-    t = _MARKDOWN.sub(lambda m: f" \x01{m[1]}\x01 ", t)
-    t = TAGS.sub(" ", t)
-    t = LINK.sub(" \x01\x01 ", t)
+    if "<" in t:
+        t = TAGS.sub(" ", _ANCHOR.sub(lambda m: f" \x01{m[1]}\x01 ", t))
+    if "](" in t:
+        t = _MARKDOWN.sub(lambda m: f" \x01{m[1]}\x01 ", t)
+    if _MAYBE_LINK.search(t):
+        t = LINK.sub(" \x01\x01 ", t)
     lines = [x for x in (fold(y).strip() for y in re.split(r"[\n.!?।]+", t)) if x]
     t = _SEPARATOR.sub(" \x02 ", t)
     # an anchor's text sits between two marks and counts as one link with its words
@@ -113,8 +118,8 @@ def split(text: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
 def _items(item: np.ndarray, fn: np.ndarray, forced: np.ndarray) -> np.ndarray:
     """Words of short items without function words, of which several follow each other."""
     n = item.size
-    if not n:
-        return np.zeros(0, bool)
+    if item[-1] < ITEMS - 1:
+        return np.zeros(n, bool)
     start = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
     size = np.diff(np.append(start, n))
     bare = (size <= ITEM_WORDS) & (np.add.reduceat(fn, start) == 0) | np.logical_and.reduceat(forced, start)
@@ -145,6 +150,8 @@ def _repeated(words: list[str]) -> np.ndarray:
     out = np.zeros(n, bool)
     for size, least in ((3, 2), (2, 3)):
         grams = list(zip(*(words[k:] for k in range(size))))
+        if len(set(grams)) == len(grams):
+            continue
         count = Counter(grams)
         for i, g in enumerate(grams):
             if count[g] >= least:
@@ -172,50 +179,61 @@ def _chains(words: list[str], stated: np.ndarray) -> np.ndarray:
     return out
 
 
-def measure(text: str | None, thresholds: dict[str, float] | None = None) -> dict:
-    """All features of one text. Without thresholds only language, words and function_share."""
+def measure(text: str | None) -> dict:
+    """All features of one text; stuffed_by_level[k] is its stuffed share if windows of fewer than k + 1 function words lack them."""
     words, lines, forced, item = split(text or "")
     n = len(words)
-    fn = np.array([w in _FUNCTION for w in words], float)
-    lang = language(words)
-    # density over the words that are no links: what calibration and window look at
+    if not n:
+        return dict.fromkeys(FEATURES.names, 0.0) | {"language": "", "words": 0, "stuffed_by_level": [0.0] * LEVELS}
+    fn = np.fromiter((w in _FUNCTION for w in words), float, n)
     plain = ~forced
-    share = float(fn[plain].mean()) if plain.any() else 0.0
-    out = {"language": lang, "words": n, "function_share": share}
-    if thresholds is None:
-        return out
-    count = Counter(words)
-    out["top_word_share"] = max((c for w, c in count.items() if w not in _FUNCTION), default=0) / max(n, 1)
+    stated = np.fromiter((w in STATEMENT for w in words), float, n)
     repeated = _repeated(words)
-    out["ngram_share"] = float(repeated.mean()) if n else 0.0
-    out["duplicate_line_share"] = 1 - len(set(lines)) / len(lines) if lines else 0.0
-    out["link_share"] = float(forced.mean()) if n else 0.0
-    out["separator_density"] = len(set(item.tolist())) / max(n, 1)
-    stated = np.array([w in STATEMENT for w in words], float)
-    silent = density(stated) < STATED
-    threshold = thresholds.get(lang, DEFAULT_DENSITY)
-    stuffed = forced | (density(fn) < threshold) | (repeated & silent) | _chains(words, stated) | _items(item, fn, forced)
-    out["stuffed_share"] = float(stuffed.mean()) if n else 0.0
-    links = out["link_share"] >= SHARE
-    prose = n < BRIEF and share >= threshold and out["ngram_share"] < 0.5
-    out["found"] = bool(n and out["stuffed_share"] >= SHARE and (links or n >= SHORT and not prose))
-    return out
-
-
-def _calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    base = forced | _chains(words, stated) | _items(item, fn, forced)
+    if repeated.any():
+        base |= repeated & (density(stated) < STATED)
+    # function words of each window, whole numbers
+    held = np.floor(density(fn) * WINDOW + 1e-9).astype(int)
+    below = np.cumsum(np.bincount(np.minimum(held[~base], LEVELS), minlength=LEVELS + 1)[:LEVELS])
+    marked = int(np.count_nonzero(base))
+    count = Counter(words)
+    return {
+        "language": language(words),
+        "words": n,
+        # over the words that are no links
+        "function_share": float(fn[plain].sum()) / max(int(np.count_nonzero(plain)), 1),
+        "top_word_share": max((c for w, c in count.items() if w not in _FUNCTION), default=0) / n,
+        "ngram_share": int(np.count_nonzero(repeated)) / n,
+        "duplicate_line_share": 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        "link_share": int(np.count_nonzero(forced)) / n,
+        "separator_density": (int(item[-1]) + 1) / n,
+        "stuffed_by_level": [(marked + x) / n for x in below.tolist()],
+    }
+
+
+def level_of(threshold: float) -> int:
+    """The index into stuffed_by_level of a density threshold: windows hold whole numbers of function words."""
+    return min(max(math.ceil(threshold * WINDOW - 1e-9), 1), LEVELS) - 1
+
+
+def verdict(m: dict, thresholds: dict[str, float]) -> bool:
+    """Whether a measured text is found, by its language's threshold; what stuffed() states in SQL."""
+    t = thresholds.get(m["language"], DEFAULT_DENSITY)
+    prose = m["words"] < BRIEF and m["function_share"] >= t and m["ngram_share"] < 0.5
+    return m["stuffed_by_level"][level_of(t)] >= SHARE and (m["link_share"] >= SHARE or m["words"] >= SHORT and not prose)
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = {"string": pa.string(), "integer": pa.int32(), "double": pa.float64(), "array": pa.list_(pa.float64())}
     for b in batches:
-        for text in b.column(0).to_pylist():
-            m = measure(text)
-            if m["words"] >= SHORT:
-                counts[m["language"], min(int(m["function_share"] * BINS), BINS - 1)] += 1
-    keys = list(counts)
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["language", "bin", "n"])
+        got = [measure(t) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([g[f.name] for g in got], types[f.dataType.typeName()]) for f in FEATURES.fields[1:]], names=FEATURES.names)
 
 
-def calibrate(documents: DataFrame, text: str = "text") -> dict[str, float]:
+def calibrate(features: DataFrame) -> dict[str, float]:
     """Function-word threshold per language from the density histograms of all documents (at most 7 x BINS counts come back)."""
-    rows = spread(documents.select(text)).mapInArrow(_calibrate, "language string, bin int, n long").groupBy("language", "bin").agg(F.sum("n").alias("n")).collect()
+    bin_of = F.least(F.floor(F.col("function_share") * BINS), F.lit(BINS - 1)).cast("int")
+    rows = features.where(F.col("words") >= SHORT).groupBy("language", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
     out = {}
     for lang in {r["language"] for r in rows}:
         hist = np.zeros(BINS)
@@ -228,25 +246,20 @@ def calibrate(documents: DataFrame, text: str = "text") -> dict[str, float]:
     return out
 
 
-def _flag(thresholds: dict[str, float]):
-    names = FEATURES.names[1:]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [measure(t, thresholds) for t in b.column(1).to_pylist()]
-            cols = [b.column(0)] + [pa.array([g[n] for g in got], {"string": pa.string(), "integer": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[FEATURES[n].dataType.typeName()]) for n in names]
-            yield pa.RecordBatch.from_arrays(cols, names=FEATURES.names)
-
-    return run
-
-
 def stuffed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Features and verdict of every document (FEATURES), one row per input row.
+    """Features, stuffed_share and verdict (found) of every document, one row per input row.
 
-    NULL and empty texts have no words and are never found; very long texts are
-    processed whole; an empty table gives no rows; repeated rows are repeated.
-    Labels and other columns are not looked at.
+    One pass over the texts measures them and writes the features; the thresholds come
+    from all of those. NULL and empty texts have no words and are never found; very
+    long texts are processed whole; an empty table gives no rows; repeated rows are
+    repeated. Labels and other columns are not looked at.
     """
-    thresholds = calibrate(documents, text)
     rows = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    return rows.mapInArrow(_flag(thresholds), FEATURES)
+    features = materialise(rows.mapInArrow(_measure, FEATURES), "stuffing")
+    limit, level = F.lit(DEFAULT_DENSITY), F.lit(level_of(DEFAULT_DENSITY))
+    for lang, t in sorted(calibrate(features).items()):
+        limit = F.when(F.col("language") == lang, F.lit(t)).otherwise(limit)
+        level = F.when(F.col("language") == lang, F.lit(level_of(t))).otherwise(level)
+    prose = (F.col("words") < BRIEF) & (F.col("function_share") >= limit) & (F.col("ngram_share") < 0.5)
+    found = (F.col("stuffed_share") >= SHARE) & ((F.col("link_share") >= SHARE) | (F.col("words") >= SHORT) & ~prose)
+    return features.withColumn("stuffed_share", F.element_at("stuffed_by_level", level + 1)).withColumn("found", found).drop("stuffed_by_level")

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from skygrid.llm import digests, leakage, mixing, runs, stuffing
 
@@ -264,14 +263,14 @@ def test_stuffing(spark):
 def test_long_text_is_judged_whole():
     th = {"en": 0.15}
     many = " ".join(f"w{i % 30000} the" for i in range(100_000))
-    assert stuffing.measure(many, th)["words"] == 200_000
+    assert stuffing.measure(many)["words"] == 200_000
     honest = "I ordered the green one for use in the shed and it has survived every storm. "
-    assert not stuffing.measure(STUFFED[0] + ". " + honest * 3000, th)["found"]
-    assert stuffing.measure(honest + "buy rain gauge cheap hose " * 20000, th)["found"]
+    assert not stuffing.verdict(stuffing.measure(STUFFED[0] + ". " + honest * 3000), th)
+    assert stuffing.verdict(stuffing.measure(honest + "buy rain gauge cheap hose " * 20000), th)
 
 
 def test_thresholds_follow_the_language(spark):
-    df = spark.createDataFrame([(HONEST[0],)] * 40, "text string")
+    df = spark.createDataFrame([("en", 30, 0.4)] * 40 + [("de", 30, 0.5)] * 3 + [("", 30, 0.0)] * 99, "language string, words int, function_share double")
     th = stuffing.calibrate(df)
-    assert list(th) == ["en"] and 0.05 < th["en"] < 0.3
-    assert df.select(F.count("text")).first()[0] == 40
+    assert list(th) == ["en"] and th["en"] == pytest.approx(0.3 * 0.405)
+    assert [stuffing.level_of(x) for x in (0.0, 0.05, 1 / 9, 0.15, 0.3, 0.9)] == [0, 0, 0, 1, 2, 3]
