@@ -231,20 +231,28 @@ _add(
 RINGS = [[(66.0, 6.0), (91.0, 6.0), (91.0, 24.0), (80.0, 31.0), (66.0, 19.0)]]
 
 
-def _clip(spark: SparkSession, d: str) -> DataFrame:
+def _clip(spark: SparkSession, d: str, days: str = "true") -> DataFrame:
     g = grid(spark, d, "rain")
     cells = g.df.select("lon_i", "lat_i", "lon", "lat").distinct()
-    return raster.clip(g.df.where("pos < 400"), cells, RINGS).select("lon_i", "lat_i", "pos", "is_land", "value")
+    return raster.clip(g.df.where(days), cells, RINGS).select("lon_i", "lat_i", "pos", "is_land", "value")
 
 
 _EDGES = "[" + ", ".join(f"{{'x1': {a[0]}, 'y1': {a[1]}, 'x2': {b[0]}, 'y2': {b[1]}}}" for r in RINGS for a, b in zip(r, [*r[1:], r[0]])) + "]"
 _add(
     "clip",
-    _clip,
+    lambda s, d: _clip(s, d, "pos < 400"),
     f"""WITH {FX}, c AS (SELECT DISTINCT lon_i, lat_i, lon, lat FROM fx WHERE lon_i BETWEEN 0 AND 2 AND lat_i BETWEEN 0 AND 2),
 i AS (SELECT lon_i, lat_i, len(list_filter({_EDGES}, lambda e: (e.y1 > lat) <> (e.y2 > lat) AND lon < e.x1 + (lat - e.y1) * (e.x2 - e.x1) / CASE WHEN e.y1 = e.y2 THEN 1 ELSE e.y2 - e.y1 END)) % 2 = 1 AS inside FROM c)
 SELECT fx.lon_i, fx.lat_i, pos, is_land AND inside AS is_land, CASE WHEN inside THEN rain END AS value FROM fx JOIN i ON i.lon_i = fx.lon_i AND i.lat_i = fx.lat_i WHERE pos < 400""",
 )
+# the SQL of clip holds the first 400 days only; this is the job over all of them
+_add("clip_whole", _clip, SQL["clip"].removesuffix(" WHERE pos < 400"))
+
+
+def _remap(spark: SparkSession, d: str, days: str = "true") -> DataFrame:
+    return raster.remap(grid(spark, d, "tmax").df.where(days).select("lon_i", "lat_i", "lon", "lat", "pos", "value"), [67.5, 77.5, 87.5, 97.5], [7.5, 17.5, 27.5], 4.0)
+
+
 _add(
     "remap",
     lambda s, d: raster.remap(grid(s, d, "tmax").df.where("pos < 100").select("lon_i", "lat_i", "lon", "lat", "pos", "value"), [67.5, 77.5, 87.5, 97.5], [7.5, 17.5, 27.5], 4.0),

@@ -39,3 +39,8 @@ def test_core_does_not_name_the_subpackage():
             for n in names:
                 if n.endswith(".py"):
                     assert "skygrid.llm" not in open(os.path.join(folder, n)).read()
+
+
+def test_clip_reaches_every_day(spark):
+    got = catalogue.QUERIES["clip_whole"](spark, D)
+    assert [r["pos"] for r in got.select("pos").distinct().sort("pos").collect()] == list(range(10958)) and "pos <" not in catalogue.SQL["clip_whole"]
