@@ -255,11 +255,13 @@ def _remap(spark: SparkSession, d: str, days: str = "true") -> DataFrame:
 
 _add(
     "remap",
-    lambda s, d: raster.remap(grid(s, d, "tmax").df.where("pos < 100").select("lon_i", "lat_i", "lon", "lat", "pos", "value"), [67.5, 77.5, 87.5, 97.5], [7.5, 17.5, 27.5], 4.0),
+    lambda s, d: _remap(s, d, "pos < 100"),
     f"""WITH {FX}, x AS (SELECT CAST(range AS INT) AS i, 67.5 + 4.0 * range AS lon, CAST(least(greatest(ceil(range * 4.0 / 10 - 0.5), 0), 3) AS INT) AS o FROM range(9)),
 y AS (SELECT CAST(range AS INT) AS i, 7.5 + 4.0 * range AS lat, CAST(least(greatest(ceil(range * 4.0 / 10 - 0.5), 0), 2) AS INT) AS o FROM range(6))
 SELECT x.i AS lon_i, y.i AS lat_i, x.lon, y.lat, pos, tmax AS value FROM fx JOIN x ON x.o = fx.lon_i JOIN y ON y.o = fx.lat_i WHERE pos < 100""",
 )
+# the SQL of remap holds the first 100 days only; this is the job over all of them
+_add("remap_whole", _remap, SQL["remap"].removesuffix(" WHERE pos < 100"))
 _add(
     "fill_na",
     lambda s, d: raster.fill_na(grid(s, d, "tmax").df.select("lon_i", "lat_i", "pos", "value")),

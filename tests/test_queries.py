@@ -44,3 +44,8 @@ def test_core_does_not_name_the_subpackage():
 def test_clip_reaches_every_day(spark):
     got = catalogue.QUERIES["clip_whole"](spark, D)
     assert [r["pos"] for r in got.select("pos").distinct().sort("pos").collect()] == list(range(10958)) and "pos <" not in catalogue.SQL["clip_whole"]
+
+
+def test_remap_reaches_every_day(spark):
+    got = catalogue.QUERIES["remap_whole"](spark, D)
+    assert got.count() == 10958 * 54 and got.select("pos").distinct().count() == 10958 and "pos <" not in catalogue.SQL["remap_whole"]
