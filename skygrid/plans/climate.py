@@ -310,23 +310,31 @@ _add("fixture", lambda s, d: rows(s, d), f"WITH {FX} SELECT lon_i, lat_i, lon, l
 
 
 def _grd_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The fixture's maximum temperature for one year, written as a raster file on the catalogued grid and read back."""
+    """The fixture's maximum temperature for one year, written as a raster file on the catalogued grid; two months of it read back by pushdown."""
+    return _written_and_read(spark, d, 1991).where("date between '1991-02-01' and '1991-03-31'")
+
+
+def _written_and_read(spark: SparkSession, d: str, last: int) -> DataFrame:
+    """The fixture's maximum temperature from 1991 to the end of year last, written as yearly raster files on the catalogued grid and read back; the fixture's cells."""
     import datetime as dt
 
+    from skygrid.functions.calendar import total_days
     from skygrid.model import ARCHIVE, GridFrame, Meta
     from skygrid.session import fresh_dir
     from skygrid.sources.grd import _load
     from skygrid.sources.sinks import to_grd
 
     folder = fresh_dir(spark, "grd").removeprefix("file://")
+    start, end = dt.date(1991, 1, 1), dt.date(last, 12, 31)
     g = grid(spark, d, "tmax")
-    year = GridFrame(g.df.where("pos < 365"), Meta("tmax", dt.date(1991, 1, 1), dt.date(1991, 12, 31), ARCHIVE["tmax"]))
-    to_grd(year, folder).collect()
-    back, _ = _load(spark, "tmax", 1991, None, "yearly", folder)
-    return _rounded(back.where("lon_i < 4 and lat_i < 3 and date between '1991-02-01' and '1991-03-31'").select("lon_i", "lat_i", "pos", "date", "value"), 4, "value")
+    to_grd(GridFrame(g.df.where(f"pos < {total_days(start, end)}"), Meta("tmax", start, end, ARCHIVE["tmax"])), folder).collect()
+    back, _ = _load(spark, "tmax", 1991, last, "yearly", folder)
+    return _rounded(back.where("lon_i < 4 and lat_i < 3").select("lon_i", "lat_i", "pos", "date", "value"), 4, "value")
 
 
 _add("grd_scan", _grd_scan, f"WITH {FX} SELECT lon_i, lat_i, pos, date, round(tmax, 4) + 0.0 AS value FROM fx WHERE date BETWEEN DATE '1991-02-01' AND DATE '1991-03-31'")
+# the SQL of grd_scan holds two months only; this is the job over all thirty files
+_add("grd_scan_whole", lambda s, d: _written_and_read(s, d, 2020), f"WITH {FX} SELECT lon_i, lat_i, pos, date, round(tmax, 4) + 0.0 AS value FROM fx")
 
 
 def _streamed(spark: SparkSession, d: str) -> DataFrame:

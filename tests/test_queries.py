@@ -49,3 +49,8 @@ def test_clip_reaches_every_day(spark):
 def test_remap_reaches_every_day(spark):
     got = catalogue.QUERIES["remap_whole"](spark, D)
     assert got.count() == 10958 * 54 and got.select("pos").distinct().count() == 10958 and "pos <" not in catalogue.SQL["remap_whole"]
+
+
+def test_grd_scan_reads_all_thirty_files(spark):
+    got = catalogue.QUERIES["grd_scan_whole"](spark, D).groupBy("date").count().collect()
+    assert len(got) == 10958 and {r["count"] for r in got} == {12} and sum((r["date"].month, r["date"].day) == (2, 29) for r in got) == 8
