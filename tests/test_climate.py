@@ -152,6 +152,24 @@ def test_rasters(spark):
     assert got[1, 1, 0] == pytest.approx((0 + 1 + 2 + 1 + 3) / 5) and got[2, 0, 0] is None and got[0, 0, 1] is None and len(got) == 18
 
 
+def test_gaps_wider_than_the_first_squares_are_filled(spark):
+    import random
+
+    r = random.Random(2)
+    ni, nj = 14, 9
+    day = {0: {(i, j): 1.0 * i + 10 * j for i in range(ni) for j in range(nj)}, 1: {(0, 0): 5.0, (1, 0): 7.0}, 2: {(13, 8): 3.0}, 3: {}}
+    day[4] = {c: r.random() for c in day[0] if r.random() < 0.05 and c[0] < 5}
+    rows = [(i, j, p, v.get((i, j))) for p, v in day.items() for i in range(ni) for j in range(nj)]
+    got = {(x["lon_i"], x["lat_i"], x["pos"]): x["value"] for x in raster.fill_na(spark.createDataFrame(rows, "lon_i int, lat_i int, pos int, value double")).collect()}
+    assert len(got) == len(rows)
+    for i, j, p, v in rows:
+        if v is None and day[p]:
+            near = [(max(abs(a - i), abs(b - j)), x) for (a, b), x in day[p].items()]
+            least = [x for d, x in near if d == min(near)[0]]
+            v = sum(least) / len(least)
+        assert got[i, j, p] == (v if v is None else pytest.approx(v))
+
+
 def test_nearest_prefers_the_lower_index():
     s = GridSpec(0.0, 3, 10.0, 3, 1.0)
     assert s.nearest(0.5, 11.5) == (0, 1)
