@@ -64,8 +64,8 @@ _SEPARATOR = re.compile(r"\s+[/|•·–—-]+\s+|[,;|•·]\s|[.!?।…]+(?:\s
 _BREAK = "\x02"
 #: Items of a list: at most so many words each, at least so many items in a row.
 ITEM_WORDS, ITEMS = 4, 2
-#: Texts of fewer words must besides lack function words as a whole, or repeat themselves.
-BRIEF = 25
+#: Texts of fewer words must besides lack function words as a whole, or have REPEATING of their words in repeated n-grams or in chains and list items.
+BRIEF, REPEATING = 25, 0.5
 
 FEATURES = T.StructType(
     [
@@ -75,6 +75,7 @@ FEATURES = T.StructType(
         T.StructField("function_share", T.DoubleType()),
         T.StructField("top_word_share", T.DoubleType()),
         T.StructField("ngram_share", T.DoubleType()),
+        T.StructField("chain_share", T.DoubleType()),
         T.StructField("duplicate_line_share", T.DoubleType()),
         T.StructField("link_share", T.DoubleType()),
         T.StructField("separator_density", T.DoubleType()),
@@ -189,7 +190,8 @@ def measure(text: str | None) -> dict:
     plain = ~forced
     stated = np.fromiter((w in STATEMENT for w in words), float, n)
     repeated = _repeated(words)
-    base = forced | _chains(words, stated) | _items(item, fn, forced)
+    chained = _chains(words, stated) | _items(item, fn, forced)
+    base = forced | chained
     if repeated.any():
         base |= repeated & (density(stated) < STATED)
     # function words of each window, whole numbers
@@ -204,6 +206,7 @@ def measure(text: str | None) -> dict:
         "function_share": float(fn[plain].sum()) / max(int(np.count_nonzero(plain)), 1),
         "top_word_share": max((c for w, c in count.items() if w not in _FUNCTION), default=0) / n,
         "ngram_share": int(np.count_nonzero(repeated)) / n,
+        "chain_share": int(np.count_nonzero(chained)) / n,
         "duplicate_line_share": 1 - len(set(lines)) / len(lines) if lines else 0.0,
         "link_share": int(np.count_nonzero(forced)) / n,
         "separator_density": (int(item[-1]) + 1) / n,
@@ -219,7 +222,7 @@ def level_of(threshold: float) -> int:
 def verdict(m: dict, thresholds: dict[str, float]) -> bool:
     """Whether a measured text is found, by its language's threshold; what stuffed() states in SQL."""
     t = thresholds.get(m["language"], DEFAULT_DENSITY)
-    prose = m["words"] < BRIEF and m["function_share"] >= t and m["ngram_share"] < 0.5
+    prose = m["words"] < BRIEF and m["function_share"] >= t and max(m["ngram_share"], m["chain_share"]) < REPEATING
     return m["stuffed_by_level"][level_of(t)] >= SHARE and (m["link_share"] >= SHARE or m["words"] >= SHORT and not prose)
 
 
@@ -260,6 +263,6 @@ def stuffed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     for lang, t in sorted(calibrate(features).items()):
         limit = F.when(F.col("language") == lang, F.lit(t)).otherwise(limit)
         level = F.when(F.col("language") == lang, F.lit(level_of(t))).otherwise(level)
-    prose = (F.col("words") < BRIEF) & (F.col("function_share") >= limit) & (F.col("ngram_share") < 0.5)
+    prose = (F.col("words") < BRIEF) & (F.col("function_share") >= limit) & (F.greatest("ngram_share", "chain_share") < REPEATING)
     found = (F.col("stuffed_share") >= SHARE) & ((F.col("link_share") >= SHARE) | (F.col("words") >= SHORT) & ~prose)
     return features.withColumn("stuffed_share", F.element_at("stuffed_by_level", level + 1)).withColumn("found", found).drop("stuffed_by_level")

@@ -260,6 +260,14 @@ def test_stuffing(spark):
     assert again.count() == 2 * len(rows) and again.where("found").count() == 2 * len(STUFFED)
 
 
+def test_brief_texts_of_chains_are_no_prose():
+    brief = "rain gauge for garden, cheap rain gauge with stand, large rain gauge in copper, buy rain gauge by post"
+    m, th = stuffing.measure(brief), {"en": 0.13}
+    assert m["words"] < stuffing.BRIEF and m["function_share"] >= 0.13 and m["ngram_share"] < 0.5
+    assert stuffing.verdict(m, th)
+    assert not any(stuffing.verdict(stuffing.measure(t), th) for t in HONEST)
+
+
 def test_long_text_is_judged_whole():
     th = {"en": 0.15}
     many = " ".join(f"w{i % 30000} the" for i in range(100_000))
