@@ -11,7 +11,11 @@ measures, each thresholded, says so:
 * top-word chains: the word lies between close occurrences of one content word
   that recurs without a statement in between ("rain gauge for the garden, rain
   gauge with the best price");
-* duplicate lines, and items between dense separators, that state nothing.
+* list items: several short items between separators in a row, without function words.
+
+Top-word share, duplicate-line share and separator density are returned as columns
+and have no threshold of their own: chains stand in for the first, list items for
+the last, and repeated lines count only as repeated n-grams.
 
 A document is found if at least SHARE of its words are stuffed. The function-word
 threshold of each language is a fraction of that language's median density over
