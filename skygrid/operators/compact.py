@@ -10,12 +10,13 @@ the records that no earlier file carried are copied.
 Rules: a file is whole if its payload is not empty and as long as its days and
 grid say; others carry no record. Files count in order of file_id. Values are
 told apart by their bits. The first day is read from the path, which always shows
-it, else from start_day; a whole file that shows neither raises nothing, it is
-reported with day NULL by ``undated``. NULL file_id or object_id: no record.
+it, else from start_day; of a whole file that shows neither ``consolidate`` warns, and
+it is listed in ``undated``. NULL file_id or object_id: no record.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -191,12 +192,13 @@ SCHEMA_TEXT = "object_id:int64,day:date32[day],lat:double,lon:double,value:float
 
 @dataclass
 class Consolidation:
-    """What a run left: the manifest of written files, the files that add nothing, the folder, and scratch tables."""
+    """What a run left: the manifest of written files, the files that add nothing, the folder, scratch tables, and the undated files, whose records are in no output."""
 
     manifest: DataFrame
     adds_nothing: DataFrame
     out_dir: str
     scratch: list[str]
+    undated: DataFrame
 
 
 def consolidate(files: DataFrame, objects: DataFrame, out_dir: str | None = None, target_bytes: int = TARGET_BYTES) -> Consolidation:
@@ -206,7 +208,8 @@ def consolidate(files: DataFrame, objects: DataFrame, out_dir: str | None = None
     exactly once. After writing, schema and row count are read back from every
     footer and the totals of blocks and records are held against the plan; any
     difference raises. adds_nothing lists file_id of the files without a kept
-    record. An empty table gives an empty manifest.
+    record. Whole files without a day cannot be placed: they are warned of and listed
+    in undated, not in adds_nothing. An empty table gives an empty manifest.
     """
     spark = files.sparkSession
     out_dir = out_dir or fresh_dir(spark, "consolidated")
@@ -238,7 +241,10 @@ def consolidate(files: DataFrame, objects: DataFrame, out_dir: str | None = None
         raise RuntimeError(f"consolidation is not whole: {bad} bad files, {got[0]} of {want[0] // 4} records, {got[1]} of {want[1]} blocks")
     adding = kept.select("file_id").distinct()
     nothing = files.select(F.col("file_id").cast("long").alias("file_id")).where(F.col("file_id").isNotNull()).distinct().join(adding, "file_id", "left_anti")
-    return Consolidation(manifest, nothing, out_dir, scratch)
+    lost = materialise(undated(files), "undated", scratch)
+    if n := lost.count():
+        warnings.warn(f"{n} whole files show no day; their records are in no output", stacklevel=2)
+    return Consolidation(manifest, nothing.join(lost, "file_id", "left_anti"), out_dir, scratch, lost)
 
 
 def undated(files: DataFrame) -> DataFrame:
@@ -247,7 +253,7 @@ def undated(files: DataFrame) -> DataFrame:
 
 
 def files_adding_nothing(files: DataFrame, objects: DataFrame) -> DataFrame:
-    """file_id of the files that add no record, from a full consolidation whose output is then removed."""
+    """file_id of the files that add no record to the output, undated ones (of which consolidate warns) among them, from a full consolidation whose output is then removed."""
     done = consolidate(files, objects)
     remove(files.sparkSession, done.out_dir)
-    return done.adds_nothing
+    return done.adds_nothing.unionByName(done.undated)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrid.operators.compact import consolidate, files_adding_nothing
+from skygrid.operators.compact import consolidate
 from skygrid.operators.rolling import rolling
 from skygrid.operators.spikes import implausible
-from skygrid.session import table
+from skygrid.session import remove, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +21,9 @@ def p1_stuck(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return files_adding_nothing(table(spark, d, "raw_files"), table(spark, d, "imd_objects"))
+    done = consolidate(table(spark, d, "raw_files"), table(spark, d, "imd_objects"))
+    remove(spark, done.out_dir)
+    return done.adds_nothing
 
 
 def p2_consolidated(spark: SparkSession, d: str) -> DataFrame:

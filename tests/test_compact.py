@@ -81,6 +81,19 @@ def test_empty_null_and_undated(spark):
     assert sorted(r[0] for r in compact.files_adding_nothing(f, objects(spark)).collect()) == [1, 2, 3]
 
 
+def test_undated_files_are_reported_not_redundant(spark, tmp_path):
+    from skygrid.plans.quality import p2_found
+
+    f = files_of(spark, [*ROWS, (20, 7, "nothing here", 1, payload(8, 9))])
+    with pytest.warns(UserWarning, match="1 whole files show no day"):
+        done = compact.consolidate(f, objects(spark))
+    assert sorted(r[0] for r in done.adds_nothing.collect()) == brute(ROWS)[1] and [r[0] for r in done.undated.collect()] == [20]
+    f.write.parquet(str(tmp_path / "raw_files.parquet"))
+    objects(spark).write.parquet(str(tmp_path / "imd_objects.parquet"))
+    with pytest.warns(UserWarning, match="1 whole files show no day"):
+        assert sorted(r[0] for r in p2_found(spark, str(tmp_path)).collect()) == brute(ROWS)[1]
+
+
 @pytest.mark.parametrize(
     ("path", "start", "day"),
     [("o1/rain/rain_ind0.25_99_11_12.grd", None, "1999-11-12"), ("a/rain_ind0.25_01_02_03.grd", None, "2001-02-03"), ("t/max29112015.grd", "x", "2015-11-29"), ("i/tmin_20170405.GRD", None, "2017-04-05"), ("i/2002/2002-07-29.grd", None, "2002-07-29"), ("none", "20100203", "2010-02-03"), (None, "2010-02-03 00:00:00", "2010-02-03"), ("i/tmin_20179905.GRD", None, None)],
