@@ -39,7 +39,7 @@ class Grid(GridFrame):
     def anomaly(self, baseline: Grid | None = None) -> Grid:
         if baseline is not None and baseline.meta.scale != "climatology":
             raise ValueError("the baseline must be a climatology")
-        return self._new(monthly.anomaly(self, baseline.df if baseline else None, baseline.meta.cat if baseline else None), scale="anomaly")
+        return self._new(monthly.anomaly(self, baseline.df if baseline else None, baseline.meta.cat if baseline else None, baseline.meta.spec if baseline else None), scale="anomaly")
 
     def spatial_mean(self, weighted: bool = True) -> DataFrame:
         """One value per time step (see time_column) over land; works on raw data and on results."""
@@ -73,36 +73,42 @@ class Grid(GridFrame):
             return self.df.withColumn("time", F.last_day(F.make_date(F.lit(2000), t, F.lit(1))))
         return self.df.withColumn("time", F.last_day(F.add_months(start, t)))
 
-    def _wave(self, build, kind: str, regions: DataFrame, output: str, count: str, norm_start: int | None, norm_end: int | None) -> Grid:
+    def _wave(self, build, kind: str, regions: DataFrame, output: str, count: str, norm_start: int | None, norm_end: int | None, normals_from: GridFrame | None) -> Grid:
         names = {"total": "total", kind: "wave", "severe": "severe"}
         if self.meta.scale != "raw" or output not in ("daily", "annual") or count not in names:
             raise ValueError(f"needs raw data, output daily or annual, and count among {', '.join(names)}")
-        classes = build(self, regions, norm_start, norm_end)
+        classes = build(self, regions, norm_start, norm_end, normals_from)
         if output == "daily":
             return self._new(classes, scale="daily", method=kind)
         return self._new(extreme.annual_events(classes, self.meta.start.year, names[count]), scale="A", method=kind)
 
-    def heatwave(self, regions: DataFrame, output: str = "daily", count: str = "total", norm_start: int | None = None, norm_end: int | None = None) -> Grid:
-        return self._wave(extreme.heatwave, "hw", regions, output, count, norm_start, norm_end)
+    def heatwave(self, regions: DataFrame, output: str = "daily", count: str = "total", norm_start: int | None = None, norm_end: int | None = None, normals_from: GridFrame | None = None) -> Grid:
+        return self._wave(extreme.heatwave, "hw", regions, output, count, norm_start, norm_end, normals_from)
 
-    def coldwave(self, regions: DataFrame, output: str = "daily", count: str = "total", norm_start: int | None = None, norm_end: int | None = None) -> Grid:
-        return self._wave(extreme.coldwave, "cw", regions, output, count, norm_start, norm_end)
+    def coldwave(self, regions: DataFrame, output: str = "daily", count: str = "total", norm_start: int | None = None, norm_end: int | None = None, normals_from: GridFrame | None = None) -> Grid:
+        return self._wave(extreme.coldwave, "cw", regions, output, count, norm_start, norm_end, normals_from)
 
-    def fill_na(self, radius: int = 3) -> Grid:
+    def fill_na(self) -> Grid:
         rain = self.meta.cat in ("rain", "rain_gpm")
         skip = None if rain or self.meta.spec is None or self.meta.spec.n_lon != 31 else raster.temperature_skips()
-        return self._new(raster.fill_na(self.df, radius, skip))
+        return self._new(raster.fill_na(self.df, skip))
 
     def remap(self, step: float) -> Grid:
         s = self.meta.spec
         lons, lats = [s.lon(i) for i in range(s.n_lon)], [s.lat(i) for i in range(s.n_lat)]
         spec = dataclasses.replace(s, n_lon=len(raster.new_axis(lons, step)), n_lat=len(raster.new_axis(lats, step)), step=step)
-        return self._new(raster.remap(self.df, lons, lats, step), spec=spec)
+        # the mask of the new cells is what has a value on the first day, one row per cell of a catalogued grid
+        first = self.df.groupBy(*CELL).agg(F.min_by(F.col("value").isNotNull(), "pos").alias("is_land"))
+        return self._new(raster.remap(self.df.drop("is_land").join(F.broadcast(first), CELL), lons, lats, step), spec=spec)
 
     def clip(self, outline: str | list[list[tuple[float, float]]]) -> Grid:
-        """By the polygons of a shapefile, or by rings of (lon, lat)."""
-        rings = shapefile.read_rings(outline) if isinstance(outline, str) else outline
-        return self._new(raster.clip(self.df, self.df.select(*CELL, "lon", "lat").distinct(), rings))
+        """By the union of a shapefile's polygons, or by the rings of (lon, lat) of one polygon."""
+        shapes = shapefile.read_shapes(outline) if isinstance(outline, str) else [outline]
+        return self._new(raster.clip(self.df, self.df.select(*CELL, "lon", "lat").distinct(), shapes))
+
+    def to_arrays(self, folder: str) -> DataFrame:
+        """Dense (lat, lon) arrays, one per time step, with the dimensions and CF attributes of the data set; see sinks.to_arrays."""
+        return sinks.to_arrays(self.timed(), "time", self.meta, folder, value=self.value_column)
 
     def at(self, lat: float, lon: float) -> DataFrame:
         """The rows of the nearest cell."""

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skygrid.functions.special import gamma_cdf, normal_ppf
-from skygrid.model import CELL, GridFrame
+from skygrid.model import CELL, GridFrame, GridSpec
 from skygrid.operators.monthly import monthly
+from skygrid.operators.raster import remap
 
 #: Middle day of the year and length of each month, February without leap day.
 MID_DAY = (15, 46, 74, 105, 135, 166, 196, 227, 258, 288, 319, 349)
@@ -80,14 +81,34 @@ def pet(tmax: GridFrame, tmin: GridFrame) -> DataFrame:
     tmin.require("tmin")
     if (tmax.meta.start, tmax.meta.end) != (tmin.meta.start, tmin.meta.end):
         raise ValueError("tmax and tmin must cover the same days")
+    if tmax.meta.spec != tmin.meta.spec:
+        raise ValueError("tmax and tmin must lie on the same grid")
     lat = tmax.df.groupBy(*CELL).agg(F.first("lat").alias("lat"))
     both = monthly(tmax).withColumnRenamed("value", "hi").join(monthly(tmin).withColumnRenamed("value", "lo"), [*CELL, "m"]).join(lat, CELL)
     return both.select(*CELL, "m", hargreaves(F.col("hi"), F.col("lo"), F.col("lat"), F.col("m") % 12).alias("value"))
 
 
-def water_balance(rain: GridFrame, pet_rows: DataFrame, lon_offset: int = 0, lat_offset: int = 0) -> DataFrame:
-    """Monthly rain less evapotranspiration; the latter's grid may start offset cells into that of the rain, cells beyond it are NULL."""
-    p = pet_rows.select((F.col("lon_i") + lon_offset).alias("lon_i"), (F.col("lat_i") + lat_offset).alias("lat_i"), "m", F.col("value").alias("pet"))
+def on_rain_grid(pet_rows: DataFrame, own: GridSpec | None, rain: GridSpec | None) -> DataFrame:
+    """Rows of evapotranspiration under the cell numbers of the rain's grid.
+
+    The rows are regridded to the rain's step (nearest cell) and laid where their first
+    cell is nearest; what lies beyond the rain's grid meets no cell. Grids of which
+    only one is known cannot be matched.
+    """
+    if own == rain:
+        return pet_rows
+    if own is None or rain is None:
+        raise ValueError("the grids differ and the coordinates of one are not known")
+    lons, lats = [own.lon(i) for i in range(own.n_lon)], [own.lat(i) for i in range(own.n_lat)]
+    fine = remap(pet_rows.withColumns({"lon": F.lit(0.0), "lat": F.lit(0.0)}), lons, lats, rain.step)
+    first = lambda x0, n, x: min(range(n), key=lambda i: (abs(x0 + rain.step * i - x), i))
+    i0, j0 = first(rain.lon0, rain.n_lon, lons[0]), first(rain.lat0, rain.n_lat, lats[0])
+    return fine.select((F.col("lon_i") + i0).alias("lon_i"), (F.col("lat_i") + j0).alias("lat_i"), "m", "value")
+
+
+def water_balance(rain: GridFrame, pet_rows: DataFrame, pet_spec: GridSpec | None = None) -> DataFrame:
+    """Monthly rain less evapotranspiration, the latter brought from its own grid (None: the rain's) to that of the rain; cells beyond it are NULL."""
+    p = on_rain_grid(pet_rows, pet_spec or rain.meta.spec, rain.meta.spec).select(*CELL, "m", F.col("value").alias("pet"))
     return monthly(rain).join(p, [*CELL, "m"], "left").select(*CELL, "m", (F.col("value") - F.col("pet")).alias("value"))
 
 
@@ -115,15 +136,21 @@ def logistic_cdf(value: Column, xi: Column, alpha: Column, k: Column) -> Column:
     return F.when((F.abs(k) >= 1e-6) & (inner <= 0), F.when(k > 0, F.lit(HIGH)).otherwise(F.lit(LOW))).otherwise(1.0 / (1.0 + F.exp(-y)))
 
 
-def spei(g: GridFrame, tmax: GridFrame | None = None, tmin: GridFrame | None = None, timescale: int = 3, cal_start: int | None = None, cal_end: int | None = None, lon_offset: int = 0, lat_offset: int = 0) -> DataFrame:
-    """lon_i, lat_i, m, spei; NULL for the first months, at sea and where no law could be fitted."""
+def spei(g: GridFrame, tmax: GridFrame | None = None, tmin: GridFrame | None = None, timescale: int = 3, cal_start: int | None = None, cal_end: int | None = None) -> DataFrame:
+    """lon_i, lat_i, m, spei; NULL for the first months, at sea, beyond the temperature's grid and where no law could be fitted.
+
+    Temperature may lie on another grid: evapotranspiration is computed there and
+    regridded to the rain by the coordinates of both.
+    """
     g.require("rain", "rain_gpm")
     if tmax is None or tmin is None:
         raise ValueError("tmax and tmin are needed")
     if (g.meta.start, g.meta.end) != (tmax.meta.start, tmax.meta.end):
         raise ValueError("rain and temperature must cover the same days")
+    if (g.meta.spec is None) != (tmax.meta.spec is None):
+        raise ValueError("the grids differ and the coordinates of one are not known")
     inside = _period(g, cal_start, cal_end, timescale)
-    x = rolling_sum(water_balance(g, pet(tmax, tmin), lon_offset, lat_offset), timescale).withColumn("month", F.col("m") % 12)
+    x = rolling_sum(water_balance(g, pet(tmax, tmin), tmax.meta.spec), timescale).withColumn("month", F.col("m") % 12)
     fit = logistic_fit(x.where(inside), [*CELL, "month"])
     y = x.join(fit, [*CELL, "month"], "left")
     h = logistic_cdf(F.col("value"), F.col("xi"), F.col("alpha"), F.col("k"))

@@ -32,17 +32,28 @@ def daily_normals(g: GridFrame, first_year: int, last_year: int, window: int = 1
     return ring.withColumn("normal", F.avg("v").over(w)).where(F.col("doy").between(1, 366)).select(*CELL, "doy", "normal")
 
 
-def norm_period(g: GridFrame, norm_start: int | None, norm_end: int | None) -> tuple[int, int]:
-    """The reference years: given as a pair of at least ten, else all of at least thirty."""
+def norm_period(g: GridFrame, norm_start: int | None, norm_end: int | None, normals_from: GridFrame | None = None) -> tuple[int, int]:
+    """The reference years: given as a pair of at least ten that the data (or normals_from) cover, else all of at least thirty."""
     if norm_start is not None and norm_end is not None:
         if norm_end - norm_start + 1 < 10:
             raise ValueError("the normal period needs at least 10 years")
+        have = (normals_from or g).meta
+        if norm_start < have.start.year or norm_end > have.end.year:
+            raise ValueError(f"the normal period {norm_start} to {norm_end} lies outside the data of {have.start.year} to {have.end.year}: give normals_from")
         return norm_start, norm_end
     if g.meta.years < 30:
         raise ValueError("at least 30 years of data, or a normal period, are needed")
     return g.meta.start.year, g.meta.end.year
 
 
+def _normals(g: GridFrame, norm_start: int | None, norm_end: int | None, normals_from: GridFrame | None) -> DataFrame:
+    """Daily normals of g's cells: of its own years, or of those of another grid of the same kind and cells."""
+    if normals_from is not None and (normals_from.meta.cat != g.meta.cat or normals_from.meta.spec != g.meta.spec):
+        raise ValueError("normals_from is of another variable or grid")
+    years = norm_period(g, norm_start, norm_end, normals_from)
+    return daily_normals(normals_from or g, *years)
+
+
 def _gate(limits: dict[int, float]) -> Column:
     out = F.when(F.col("region") == 0, limits[0])
     for r in (1, 2):
@@ -59,18 +70,22 @@ def _classify(g: GridFrame, regions: DataFrame, normals: DataFrame, label: Colum
     return rows.select(*CELL, "pos", "date", F.when(land, F.coalesce(label, F.lit(0.0))).alias("class"))
 
 
-def heatwave(g: GridFrame, regions: DataFrame, norm_start: int | None = None, norm_end: int | None = None) -> DataFrame:
-    """lon_i, lat_i, pos, date, class: 0 none, 1 heat wave, 2 severe; NULL at sea. A missing day is 0."""
+def heatwave(g: GridFrame, regions: DataFrame, norm_start: int | None = None, norm_end: int | None = None, normals_from: GridFrame | None = None) -> DataFrame:
+    """lon_i, lat_i, pos, date, class: 0 none, 1 heat wave, 2 severe; NULL at sea. A missing day is 0.
+
+    The normal years must lie in the data; those of other years come from normals_from,
+    a grid of the same variable and cells.
+    """
     g.require("tmax")
     t, dep, inland = F.col("value"), F.col("dep"), F.col("region").isin(0, 1)
     gate = t >= _gate(HEAT_GATE)
     severe = (dep > SEVERE) | (inland & (t >= 47.0))
     event = dep.between(DEPARTURE, SEVERE) | (inland & (t >= 45.0) & (t < 47.0))
     label = F.when(gate & severe, 2.0).when(gate & event, 1.0)
-    return _classify(g, regions, daily_normals(g, *norm_period(g, norm_start, norm_end)), label)
+    return _classify(g, regions, _normals(g, norm_start, norm_end, normals_from), label)
 
 
-def coldwave(g: GridFrame, regions: DataFrame, norm_start: int | None = None, norm_end: int | None = None) -> DataFrame:
+def coldwave(g: GridFrame, regions: DataFrame, norm_start: int | None = None, norm_end: int | None = None, normals_from: GridFrame | None = None) -> DataFrame:
     """As heatwave, for minimum temperature: 1 cold wave, 2 severe."""
     g.require("tmin")
     t, dep, plains = F.col("value"), F.col("dep"), F.col("region") == 0
@@ -78,7 +93,7 @@ def coldwave(g: GridFrame, regions: DataFrame, norm_start: int | None = None, no
     severe = (dep <= -SEVERE) | (plains & (t <= 2.0))
     event = ((dep > -SEVERE) & (dep <= -DEPARTURE)) | (plains & (t > 2.0) & (t <= 4.0))
     label = F.when(gate & severe, 2.0).when(gate & event, 1.0)
-    return _classify(g, regions, daily_normals(g, *norm_period(g, norm_start, norm_end)), label)
+    return _classify(g, regions, _normals(g, norm_start, norm_end, normals_from), label)
 
 
 def annual_events(classes: DataFrame, year0: int, count: str = "total") -> DataFrame:

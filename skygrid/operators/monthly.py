@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skygrid.functions.calendar import month_bucket, year_bucket
-from skygrid.model import CELL, GridFrame, on_land, poison
+from skygrid.model import CELL, GridFrame, GridSpec, on_land, poison
 
 
 def monthly(g: GridFrame, land_only: bool = True) -> DataFrame:
@@ -22,16 +22,21 @@ def climatology(g: GridFrame) -> DataFrame:
     return monthly(g).groupBy(*CELL, (F.col("m") % 12 + 1).alias("month")).agg(F.avg("value").alias("value"))
 
 
-def anomaly(g: GridFrame, baseline: DataFrame | None = None, baseline_cat: str | None = None) -> DataFrame:
-    """Monthly values less the climatology: their own, or that of another period on the same grid."""
-    if g.meta.scale != "raw":
-        raise ValueError("an anomaly needs raw data")
+def anomaly(g: GridFrame, baseline: DataFrame | None = None, baseline_cat: str | None = None, baseline_spec: GridSpec | None = None) -> DataFrame:
+    """Monthly values less the climatology: their own, or that of another period on the same grid, which must hold exactly the twelve months."""
+    if g.meta.scale != "raw" or g.meta.days < 365:
+        raise ValueError("an anomaly needs raw data of at least 365 days")
     m = monthly(g).withColumn("month", F.col("m") % 12 + 1)
     if baseline is None:
         own = F.avg("value").over(Window.partitionBy(*CELL, "month"))
         return m.select(*CELL, "m", (F.col("value") - own).alias("value"))
     if baseline_cat not in (None, g.meta.cat):
         raise ValueError("the climatology is of another variable")
+    if baseline_spec is not None and g.meta.spec is not None and baseline_spec != g.meta.spec:
+        raise ValueError("the climatology is of another grid")
+    months = baseline.agg(F.array_sort(F.collect_set(F.col("month").cast("int")))).first()[0]
+    if months != list(range(1, 13)):
+        raise ValueError("a climatology has the months 1 to 12")
     return m.join(baseline.select(*CELL, "month", F.col("value").alias("base")), [*CELL, "month"], "left").select(*CELL, "m", (F.col("value") - F.col("base")).alias("value"))
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygrid.model import CELL
 
+Ring = Sequence[tuple[float, float]]
 EARTH_KM = 6371.0
 #: Elevation (m) of hilly cells, distance (km) of coastal ones, lowest land pixel (m).
 HILLY, COASTAL, LAND_PIXEL = 1000.0, 50.0, -100.0
@@ -21,30 +24,72 @@ def nearest_cell(cells: DataFrame, lat: float, lon: float) -> DataFrame:
     return cells.groupBy().agg(F.min_by("lon_i", F.struct(F.abs(F.col("lon") - lon), F.col("lon_i"))).alias("lon_i"), F.min_by("lat_i", F.struct(F.abs(F.col("lat") - lat), F.col("lat_i"))).alias("lat_i"))
 
 
-def within(lon: Column, lat: Column, rings: list[list[tuple[float, float]]]) -> Column:
-    """Strictly inside the polygon of the rings (even-odd rule), its boundary excluded; rings are the stated outline, held as a literal."""
-    edges = []
-    for ring in rings:
-        closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-        edges += [(x1, y1, x2, y2) for (x1, y1), (x2, y2) in zip(closed, closed[1:])]
-    table = F.array(*[F.struct(F.lit(float(a)).alias("x1"), F.lit(float(b)).alias("y1"), F.lit(float(c)).alias("x2"), F.lit(float(d)).alias("y2")) for a, b, c, d in edges])
-    cross = lambda e: (e["x2"] - e["x1"]) * (lat - e["y1"]) - (e["y2"] - e["y1"]) * (lon - e["x1"])
-    on_edge = F.exists(table, lambda e: (cross(e) == 0) & lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
-    crossing = lambda e: ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < e["x1"] + (lat - e["y1"]) * (e["x2"] - e["x1"]) / F.when(e["y2"] == e["y1"], 1.0).otherwise(e["y2"] - e["y1"]))
-    return (F.size(F.filter(table, crossing)) % 2 == 1) & ~on_edge
+def _edges(shapes: Sequence[Sequence[Ring]]) -> np.ndarray:
+    """Rows x1, y1, x2, y2, shape."""
+    out = [(*p, *q, k) for k, rings in enumerate(shapes) for ring in rings if len(ring) for p, q in zip(ring, [*ring[1:], ring[0]]) if tuple(p) != tuple(q)]
+    return np.array(out, float).reshape(-1, 5)
 
 
-def clip(df: DataFrame, cells: DataFrame, rings: list[list[tuple[float, float]]]) -> DataFrame:
-    """The rows of df within the polygons' box; values of cells not inside become NULL and their is_land false.
+def _in_any(x: np.ndarray, y: np.ndarray, edges: np.ndarray, n_shapes: int) -> np.ndarray:
+    """Whether each point lies inside at least one shape (even-odd rule over the shape's own rings)."""
+    x1, y1, x2, y2, shape = edges.T
+    out = np.zeros(x.size, bool)
+    for k in range(x.size):
+        at = np.flatnonzero((y1 > y[k]) != (y2 > y[k]))
+        hit = at[x[k] < x1[at] + (y[k] - y1[at]) * (x2[at] - x1[at]) / (y2[at] - y1[at])]
+        out[k] = (np.bincount(shape[hit].astype(int), minlength=n_shapes) % 2 == 1).any()
+    return out
+
+
+def inside_union(x: np.ndarray, y: np.ndarray, edges: np.ndarray, n_shapes: int, step: float = 1e-7) -> np.ndarray:
+    """Points strictly inside the union of the shapes: its boundary is outside, an edge that two of them share is not.
+
+    A point on some edge is inside if every direction from it is: between the edges that
+    leave it, a point a little way off lies inside one of the shapes.
+    """
+    out = _in_any(x, y, edges, n_shapes)
+    x1, y1, x2, y2, _ = edges.T
+    for k in range(x.size):
+        cross = (x2 - x1) * (y[k] - y1) - (y2 - y1) * (x[k] - x1)
+        on = np.flatnonzero((cross == 0) & (np.minimum(x1, x2) <= x[k]) & (x[k] <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= y[k]) & (y[k] <= np.maximum(y1, y2)))
+        if not on.size:
+            continue
+        ends = np.concatenate([np.stack([x1[on], y1[on]], 1), np.stack([x2[on], y2[on]], 1)]) - (x[k], y[k])
+        angle = np.unique(np.arctan2(ends[:, 1], ends[:, 0])[np.hypot(ends[:, 0], ends[:, 1]) > 0])
+        between = angle + np.diff(np.append(angle, angle[0] + 2 * np.pi)) / 2
+        out[k] = _in_any(x[k] + step * np.cos(between), y[k] + step * np.sin(between), edges, n_shapes).all()
+    return out
+
+
+def within(cells: DataFrame, shapes: Sequence[Sequence[Ring]]) -> DataFrame:
+    """lon_i, lat_i, inside of cells (lon_i, lat_i, lon, lat): strictly inside the union of the shapes, each a list of rings.
+
+    The outline is the stated query and goes to every task once, as one array of its
+    edges; the cells are tested in batches. A NULL coordinate is outside.
+    """
+    edges, n = _edges(shapes), len(shapes)
+    sent = cells.sparkSession.sparkContext.broadcast(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(i).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(inside_union(x, y, sent.value, n))], names=[*CELL, "inside"])
+
+    return cells.select(F.col("lon_i").cast("int").alias("lon_i"), F.col("lat_i").cast("int").alias("lat_i"), "lon", "lat").mapInArrow(run, "lon_i int, lat_i int, inside boolean")
+
+
+def clip(df: DataFrame, cells: DataFrame, shapes: Sequence[Sequence[Ring]]) -> DataFrame:
+    """The rows of df within the box of the shapes' union; values of cells not inside it become NULL and their is_land false.
 
     The box is cut at the cells nearest to the bounds. Each distinct cell is tested
-    once, not each row.
+    once, not each row; cells are those of a catalogued grid (67,721 at most), so their
+    verdicts are sent to every task.
     """
-    xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
+    xs, ys = [p[0] for s in shapes for r in s for p in r], [p[1] for s in shapes for r in s for p in r]
     pick = lambda axis, idx, v: F.min_by(idx, F.struct(F.abs(F.col(axis) - v), F.col(idx)))
     box = cells.groupBy().agg(pick("lon", "lon_i", min(xs)).alias("i0"), pick("lon", "lon_i", max(xs)).alias("i1"), pick("lat", "lat_i", min(ys)).alias("j0"), pick("lat", "lat_i", max(ys)).alias("j1"))
-    inside = cells.join(F.broadcast(box), F.col("lon_i").between(F.col("i0"), F.col("i1")) & F.col("lat_i").between(F.col("j0"), F.col("j1"))).select(*CELL, within(F.col("lon"), F.col("lat"), rings).alias("inside"))
-    return df.join(F.broadcast(inside), CELL).withColumns({"value": F.when(F.col("inside"), F.col("value")), "is_land": F.col("is_land") & F.col("inside")}).drop("inside")
+    boxed = cells.join(F.broadcast(box), F.col("lon_i").between(F.col("i0"), F.col("i1")) & F.col("lat_i").between(F.col("j0"), F.col("j1")))
+    return df.join(F.broadcast(within(boxed, shapes)), CELL).withColumns({"value": F.when(F.col("inside"), F.col("value")), "is_land": F.col("is_land") & F.col("inside")}).drop("inside")
 
 
 def new_axis(old: list[float], step: float) -> list[float]:
@@ -68,67 +113,60 @@ def remap(df: DataFrame, lons: list[float], lats: list[float], step: float) -> D
     return df
 
 
-def _fill_day(day: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """The gaps of one day with the mean of the smallest square around each that holds a value; none where the day has no value."""
-    gap = day["gap"].to_numpy(bool)
-    asked = day.loc[gap, ["pos", *CELL]].drop_duplicates()
-    if gap.all():
-        return asked.head(0).assign(fill=0.0)
+def _fill_day(day: pd.DataFrame, skip: frozenset[tuple[int, int]]) -> pd.DataFrame:
+    """The gaps of one day, cell by cell in order of lon_i and lat_i, each with the mean of the smallest square around it that then holds a value."""
+    passed = np.array([c in skip for c in zip(day["lon_i"], day["lat_i"])], bool)
+    turn = day.loc[day["gap"].to_numpy(bool) | passed].drop_duplicates(CELL).sort_values(CELL)
     i0, j0 = int(day["lon_i"].min()), int(day["lat_i"].min())
-    shape = int(day["lon_i"].max()) - i0 + 1, int(day["lat_i"].max()) - j0 + 1
-    have, total = np.zeros(shape, int), np.zeros(shape)
-    at = day.loc[~gap, "lon_i"].to_numpy(int) - i0, day.loc[~gap, "lat_i"].to_numpy(int) - j0
-    np.add.at(have, at, 1)
-    np.add.at(total, at, day.loc[~gap, "value"].to_numpy(float))
-    upto = np.pad(have.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    x, y = asked["lon_i"].to_numpy(int) - i0, asked["lat_i"].to_numpy(int) - j0
-
-    def square(k: np.ndarray, r: np.ndarray | int) -> tuple[np.ndarray, ...]:
-        return np.maximum(x[k] - r, 0), np.minimum(x[k] + r + 1, shape[0]), np.maximum(y[k] - r, 0), np.minimum(y[k] + r + 1, shape[1])
-
-    def held(k: np.ndarray, r: np.ndarray | int) -> np.ndarray:
-        a, b, c, d = square(k, r)
-        return upto[b, d] - upto[a, d] - upto[b, c] + upto[a, c] > 0
-
-    # low: the largest radius known to hold nothing; high: one known to hold a value
-    low, high = np.zeros(x.size, int), np.zeros(x.size, int)
-    r, left = 0, np.arange(x.size)
-    while left.size:
-        low[left], r = r, r + 1 if r < radius else 2 * r or 1
-        found = held(left, r)
-        high[left[found]] = r
-        left = left[~found]
-    while (left := np.flatnonzero(high - low > 1)).size:
-        mid = (low[left] + high[left]) // 2
-        found = held(left, mid)
-        high[left[found]], low[left[~found]] = mid[found], mid[~found]
-    a, b, c, d = square(np.arange(x.size), high)
-    return asked.assign(fill=[total[s].sum() / have[s].sum() for s in (np.s_[a[k] : b[k], c[k] : d[k]] for k in range(x.size))])
-
-
-def fill_na(df: DataFrame, radius: int = 3, skip: list[tuple[int, int]] | None = None) -> DataFrame:
+    a = np.full((int(day["lon_i"].max()) - i0 + 1, int(day["lat_i"].max()) - j0 + 1), np.nan)
+    a[day["lon_i"].to_numpy(int) - i0, day["lat_i"].to_numpy(int) - j0] = day["value"].to_numpy(float)
+    if np.isnan(a).all():
+        return turn.head(0)[["pos", *CELL]].assign(fill=0.0)
+    fills = []
+    for x, y, gap, some in zip(turn["lon_i"] - i0, turn["lat_i"] - j0, turn["gap"], turn["some"]):
+        fill = np.nan
+        if (x + i0, y + j0) in skip:
+            if some:
+                a[x, y] = np.nan
+        elif gap:
+            r = 0
+            while fill != fill and r < max(a.shape):
+                r += 1
+                square = a[max(x - r, 0) : x + r + 1, max(y - r, 0) : y + r + 1]
+                have = ~np.isnan(square)
+                if have.any():
+                    fill = float(square[have].mean())
+            a[x, y] = fill
+        fills.append(fill)
+    return turn[["pos", *CELL]].assign(fill=fills)
+
+
+def fill_na(df: DataFrame, skip: list[tuple[int, int]] | None = None) -> DataFrame:
     """Missing values of cells with some other day present, filled by the mean of the smallest square around with a value of the day.
 
-    All gaps are filled from the given values at once and the square is cut at the
-    grid's edge. Cells in skip get NULL throughout. Only days without any value keep
-    their gaps. Squares up to radius are tried one by one, and for what is then open
-    the radius doubles and is narrowed down again. The days with gaps are looked at one
-    at a time, so a task holds a grid's cells (17,415 of the catalogued rain) however many days there are.
+    Within a day the gaps are filled in order of lon_i, then lat_i, and what has been
+    filled counts for those that follow. The square grows until it holds a value, and
+    is cut at the grid's edge; only days without any value keep their gaps. Cells in
+    skip that have gaps get NULL throughout, from their turn on. Only days with gaps are looked
+    at, one at a time, so a task holds a grid's cells (67,721 of the largest
+    catalogued one) however many days there are.
     """
-    some = df.groupBy(*CELL).agg(F.count("value").alias("have"), F.count(F.lit(1)).alias("all")).where("have > 0 and have < all").select(*CELL)
-    gaps = df.where(F.col("value").isNull()).join(some, CELL, "left_semi").select("pos", *CELL)
-    days = gaps.select("pos").distinct()
-    given = df.where(F.col("value").isNotNull()).join(days, "pos", "left_semi").select("pos", *CELL, F.col("value").cast("double").alias("value"), F.lit(False).alias("gap"))
-    asked = gaps.select("pos", *CELL, F.lit(None).cast("double").alias("value"), F.lit(True).alias("gap"))
+    cells = frozenset(skip or ())
+    # at most one row per cell of the grid
+    some = F.broadcast(df.groupBy(*CELL).agg(F.count("value").alias("have"), F.count(F.lit(1)).alias("all")).where("have > 0 and have < all").select(*CELL, F.lit(True).alias("some")))
+    known = df.join(some, CELL, "left").withColumn("some", F.coalesce("some", F.lit(False)))
+    gap = F.col("value").isNull() & F.col("some")
+    days = known.where(gap).select("pos").distinct()
+    rows = known.where(F.col("value").isNotNull() | F.col("some")).join(days, "pos", "left_semi").select("pos", *CELL, F.col("value").cast("double").alias("value"), gap.alias("gap"), "some")
     kinds = dict(df.dtypes)
-    filled = given.unionByName(asked).groupBy("pos").applyInPandas(lambda day: _fill_day(day, radius), ", ".join(f"{c} {kinds[c]}" for c in ("pos", *CELL)) + ", fill double")
-    out = df.join(filled, ["pos", *CELL], "left").withColumn("value", F.coalesce("value", "fill")).drop("fill")
+    filled = rows.groupBy("pos").applyInPandas(lambda day: _fill_day(day, cells), ", ".join(f"{c} {kinds[c]}" for c in ("pos", *CELL)) + ", fill double")
+    out = known.join(filled, ["pos", *CELL], "left").withColumn("value", F.coalesce("value", F.nanvl("fill", F.lit(None).cast("double"))))
     if skip:
         hit = F.lit(False)
         for i, j in skip:
             hit = hit | ((F.col("lon_i") == i) & (F.col("lat_i") == j))
-        out = out.withColumn("value", F.when(~hit, F.col("value")))
-    return out
+        out = out.withColumn("value", F.when(~(hit & F.col("some")), F.col("value")))
+    return out.drop("fill", "some").select(df.columns)
 
 
 def temperature_skips(n_lon: int = 31) -> list[tuple[int, int]]:
@@ -141,19 +179,27 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def classify_regions(cells: DataFrame, dem: DataFrame, coast: DataFrame, res: float = 1.0, reach: int = 1) -> DataFrame:
+def coast_reach(res: float, lat: float) -> tuple[int, int]:
+    """How many cells of the grid's step (along longitude at that latitude, along latitude) a coast vertex can lie off its own and still be within COASTAL km."""
+    degrees = COASTAL / (EARTH_KM * math.pi / 180)
+    wide = degrees / max(math.cos(math.radians(min(abs(lat) + degrees, 89.9))), 1e-3)
+    return int(wide / res + 0.5 + 1e-6), int(degrees / res + 0.5 + 1e-6)
+
+
+def classify_regions(cells: DataFrame, dem: DataFrame, coast: DataFrame, res: float = 1.0) -> DataFrame:
     """lon_i, lat_i, region: -1 without land pixel, 1 of mean elevation from HILLY, 2 with coast within COASTAL km, else 0.
 
-    dem: lon, lat, elev. coast: lon, lat. Pixels meet cells by bucket; a coast
-    vertex meets the cells within reach buckets of it, and only those can be near.
+    dem: lon, lat, elev. coast: lon, lat. Pixels meet cells by bucket; a coast vertex
+    meets the cells that the grid's step and latitude put within COASTAL km of it.
     """
-    low = cells.agg(F.min("lon"), F.min("lat")).first()
+    low = cells.agg(F.min("lon"), F.min("lat"), F.max(F.abs("lat"))).first()
     if low[0] is None:
         return cells.select(*CELL, F.lit(0).alias("region"))
     bucket = lambda df: df.withColumns({"lon_i": F.floor((F.col("lon") - low[0] + res / 2) / res).cast("int"), "lat_i": F.floor((F.col("lat") - low[1] + res / 2) / res).cast("int")})
     land = bucket(dem.where(F.col("elev") > LAND_PIXEL)).groupBy(*CELL).agg(F.avg("elev").alias("elev"))
-    off = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    v = bucket(coast.select("lon", "lat").distinct()).withColumn("dx", off).withColumn("dy", off)
+    reach = coast_reach(res, low[2])
+    off = lambda n: F.explode(F.sequence(F.lit(-n), F.lit(n)))
+    v = bucket(coast.select("lon", "lat").distinct()).withColumn("dx", off(reach[0])).withColumn("dy", off(reach[1]))
     v = v.select((F.col("lon_i") + F.col("dx")).alias("lon_i"), (F.col("lat_i") + F.col("dy")).alias("lat_i"), F.col("lon").alias("vlon"), F.col("lat").alias("vlat"))
     near = cells.select(*CELL, "lon", "lat").join(v, CELL).groupBy(*CELL).agg(F.min(haversine_km(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon"))).alias("km"))
     out = cells.select(*CELL).join(land, CELL, "left").join(near, CELL, "left")

@@ -75,8 +75,8 @@ def spr(g: GridFrame) -> DataFrame:
     return a.select(*CELL, F.when((F.col("n") >= 3) & ~F.exists("x", lambda v: v.isNull()), z).alias("spr"))
 
 
-def mmk_hr(g: GridFrame, alpha: float = 0.05) -> DataFrame:
-    """Modified Mann-Kendall Z (variance corrected for significant autocorrelation of the detrended ranks); NULL for fewer than three present years."""
+def mmk_hr(g: GridFrame, alpha: float = 0.05, lag: int | None = None) -> DataFrame:
+    """Modified Mann-Kendall Z (variance corrected for significant autocorrelation of the detrended ranks at lags up to lag, all without it); NULL for fewer than three present years."""
     critical = NormalDist().inv_cdf(1 - alpha / 2)
     add = lambda s, v: s + v
     a = _with_slope(g).withColumn("y", F.filter("x", lambda v: v.isNotNull())).withColumn("n", F.size("y").cast("double")).where("n >= 3")
@@ -98,7 +98,8 @@ def mmk_hr(g: GridFrame, alpha: float = 0.05) -> DataFrame:
         return F.when(F.abs(rho) > critical / F.sqrt(n), (n - k) * (n - k - 1.0) * (n - k - 2.0) * rho).otherwise(0.0)
 
     a = a.withColumn("zero", zero)
-    lags = F.aggregate(F.transform(F.sequence(F.lit(1), F.size("y") - 1), one), F.lit(0.0), add)
+    last = F.size("y") - 1 if lag is None else F.least(F.size("y") - 1, F.lit(lag))
+    lags = F.aggregate(F.transform(F.sequence(F.lit(1), last), one), F.lit(0.0), add)
     a = a.withColumn("var", F.col("v") * (1.0 + 2.0 / (n * (n - 1.0) * (n - 2.0)) * lags))
     z = F.when(F.col("s") == 0, F.lit(0.0)).when(F.col("var") > 0, (F.col("s") - F.signum("s")) / F.sqrt(F.when(F.col("var") > 0, F.col("var"))))
     return a.select(*CELL, z.alias("mmk_hr"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrid.functions.special import ppf_text
 from skygrid.operators import drought, extreme, indices, monthly, raster, trend
-from skygrid.plans.fixture import FX, grid, regions, rows
-from skygrid.session import table
+from skygrid.model import ARCHIVE, GridFrame, Meta
+from skygrid.plans.fixture import END, FX, SPEC, START, fine_rain, grid, regions, rows
+from skygrid.sources.grd import open_data
+from skygrid.sources.sinks import to_grd
+from skygrid.session import fresh_dir, remove, settle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,7 +179,39 @@ for _name, (_cat, _build, _cte, _short) in _WAVES.items():
             f"{_cte} SELECT lon_i, lat_i, yr AS year, CASE WHEN count(class) > 0 THEN count(*) FILTER (WHERE {_hit}) END AS n FROM cl GROUP BY lon_i, lat_i, yr",
         )
 
+
+
+def _split(spark: SparkSession, d: str, cat: str) -> tuple[GridFrame, GridFrame]:
+    """The fixture from 2011 on, and its years before."""
+    import datetime as dt
+
+    g, cut = grid(spark, d, cat), (dt.date(2011, 1, 1) - START).days
+    late = GridFrame(g.df.where(F.col("pos") >= cut).withColumn("pos", F.col("pos") - cut), Meta(cat, dt.date(2011, 1, 1), END, SPEC))
+    return late, GridFrame(g.df.where(F.col("pos") < cut), Meta(cat, START, dt.date(2010, 12, 31), SPEC))
+
+
+def _external(spark: SparkSession, d: str) -> DataFrame:
+    late, early = _split(spark, d, "tmax")
+    return extreme.heatwave(late, regions(spark, d), 1991, 2010, early)
+
+
+_add(
+    "heatwave_external_normals",
+    _external,
+    _HEAT.replace("dayofyear(date) AS INT) AS doy, avg(tmax) AS v FROM fx GROUP BY", "dayofyear(date) AS INT) AS doy, avg(tmax) AS v FROM fx WHERE yr <= 2010 GROUP BY")
+    + " SELECT lon_i, lat_i, pos - 7305 AS pos, date, CAST(class AS DOUBLE) AS class FROM cl WHERE yr >= 2011",
+)
+
 # drought
+# the normal quantile by Newton steps from 0 (they rise or fall to the root) on the power series of the distribution function, so nothing of it is shared with the code under test
+_SERIES = "list_sum(list_transform(range(60), lambda n: x * pow(x * x, n) * exp(n * ln(2.0) + lgamma(n + 1.0) - lgamma(2.0 * n + 2.0))))"
+
+
+def _quantile(p: str) -> str:
+    step = f"x - (0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * {_SERIES} - {p}) * sqrt(2 * pi()) * exp(x * x / 2)"
+    return f"CASE WHEN {p} IS NOT NULL THEN list_reduce([0.0{", 0.0" * 16}], lambda x, i: {step}) END"
+
+
 _PET = f"""{MONTHLY.format(agg="avg", col="tmax").replace("mo AS", "mx AS")}, {MONTHLY.format(agg="avg", col="tmin").replace("mo AS", "mn AS")},
 pm AS (SELECT mx.lon_i, mx.lat_i, mx.m, mx.value AS hi, mn.value AS lo, radians(7.5 + 10.0 * mx.lat_i) AS phi,
        CAST([15,46,74,105,135,166,196,227,258,288,319,349][mx.m % 12 + 1] AS DOUBLE) AS j, CAST([31,28,31,30,31,30,31,31,30,31,30,31][mx.m % 12 + 1] AS DOUBLE) AS nd
@@ -190,6 +225,16 @@ _ROLL = "ro AS (SELECT lon_i, lat_i, m, CASE WHEN m >= 2 THEN sum(value) OVER (P
 _add("hargreaves_pet", lambda s, d: drought.pet(grid(s, d, "tmax"), grid(s, d, "tmin")), f"WITH {FX}, {_PET} SELECT lon_i, lat_i, m, round(value, 4) + 0.0 AS value FROM pe", 4, ("value",))
 _add("water_balance", lambda s, d: drought.water_balance(grid(s, d, "rain"), drought.pet(grid(s, d, "tmax"), grid(s, d, "tmin"))), f"WITH {FX}, {_BALANCE} SELECT lon_i, lat_i, m, round(value, 4) + 0.0 AS value FROM ba", 4, ("value",))
 _add("rolling_months", lambda s, d: drought.rolling_sum(monthly.monthly(grid(s, d, "rain")), 3), f"WITH {FX}, {_RAIN_M}, {_ROLL.format(src='mo')} SELECT lon_i, lat_i, m, round(value, 6) + 0.0 AS value FROM ro", 6, ("value",))
+_SPEI_TAIL = f"""rn AS (SELECT lon_i, lat_i, m % 12 AS month, value, CAST(row_number() OVER (PARTITION BY lon_i, lat_i, m % 12 ORDER BY value) - 1 AS DOUBLE) AS i FROM ro WHERE value IS NOT NULL),
+pw AS (SELECT lon_i, lat_i, month, CAST(count(*) AS DOUBLE) AS n, avg(value) AS w0, sum(i * value) AS s1, sum(i * (i - 1) * value) AS s2 FROM rn GROUP BY lon_i, lat_i, month),
+l AS (SELECT lon_i, lat_i, month, w0, s1 / (n * (n - 1)) AS w1, s2 / (n * (n - 1) * (n - 2)) AS w2 FROM pw WHERE n >= 10),
+k0 AS (SELECT *, 2 * w1 - w0 AS l2, -(6 * w2 - 6 * w1 + w0) / (2 * w1 - w0) AS k FROM l WHERE abs(2 * w1 - w0) >= 1e-10),
+k1 AS (SELECT *, CASE WHEN abs(k) < 1e-6 THEN l2 ELSE l2 * sin(k * pi()) / (k * pi()) END AS al FROM k0 WHERE abs(k) < 1),
+k2 AS (SELECT *, CASE WHEN abs(k) < 1e-6 THEN w0 ELSE w0 - al * (1 / k - pi() / sin(k * pi())) END AS xi FROM k1 WHERE al > 0),
+j AS (SELECT ro.lon_i, ro.lat_i, ro.m, (ro.value - xi) / al AS z, k FROM ro LEFT JOIN k2 ON k2.lon_i = ro.lon_i AND k2.lat_i = ro.lat_i AND k2.month = ro.m % 12),
+h AS (SELECT lon_i, lat_i, m, CASE WHEN z IS NOT NULL THEN least(greatest(CASE WHEN abs(k) >= 1e-6 AND 1 - k * z <= 0 THEN CASE WHEN k > 0 THEN 0.999 ELSE 0.001 END
+  ELSE 1 / (1 + exp(-CASE WHEN abs(k) < 1e-6 THEN z ELSE -ln(1 - k * z) / k END)) END, 0.001), 0.999) END AS h FROM j)
+SELECT lon_i, lat_i, m, round({_quantile("h")}, 4) + 0.0 AS spei FROM h"""
 _add(
     "spi",
     lambda s, d: drought.spi(grid(s, d, "rain")),
@@ -200,23 +245,14 @@ f2 AS (SELECT lon_i, lat_i, month, (1 + sqrt(1 + 4 * a / 3)) / (4 * a) AS sh, me
 hh AS (SELECT ro.lon_i, ro.lat_i, ro.m, value / sc AS z, sh, q, value FROM ro LEFT JOIN f2 ON f2.lon_i = ro.lon_i AND f2.lat_i = ro.lat_i AND f2.month = ro.m % 12),
 h AS (SELECT lon_i, lat_i, m, CASE WHEN value IS NOT NULL AND sh IS NOT NULL THEN least(greatest(CASE WHEN value > 0 THEN
   q + (1 - q) * least(1.0, list_sum(list_transform(range(300), lambda n: exp(-z + (sh + n) * ln(z) - lgamma(sh + n + 1))))) ELSE q END, 0.001), 0.999) END AS h FROM hh)
-SELECT lon_i, lat_i, m, round({ppf_text("h")}, 4) + 0.0 AS spi FROM h""",
+SELECT lon_i, lat_i, m, round({_quantile("h")}, 4) + 0.0 AS spi FROM h""",
     4,
 )
 _add(
     "spei",
     lambda s, d: drought.spei(grid(s, d, "rain"), grid(s, d, "tmax"), grid(s, d, "tmin")),
     f"""WITH {FX}, {_BALANCE}, {_ROLL.format(src="ba")},
-rn AS (SELECT lon_i, lat_i, m % 12 AS month, value, CAST(row_number() OVER (PARTITION BY lon_i, lat_i, m % 12 ORDER BY value) - 1 AS DOUBLE) AS i FROM ro WHERE value IS NOT NULL),
-pw AS (SELECT lon_i, lat_i, month, CAST(count(*) AS DOUBLE) AS n, avg(value) AS w0, sum(i * value) AS s1, sum(i * (i - 1) * value) AS s2 FROM rn GROUP BY lon_i, lat_i, month),
-l AS (SELECT lon_i, lat_i, month, w0, s1 / (n * (n - 1)) AS w1, s2 / (n * (n - 1) * (n - 2)) AS w2 FROM pw WHERE n >= 10),
-k0 AS (SELECT *, 2 * w1 - w0 AS l2, -(6 * w2 - 6 * w1 + w0) / (2 * w1 - w0) AS k FROM l WHERE abs(2 * w1 - w0) >= 1e-10),
-k1 AS (SELECT *, CASE WHEN abs(k) < 1e-6 THEN l2 ELSE l2 * sin(k * pi()) / (k * pi()) END AS al FROM k0 WHERE abs(k) < 1),
-k2 AS (SELECT *, CASE WHEN abs(k) < 1e-6 THEN w0 ELSE w0 - al * (1 / k - pi() / sin(k * pi())) END AS xi FROM k1 WHERE al > 0),
-j AS (SELECT ro.lon_i, ro.lat_i, ro.m, (ro.value - xi) / al AS z, k FROM ro LEFT JOIN k2 ON k2.lon_i = ro.lon_i AND k2.lat_i = ro.lat_i AND k2.month = ro.m % 12),
-h AS (SELECT lon_i, lat_i, m, CASE WHEN z IS NOT NULL THEN least(greatest(CASE WHEN abs(k) >= 1e-6 AND 1 - k * z <= 0 THEN CASE WHEN k > 0 THEN 0.999 ELSE 0.001 END
-  ELSE 1 / (1 + exp(-CASE WHEN abs(k) < 1e-6 THEN z ELSE -ln(1 - k * z) / k END)) END, 0.001), 0.999) END AS h FROM j)
-SELECT lon_i, lat_i, m, round({ppf_text("h")}, 4) + 0.0 AS spei FROM h""",
+{_SPEI_TAIL}""",
     4,
 )
 _add(
@@ -227,48 +263,66 @@ _add(
     + ") GROUP BY 1",
 )
 
+# rain on a grid of a quarter of the temperature's step that starts elsewhere
+_TWO = f"""WITH {FX}, {_PET},
+r2 AS (SELECT x.i AS lon_i, y.j AS lat_i, fx.m, sum(CASE WHEN fx.rain IS NULL THEN NULL ELSE fx.rain + (fx.pos * 13 + x.i * 7 + y.j * 3) % 5 END) AS value
+       FROM fx JOIN (SELECT CAST(range AS INT) AS i FROM range(8)) x ON x.i % 4 = fx.lon_i JOIN (SELECT CAST(range AS INT) AS j FROM range(5)) y ON y.j % 3 = fx.lat_i GROUP BY x.i, y.j, fx.m),
+b2 AS (SELECT r2.lon_i, r2.lat_i, r2.m, r2.value - pe.value AS value FROM r2
+       LEFT JOIN pe ON r2.lon_i >= 2 AND r2.lat_i >= 1 AND pe.lon_i = CAST(ceil((r2.lon_i - 2) / 4.0 - 0.5) AS INT) AND pe.lat_i = CAST(ceil((r2.lat_i - 1) / 4.0 - 0.5) AS INT) AND pe.m = r2.m)"""
+
+
+def _two_grids(spark: SparkSession, d: str) -> tuple[GridFrame, GridFrame, GridFrame]:
+    return fine_rain(spark, d), grid(spark, d, "tmax"), grid(spark, d, "tmin")
+
+
+def _balance_two(spark: SparkSession, d: str) -> DataFrame:
+    rain, tmax, tmin = _two_grids(spark, d)
+    return drought.water_balance(rain, drought.pet(tmax, tmin), tmax.meta.spec)
+
+
+_add("water_balance_two_grids", _balance_two, f"{_TWO} SELECT lon_i, lat_i, m, round(value, 4) + 0.0 AS value FROM b2", 4, ("value",))
+_add("spei_two_grids", lambda s, d: drought.spei(*_two_grids(s, d)), f"{_TWO}, {_ROLL.format(src='b2')}, {_SPEI_TAIL}", 4, ("spei",))
+
 # rasters
-RINGS = [[(66.0, 6.0), (91.0, 6.0), (91.0, 24.0), (80.0, 31.0), (66.0, 19.0)]]
+SHAPES = [[[(66.0, 6.0), (91.0, 6.0), (91.0, 24.0), (80.0, 31.0), (66.0, 19.0)]]]
+#: Two shapes that share the edge at 77.5, and one that overlaps both.
+UNION = [[[(66.0, 6.0), (77.5, 6.0), (77.5, 20.0), (77.5, 30.0), (66.0, 30.0)]], [[(77.5, 6.0), (90.0, 6.0), (90.0, 20.0), (77.5, 20.0)]], [[(70.0, 6.0), (90.0, 6.0), (90.0, 12.0), (70.0, 12.0)]]]
 
 
-def _clip(spark: SparkSession, d: str, days: str = "true") -> DataFrame:
+def _clip(spark: SparkSession, d: str, shapes: list) -> DataFrame:
     g = grid(spark, d, "rain")
     cells = g.df.select("lon_i", "lat_i", "lon", "lat").distinct()
-    return raster.clip(g.df.where(days), cells, RINGS).select("lon_i", "lat_i", "pos", "is_land", "value")
+    return raster.clip(g.df, cells, shapes).select("lon_i", "lat_i", "pos", "is_land", "value")
 
 
-_EDGES = "[" + ", ".join(f"{{'x1': {a[0]}, 'y1': {a[1]}, 'x2': {b[0]}, 'y2': {b[1]}}}" for r in RINGS for a, b in zip(r, [*r[1:], r[0]])) + "]"
+_EDGES = "[" + ", ".join(f"{{'x1': {a[0]}, 'y1': {a[1]}, 'x2': {b[0]}, 'y2': {b[1]}}}" for r in SHAPES[0] for a, b in zip(r, [*r[1:], r[0]])) + "]"
+_CLIPPED = "SELECT fx.lon_i, fx.lat_i, pos, is_land AND inside AS is_land, CASE WHEN inside THEN rain END AS value FROM fx JOIN i ON i.lon_i = fx.lon_i AND i.lat_i = fx.lat_i"
 _add(
     "clip",
-    lambda s, d: _clip(s, d, "pos < 400"),
+    lambda s, d: _clip(s, d, SHAPES),
     f"""WITH {FX}, c AS (SELECT DISTINCT lon_i, lat_i, lon, lat FROM fx WHERE lon_i BETWEEN 0 AND 2 AND lat_i BETWEEN 0 AND 2),
 i AS (SELECT lon_i, lat_i, len(list_filter({_EDGES}, lambda e: (e.y1 > lat) <> (e.y2 > lat) AND lon < e.x1 + (lat - e.y1) * (e.x2 - e.x1) / CASE WHEN e.y1 = e.y2 THEN 1 ELSE e.y2 - e.y1 END)) % 2 = 1 AS inside FROM c)
-SELECT fx.lon_i, fx.lat_i, pos, is_land AND inside AS is_land, CASE WHEN inside THEN rain END AS value FROM fx JOIN i ON i.lon_i = fx.lon_i AND i.lat_i = fx.lat_i WHERE pos < 400""",
+{_CLIPPED}""",
+)
+_add(
+    "clip_union",
+    lambda s, d: _clip(s, d, UNION),
+    f"WITH {FX}, i AS (SELECT DISTINCT lon_i, lat_i, lon < 77.5 OR lat < 20 AS inside FROM fx WHERE lon_i BETWEEN 0 AND 2) {_CLIPPED}",
 )
-# the SQL of clip holds the first 400 days only; this is the job over all of them
-_add("clip_whole", _clip, SQL["clip"].removesuffix(" WHERE pos < 400"))
-
-
-def _remap(spark: SparkSession, d: str, days: str = "true") -> DataFrame:
-    return raster.remap(grid(spark, d, "tmax").df.where(days).select("lon_i", "lat_i", "lon", "lat", "pos", "value"), [67.5, 77.5, 87.5, 97.5], [7.5, 17.5, 27.5], 4.0)
-
-
 _add(
     "remap",
-    lambda s, d: _remap(s, d, "pos < 100"),
+    lambda s, d: raster.remap(grid(s, d, "tmax").df.select("lon_i", "lat_i", "lon", "lat", "pos", "value"), [67.5, 77.5, 87.5, 97.5], [7.5, 17.5, 27.5], 4.0),
     f"""WITH {FX}, x AS (SELECT CAST(range AS INT) AS i, 67.5 + 4.0 * range AS lon, CAST(least(greatest(ceil(range * 4.0 / 10 - 0.5), 0), 3) AS INT) AS o FROM range(9)),
 y AS (SELECT CAST(range AS INT) AS i, 7.5 + 4.0 * range AS lat, CAST(least(greatest(ceil(range * 4.0 / 10 - 0.5), 0), 2) AS INT) AS o FROM range(6))
-SELECT x.i AS lon_i, y.i AS lat_i, x.lon, y.lat, pos, tmax AS value FROM fx JOIN x ON x.o = fx.lon_i JOIN y ON y.o = fx.lat_i WHERE pos < 100""",
+SELECT x.i AS lon_i, y.i AS lat_i, x.lon, y.lat, pos, tmax AS value FROM fx JOIN x ON x.o = fx.lon_i JOIN y ON y.o = fx.lat_i""",
 )
-# the SQL of remap holds the first 100 days only; this is the job over all of them
-_add("remap_whole", _remap, SQL["remap"].removesuffix(" WHERE pos < 100"))
 _add(
     "fill_na",
     lambda s, d: raster.fill_na(grid(s, d, "tmax").df.select("lon_i", "lat_i", "pos", "value")),
     f"""WITH {FX}, sm AS (SELECT lon_i, lat_i FROM fx GROUP BY lon_i, lat_i HAVING count(tmax) > 0 AND count(tmax) < count(*)),
 gap AS (SELECT fx.pos, fx.lon_i, fx.lat_i FROM fx JOIN sm ON sm.lon_i = fx.lon_i AND sm.lat_i = fx.lat_i WHERE tmax IS NULL),
 n AS (SELECT gap.pos, gap.lon_i, gap.lat_i, greatest(abs(fx.lon_i - gap.lon_i), abs(fx.lat_i - gap.lat_i)) AS r, tmax FROM gap JOIN fx ON fx.pos = gap.pos WHERE tmax IS NOT NULL),
-k AS (SELECT pos, lon_i, lat_i, r, avg(tmax) AS v FROM n WHERE r <= 3 GROUP BY pos, lon_i, lat_i, r), f AS (SELECT pos, lon_i, lat_i, arg_min(v, r) AS v FROM k GROUP BY pos, lon_i, lat_i)
+k AS (SELECT pos, lon_i, lat_i, r, avg(tmax) AS v FROM n GROUP BY pos, lon_i, lat_i, r), f AS (SELECT pos, lon_i, lat_i, arg_min(v, r) AS v FROM k GROUP BY pos, lon_i, lat_i)
 SELECT lon_i, lat_i, pos, round(max(v), 6) + 0.0 AS value FROM (SELECT lon_i, lat_i, pos, tmax AS v FROM fx UNION ALL SELECT lon_i, lat_i, pos, v FROM f) GROUP BY lon_i, lat_i, pos""",
     6,
     ("value",),
@@ -288,12 +342,16 @@ _add(
 )
 
 
-def _regions(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "dim_cell").select("lon_i", "lat_i", "lon", "lat")
+def _surface(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Elevation pixels and coast vertices."""
     p, s = table(spark, d, "part"), table(spark, d, "supplier")
     dem = p.select((67.0 + (F.col("p_partkey") * 37 % 3100) / 100.0).alias("lon"), (7.0 + (F.col("p_partkey") * 53 % 3100) / 100.0).alias("lat"), (F.col("p_size") * 45.0 - 300.0).alias("elev"))
     coast = s.select((67.0 + (F.col("s_suppkey") * 41 % 3100) / 100.0).alias("lon"), (7.0 + (F.col("s_suppkey") * 29 % 3100) / 100.0).alias("lat"))
-    return raster.classify_regions(c, dem, coast)
+    return dem, coast
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    return raster.classify_regions(table(spark, d, "dim_cell").select("lon_i", "lat_i", "lon", "lat"), *_surface(spark, d))
 
 
 _add(
@@ -306,35 +364,60 @@ k AS (SELECT c.lon_i, c.lat_i, min(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(rad
 x AS (SELECT lon_i, lat_i, max(elev) AS elev, max(km) AS km FROM (SELECT lon_i, lat_i, elev, CAST(NULL AS DOUBLE) AS km FROM e UNION ALL SELECT lon_i, lat_i, NULL, km FROM k) GROUP BY lon_i, lat_i)
 SELECT c.lon_i, c.lat_i, CAST(CASE WHEN elev IS NULL THEN -1 WHEN elev >= 1000 THEN 1 WHEN km <= 50 THEN 2 ELSE 0 END AS INT) AS region FROM dim_cell c JOIN x ON x.lon_i = c.lon_i AND x.lat_i = c.lat_i""",
 )
-_add("fixture", lambda s, d: rows(s, d), f"WITH {FX} SELECT lon_i, lat_i, lon, lat, pos, is_land, region, rain, tmax, tmin FROM fx")
 
 
-def _grd_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The fixture's maximum temperature for one year, written as a raster file on the catalogued grid; two months of it read back by pushdown."""
-    return _written_and_read(spark, d, 1991).where("date between '1991-02-01' and '1991-03-31'")
+def _fine_cells(spark: SparkSession) -> DataFrame:
+    return spark.range(121 * 121).select((F.col("id") % 121).cast("int").alias("lon_i"), F.floor(F.col("id") / 121).cast("int").alias("lat_i")).withColumns({"lon": 67.5 + 0.25 * F.col("lon_i"), "lat": 7.5 + 0.25 * F.col("lat_i")})
 
 
-def _written_and_read(spark: SparkSession, d: str, last: int) -> DataFrame:
-    """The fixture's maximum temperature from 1991 to the end of year last, written as yearly raster files on the catalogued grid and read back; the fixture's cells."""
-    import datetime as dt
+_add(
+    "region_class_fine",
+    lambda s, d: raster.classify_regions(_fine_cells(s), *_surface(s, d), res=0.25),
+    """WITH cells AS (SELECT CAST(a.range AS INT) AS lon_i, CAST(b.range AS INT) AS lat_i, 67.5 + 0.25 * a.range AS lon, 7.5 + 0.25 * b.range AS lat FROM range(121) a, range(121) b),
+dem AS (SELECT 67.0 + (p_partkey * 37 % 3100) / 100.0 AS lon, 7.0 + (p_partkey * 53 % 3100) / 100.0 AS lat, p_size * 45.0 - 300.0 AS elev FROM part),
+co AS (SELECT DISTINCT 67.0 + (s_suppkey * 41 % 3100) / 100.0 AS lon, 7.0 + (s_suppkey * 29 % 3100) / 100.0 AS lat FROM supplier),
+e AS (SELECT CAST(floor((lon - 67.5 + 0.125) / 0.25) AS INT) AS lon_i, CAST(floor((lat - 7.5 + 0.125) / 0.25) AS INT) AS lat_i, avg(elev) AS elev FROM dem WHERE elev > -100 GROUP BY 1, 2),
+k AS (SELECT c.lon_i, c.lat_i, min(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(co.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(co.lat)) * pow(sin(radians(co.lon - c.lon) / 2), 2))))) AS km FROM cells c, co GROUP BY c.lon_i, c.lat_i)
+SELECT c.lon_i, c.lat_i, CAST(CASE WHEN elev IS NULL THEN -1 WHEN elev >= 1000 THEN 1 WHEN km <= 50 THEN 2 ELSE 0 END AS INT) AS region
+FROM cells c LEFT JOIN e ON e.lon_i = c.lon_i AND e.lat_i = c.lat_i LEFT JOIN k ON k.lon_i = c.lon_i AND k.lat_i = c.lat_i""",
+)
+_add("fixture", lambda s, d: rows(s, d), f"WITH {FX} SELECT lon_i, lat_i, lon, lat, pos, is_land, region, rain, tmax, tmin FROM fx")
+
+
+SEA = 99.9
 
-    from skygrid.functions.calendar import total_days
-    from skygrid.model import ARCHIVE, GridFrame, Meta
-    from skygrid.session import fresh_dir
-    from skygrid.sources.grd import _load
-    from skygrid.sources.sinks import to_grd
 
-    folder = fresh_dir(spark, "grd").removeprefix("file://")
-    start, end = dt.date(1991, 1, 1), dt.date(last, 12, 31)
+def _written(spark: SparkSession, d: str) -> str:
+    """Thirty yearly raster files of the fixture's maximum temperature, away from the corner of the catalogued grid, SEA where nothing is; the folder."""
+    folder = fresh_dir(spark, "grd")
     g = grid(spark, d, "tmax")
-    to_grd(GridFrame(g.df.where(f"pos < {total_days(start, end)}"), Meta("tmax", start, end, ARCHIVE["tmax"])), folder).collect()
-    back, _ = _load(spark, "tmax", 1991, last, "yearly", folder)
-    return _rounded(back.where("lon_i < 4 and lat_i < 3").select("lon_i", "lat_i", "pos", "date", "value"), 4, "value")
+    shifted = g.df.withColumns({"lon_i": F.col("lon_i") + 1, "lat_i": F.col("lat_i") + 1})
+    to_grd(GridFrame(shifted, Meta("tmax", START, END, ARCHIVE["tmax"])), folder, fill=SEA).collect()
+    return folder
 
 
-_add("grd_scan", _grd_scan, f"WITH {FX} SELECT lon_i, lat_i, pos, date, round(tmax, 4) + 0.0 AS value FROM fx WHERE date BETWEEN DATE '1991-02-01' AND DATE '1991-03-31'")
-# the SQL of grd_scan holds two months only; this is the job over all thirty files
-_add("grd_scan_whole", lambda s, d: _written_and_read(s, d, 2020), f"WITH {FX} SELECT lon_i, lat_i, pos, date, round(tmax, 4) + 0.0 AS value FROM fx")
+def _grd_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All days of the thirty files read back, on the fixture's cells."""
+    folder = _written(spark, d)
+    back = open_data(spark, "tmax", 1991, 2020, folder=folder).df.where("lon_i between 1 and 4 and lat_i between 1 and 3")
+    return settle(_rounded(back.select((F.col("lon_i") - 1).alias("lon_i"), (F.col("lat_i") - 1).alias("lat_i"), "pos", "date", "value"), 4, "value"), [folder])
+
+
+def _grd_mask(spark: SparkSession, d: str) -> DataFrame:
+    """The land mask of all cells of the catalogued grid, from those files."""
+    folder = _written(spark, d)
+    cells = open_data(spark, "tmax", 1991, 2020, folder=folder).df.where("pos = 0").select("lon_i", "lat_i", "is_land")
+    return settle(cells, [folder])
+
+
+# single precision in the files
+_add("grd_scan", _grd_scan, f"WITH {FX} SELECT lon_i, lat_i, pos, date, round(tmax, 4) + 0.0 AS value FROM fx")
+_add(
+    "land_mask_tmax",
+    _grd_mask,
+    f"WITH {FX}, f AS (SELECT lon_i + 1 AS lon_i, lat_i + 1 AS lat_i, arg_min(tmax IS NOT NULL, pos) AS land FROM fx GROUP BY lon_i, lat_i) "
+    "SELECT c.lon_i, c.lat_i, coalesce(land, false) AS is_land FROM dim_cell c LEFT JOIN f ON f.lon_i = c.lon_i AND f.lat_i = c.lat_i",
+)
 
 
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
@@ -350,3 +433,27 @@ _add(
 WHERE value IS NOT NULL AND value <> -999 AND loaded_at IS NOT NULL GROUP BY object_id, lon_i, lat_i, pos)
 SELECT DATE '1970-01-01' + CAST(floor(epoch(t) / 2592000) AS INT) * 30 AS window_start, var, count(*) AS readings, count(*) FILTER (WHERE value >= 2.5) AS at_least_2_5, round(sum(value), 4) + 0.0 AS total FROM v GROUP BY 1, 2""",
 )
+
+
+def _live(spark: SparkSession, d: str) -> DataFrame:
+    """The table as a stream, to its end: each reading once, totals per variable."""
+    from skygrid.streaming.ingest import daily_totals
+
+    folder, name = fresh_dir(spark, "stream"), f"totals_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, d, "grid_obs").schema).parquet(f"{d}/grid_obs.parquet*")
+    # one window of a century: which of two deliveries comes first does not matter
+    totals = daily_totals(stream, delay="36500 days", window="36500 days")
+    q = totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    q.awaitTermination()
+    # at most one row per variable
+    out = settle(_rounded(spark.table(name).select("var", "readings", "at_least_2_5", "total"), 4, "total"), [folder])
+    spark.catalog.dropTempView(name)
+    return out
+
+
+_add(
+    "ingest_stream",
+    _live,
+    """WITH v AS (SELECT object_id, lon_i, lat_i, pos, min(var) AS var, min(value) AS value FROM grid_obs WHERE value IS NOT NULL AND value <> -999 AND loaded_at IS NOT NULL GROUP BY object_id, lon_i, lat_i, pos)
+SELECT var, count(*) AS readings, count(*) FILTER (WHERE value >= 2.5) AS at_least_2_5, round(sum(value), 4) + 0.0 AS total FROM v GROUP BY var""",
+)

@@ -48,6 +48,19 @@ def grid(spark: SparkSession, d: str, cat: str) -> GridFrame:
     return GridFrame(df, Meta(cat, START, END, SPEC))
 
 
+#: A rain grid of a quarter of SPEC's step that starts two columns west and one row south of it.
+FINE = GridSpec(5.0, 5, 62.5, 8, 2.5)
+
+
+def fine_rain(spark: SparkSession, d: str) -> GridFrame:
+    """Rain on FINE: the rain of cell (lon_i % 4, lat_i % 3) and a few millimetres by place and day."""
+    to = lambda n, m, c: F.array(*[F.array(*[F.lit(i) for i in range(n) if i % m == k]) for k in range(m)])[F.col(c)]
+    df = rows(spark, d).withColumn("i", F.explode(to(8, 4, "lon_i"))).withColumn("j", F.explode(to(5, 3, "lat_i")))
+    value = F.col("rain") + (F.col("pos") * 13 + F.col("i") * 7 + F.col("j") * 3) % 5
+    df = df.select(F.col("i").alias("lon_i"), F.col("j").alias("lat_i"), (62.5 + 2.5 * F.col("i")).alias("lon"), (5.0 + 2.5 * F.col("j")).alias("lat"), "pos", F.lit(True).alias("is_land"), value.alias("value"))
+    return GridFrame(df, Meta("rain", START, END, FINE))
+
+
 def regions(spark: SparkSession, d: str) -> DataFrame:
     cells = spark.range(12).select(F.floor(F.col("id") / 3).cast("int").alias("lon_i"), (F.col("id") % 3).cast("int").alias("lat_i"))
     return cells.withColumn("region", F.when((F.col("lon_i") == 3) & (F.col("lat_i") == 2), -1).otherwise((F.col("lon_i") + 2 * F.col("lat_i")) % 3))

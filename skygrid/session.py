@@ -49,13 +49,21 @@ def materialise(df: DataFrame, purpose: str, drop_after: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where the input has fewer pieces than those, for work that costs much more than moving the rows.
+def settle(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """df as a reliable checkpoint in the shared folder; then the scratch folders are removed, since nothing needs them any more.
 
-    Only an input of fewer splits than cores is moved, so at most that many splits' worth of rows.
+    The checkpoint lives as long as a plan refers to it: Spark deletes it afterwards
+    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    out = df.checkpoint(eager=True)
+    for path in scratch or ():
+        remove(spark, path)
+    if scratch:
+        scratch.clear()
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -4,10 +4,14 @@
     spark.read.format("grd").option("cat", "rain").option("start", "2018").option("path", folder).load()
 
 Options: path, cat, start, end (year or ISO date), layout (yearly or daily), style
-(yearwise or classic), byteorder (little or big), sentinel (default -999). One
+(yearwise or classic), byteorder (little or big), sentinel. One
 partition per yearly file, or per chunk of daily files; only the files and days of
 the range are read, narrowed further by pushed filters on date. Missing is NULL. A
 file of another length than its grid and days raises.
+
+What stands for missing is -999 in rain and, in temperature, whatever the file holds
+in its first cell on its first day, which is sea on every catalogued grid; the option
+sentinel (a number, or "corner" for that cell) says otherwise. NaN is always missing.
 """
 
 from __future__ import annotations
@@ -59,7 +63,9 @@ class GrdReader(DataSourceReader):
         self.start, self.end = parse_range(as_day(options["start"]), as_day(options.get("end")))
         self.low, self.high = self.start, self.end
         self.folder, self.style = options["path"], options.get("style", "yearwise")
-        self.byteorder, self.sentinel = options.get("byteorder", "little"), float(options.get("sentinel", "-999"))
+        self.byteorder = options.get("byteorder", "little")
+        asked = options.get("sentinel") or ("corner" if self.cat in ("tmax", "tmin") else "-999")
+        self.sentinel = None if asked == "corner" else float(asked)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Bounds on date narrow the files and days; all filters are also left to Spark."""
@@ -91,6 +97,7 @@ class GrdReader(DataSourceReader):
             store, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
             with store.open_input_file(where) as f:
                 values = decode(f.read(), spec, days, self.byteorder)
+            missing = float(values[0, 0, 0]) if self.sentinel is None else self.sentinel
             for k in range(days):
                 day = dt.date.fromisoformat(first) + dt.timedelta(k)
                 if not self.low <= day <= self.high:
@@ -98,7 +105,7 @@ class GrdReader(DataSourceReader):
                 v = values[k].ravel().astype(np.float64)
                 n = v.size
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lon_i), pa.array(lat_i), pa.array(lon), pa.array(lat), pa.array(np.full(n, (day - self.start).days, np.int32)), pa.array(np.full(n, (day - dt.date(1970, 1, 1)).days, np.int32)).cast(pa.date32()), pa.array(v, mask=(v == self.sentinel) | np.isnan(v))],
+                    [pa.array(lon_i), pa.array(lat_i), pa.array(lon), pa.array(lat), pa.array(np.full(n, (day - self.start).days, np.int32)), pa.array(np.full(n, (day - dt.date(1970, 1, 1)).days, np.int32)).cast(pa.date32()), pa.array(v, mask=(v == missing) | np.isnan(v))],
                     names=["lon_i", "lat_i", "lon", "lat", "pos", "date", "value"],
                 )
 
@@ -125,17 +132,21 @@ def _load(spark: SparkSession, cat: str, start, end, layout: str, folder: str, *
     return read.load(), Meta(cat, a, b, grid_of(cat, layout))
 
 
-def open_data(spark: SparkSession, cat: str, start, end=None, style: str = "yearwise", folder: str = ".") -> GridFrame:
-    """Yearly files of the range, cut to its days, with the land mask derived from the data.
+def _asked(sentinel: float | str | None) -> dict[str, str]:
+    return {} if sentinel is None else {"sentinel": str(sentinel)}
+
+
+def open_data(spark: SparkSession, cat: str, start, end=None, style: str = "yearwise", folder: str = ".", sentinel: float | str | None = None) -> GridFrame:
+    """Yearly files of the range, cut to its days, with the land mask derived from the data. sentinel: as the option of the data source.
 
     The mask is one row per cell of a catalogued grid (17,415 at most), hence sent to every task.
     """
-    df, meta = _load(spark, cat, start, end, "yearly", folder, style=style)
+    df, meta = _load(spark, cat, start, end, "yearly", folder, style=style, **_asked(sentinel))
     mask = land_mask(df, cat, meta.days)
     return GridFrame(df.join(F.broadcast(mask), ["lon_i", "lat_i"]), meta)
 
 
-def open_real_data(spark: SparkSession, cat: str, start, end=None, folder: str = ".") -> GridFrame:
+def open_real_data(spark: SparkSession, cat: str, start, end=None, folder: str = ".", sentinel: float | str | None = None) -> GridFrame:
     """Daily files of the range; no land mask: every cell counts."""
-    df, meta = _load(spark, cat, start, end, "daily", folder)
+    df, meta = _load(spark, cat, start, end, "daily", folder, **_asked(sentinel))
     return GridFrame(df.withColumn("is_land", F.lit(True)), meta)

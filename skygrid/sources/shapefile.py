@@ -1,4 +1,4 @@
-"""Polygon outlines from an ESRI .shp file (public format), as lists of rings."""
+"""Polygon outlines from an ESRI .shp file (public format), as lists of rings by shape."""
 
 from __future__ import annotations
 
@@ -8,13 +8,16 @@ import struct
 FILE_CODE, POLYGONS = 9994, (5, 15, 25)
 
 
-def read_rings(path: str) -> list[list[tuple[float, float]]]:
-    """All rings of all polygons; shapes of other types are skipped."""
+Ring = list[tuple[float, float]]
+
+
+def read_shapes(path: str) -> list[list[Ring]]:
+    """The rings of each polygon; shapes of other types are skipped."""
     with open(path, "rb") as f:
         raw = f.read()
     if len(raw) < 100 or struct.unpack(">i", raw[:4])[0] != FILE_CODE:
         raise ValueError("not a shapefile")
-    rings, at = [], 100
+    shapes, at = [], 100
     while at + 12 <= len(raw):
         _, words = struct.unpack(">ii", raw[at : at + 8])
         body = raw[at + 8 : at + 8 + 2 * words]
@@ -24,5 +27,5 @@ def read_rings(path: str) -> list[list[tuple[float, float]]]:
         parts, points = struct.unpack("<ii", body[36:44])
         starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
         xy = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
-        rings += [[(xy[2 * i], xy[2 * i + 1]) for i in range(a, b)] for a, b in zip(starts, starts[1:])]
-    return rings
+        shapes.append([[(xy[2 * i], xy[2 * i + 1]) for i in range(a, b)] for a, b in zip(starts, starts[1:])])
+    return shapes

@@ -9,8 +9,10 @@ product, 67,721 cells) whatever the number of steps.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygrid.model import GridFrame, GridSpec
+from skygrid.model import METHODS, RAW_VARIABLES, GridFrame, GridSpec, Meta
 from skygrid.sources.naming import YEARWISE, daily_path
 
 FILL = -999.0
 
 
 def to_csv(g: GridFrame, out_dir: str, name: str = "grid", lat: float | None = None, lon: float | None = None) -> str:
-    """The whole grid in long form, or with lat and lon the nearest cell's daily rows in one file, missing as the sentinel; the path written."""
+    """The whole grid in long form (a folder of parts), or with lat and lon the nearest cell's daily rows as one file, missing as the sentinel; the path written.
+
+    out_dir: a path or a URI that every executor reaches.
+    """
     if (lat is None) != (lon is None):
         raise ValueError("give both lat and lon, or neither")
     d = g.with_date()
@@ -37,35 +42,57 @@ def to_csv(g: GridFrame, out_dir: str, name: str = "grid", lat: float | None = N
     stem, ext = os.path.splitext(name)
     path = f"{out_dir}/{stem}_{lat:.2f}_{lon:.2f}{ext or '.csv'}"
     # one cell has at most one row per day: one task writes it
-    cell = d.where((F.col("lon_i") == i) & (F.col("lat_i") == j)).select(F.col("date").alias("DateTime"), F.format_string("%.4f", F.coalesce("value", F.lit(FILL))).alias(f"{lat} {lon}"))
-    cell.repartition(1).sortWithinPartitions("DateTime").write.mode("overwrite").csv(path, header=True)
+    cell = d.where((F.col("lon_i") == i) & (F.col("lat_i") == j)).select("date", F.format_string("%.4f", F.coalesce("value", F.lit(FILL))).alias("v"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(os.path.dirname(where), recursive=True)
+        part, n = f"{where}.{uuid.uuid4().hex}", 0
+        with store.open_output_stream(part) as out:
+            out.write(f"DateTime,{lat} {lon}\n".encode())
+            for b in batches:
+                out.write("".join(f"{day},{v}\n" for day, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())).encode())
+                n += b.num_rows
+        store.move(part, where)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    cell.repartition(1).sortWithinPartitions("date").mapInArrow(write, "n long").collect()
     return path
 
 
-def to_grd(g: GridFrame, folder: str, layout: str = "yearly") -> DataFrame:
-    """Raster files of whole years (or days) as the reader takes them, one task per file; path and bytes of each."""
+def to_grd(g: GridFrame, folder: str, layout: str = "yearly", fill: float = FILL) -> DataFrame:
+    """Raster files of whole years (or days) as the reader takes them, one task per file, missing as fill; path and bytes of each.
+
+    folder: a path or a URI that every executor reaches.
+    """
     spec, cat = g.meta.spec, g.meta.cat
     d = g.with_date().withColumn("file", F.year("date") if layout == "yearly" else F.datediff("date", F.lit("1970-01-01").cast("date")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         files: dict[int, np.ndarray] = {}
         for b in batches:
             f, day, lon_i, lat_i = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            v = b.column(4).fill_null(FILL).to_numpy(zero_copy_only=False)
+            v = b.column(4).fill_null(fill).to_numpy(zero_copy_only=False)
             for x in np.unique(f).tolist():
                 first = dt.date(x, 1, 1) if layout == "yearly" else dt.date(1970, 1, 1) + dt.timedelta(x)
                 n = (dt.date(x, 12, 31) - first).days + 1 if layout == "yearly" else 1
                 if x not in files:
-                    files[x] = np.full((n, spec.n_lat, spec.n_lon), FILL, "<f4")
+                    files[x] = np.full((n, spec.n_lat, spec.n_lon), fill, "<f4")
                 at = f == x
                 files[x][day[at] - (first - dt.date(1970, 1, 1)).days, lat_i[at], lon_i[at]] = v[at]
         made = []
         for x, a in files.items():
             path = os.path.join(folder, YEARWISE[cat].format(y=x)) if layout == "yearly" else daily_path(dt.date(1970, 1, 1) + dt.timedelta(x), cat, folder)
-            os.makedirs(folder, exist_ok=True)
-            with open(path + ".part", "wb") as out:
+            store, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            store.create_dir(os.path.dirname(where), recursive=True)
+            part = f"{where}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as out:
                 out.write(a.tobytes())
-            os.replace(path + ".part", path)
+            store.move(part, where)  # a task that runs again replaces the file by the same
             made.append((path, a.nbytes))
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], names=["path", "bytes"])
 
@@ -73,6 +100,57 @@ def to_grd(g: GridFrame, folder: str, layout: str = "yearly") -> DataFrame:
     return rows.repartition("file").mapInArrow(write, "path string, bytes long")
 
 
+def to_arrays(df: DataFrame, time: str, meta: Meta, folder: str, value: str = "value") -> DataFrame:
+    """Dense arrays for other tools: one .npz file per year of steps, written by the executors; path, first time and steps of each.
+
+    A file holds time (days since 1970-01-01), lat, lon, the array named as the variable in
+    (time, lat, lon) order with NaN for missing, and attrs, the CF-1.7 attributes of
+    variable, axes and data set as JSON. A year of the largest catalogued grid
+    (67,721 cells) is 200 MB, which bounds a task. Rows without a time are left out.
+    """
+    spec, name = meta.spec, meta.method or meta.cat
+    units, long_name = RAW_VARIABLES.get(name, ("", METHODS.get(name, name)))
+    attrs = {
+        name: {"units": units, "long_name": long_name},
+        "time": {"units": "days since 1970-01-01 00:00:00", "standard_name": "time", "long_name": "time"},
+        "lat": {"axis": "Y", "standard_name": "latitude", "long_name": "latitude", "units": "degrees_north"},
+        "lon": {"axis": "X", "standard_name": "longitude", "long_name": "longitude", "units": "degrees_east"},
+        "": {"Conventions": "CF-1.7", "title": f"daily gridded data, {long_name}", "crs": "epsg:4326"},
+    }
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        from pyarrow import fs
+
+        years: dict[int, dict[int, np.ndarray]] = {}
+        for b in batches:
+            year, day, lon_i, lat_i = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            v = b.column(4).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            for y in np.unique(year).tolist():
+                steps = years.setdefault(y, {})
+                for t in np.unique(day[year == y]).tolist():
+                    at = (year == y) & (day == t)
+                    steps.setdefault(t, np.full((spec.n_lat, spec.n_lon), np.nan, "<f4"))[lat_i[at], lon_i[at]] = v[at]
+        made = []
+        for y, steps in years.items():
+            path, raw, order = f"{folder}/{name}-{y}.npz", io.BytesIO(), sorted(steps)
+            lat, lon = spec.lat0 + spec.step * np.arange(spec.n_lat), spec.lon0 + spec.step * np.arange(spec.n_lon)
+            np.savez(raw, **{"time": np.array(order), "lat": lat, "lon": lon, name: np.stack([steps[t] for t in order]), "attrs": np.array(json.dumps(attrs))})
+            store, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            store.create_dir(os.path.dirname(where), recursive=True)
+            part = f"{where}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as out:
+                out.write(raw.getvalue())
+            store.move(part, where)
+            made.append((path, order[0], len(order)))
+        cols = list(zip(*made)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()).cast(pa.date32()), pa.array(cols[2], pa.int32())], names=["path", "first", "steps"])
+
+    rows = df.where(F.col(time).isNotNull()).select(F.year(time).alias("year"), F.datediff(time, F.lit("1970-01-01").cast("date")).alias("day"), "lon_i", "lat_i", F.col(value).cast("double").alias("v"))
+    return rows.repartition("year").mapInArrow(write, "path string, first date, steps int")
+
+
 def _steps(df: DataFrame, time: str, spec: GridSpec, value: str) -> Iterator[tuple[object, np.ndarray]]:
     """(time, lat x lon array with NaN for missing) in order, one step in memory at a time."""
     current, a = None, None

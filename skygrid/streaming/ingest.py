@@ -16,7 +16,7 @@ def daily_totals(stream: DataFrame, delay: str = "30 days", window: str = "1 day
     rows = stream.withColumn("value", v).where(F.col("value").isNotNull() & F.col("loaded_at").isNotNull())
     key = ["object_id", "lon_i", "lat_i", "pos"]
     if stream.isStreaming:
-        once = rows.withWatermark("loaded_at", delay).dropDuplicatesWithinWatermark(key)
+        once = rows.withColumn("loaded_at", F.col("loaded_at").cast("timestamp")).withWatermark("loaded_at", delay).dropDuplicatesWithinWatermark(key)
     else:
         once = rows.groupBy(*key).agg(F.min("var").alias("var"), F.min("value").alias("value"), F.min("loaded_at").alias("loaded_at"))
     return once.groupBy(F.window("loaded_at", window).alias("w"), "var").agg(

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,16 +144,97 @@ def test_rasters(spark):
     got = spark.range(1).select(raster.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))).first()[0]
     assert got == pytest.approx(6371 * math.pi / 180)
     assert raster.new_axis([66.5, 100.0], 1.0)[-1] == 100.5 and raster.new_axis([0.0, 1.0], 0.25) == [0, 0.25, 0.5, 0.75, 1.0]
-    square = [[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]]
-    pts = spark.createDataFrame([(1.0, 1.0), (0.0, 1.0), (2.0, 2.0), (3.0, 1.0)], "x double, y double")
-    assert [r[0] for r in pts.select(raster.within(F.col("x"), F.col("y"), square)).collect()] == [True, False, False, False]
     rows = [(i, j, p, None if (i, j, p) == (1, 1, 0) or i == 2 else float(i + j)) for i in range(3) for j in range(3) for p in range(2)]
     filled = raster.fill_na(spark.createDataFrame(rows, "lon_i int, lat_i int, pos int, value double"), skip=[(0, 0)])
     got = {(r["lon_i"], r["lat_i"], r["pos"]): r["value"] for r in filled.collect()}
-    assert got[1, 1, 0] == pytest.approx((0 + 1 + 2 + 1 + 3) / 5) and got[2, 0, 0] is None and got[0, 0, 1] is None and len(got) == 18
+    assert got[1, 1, 0] == pytest.approx((0 + 1 + 2 + 1 + 3) / 5) and got[2, 0, 0] is None and got[0, 0, 1] == 0.0 and len(got) == 18
+    rows[0] = (0, 0, 0, None)  # a cell to be skipped that has a gap loses its other days too
+    filled = raster.fill_na(spark.createDataFrame(rows, "lon_i int, lat_i int, pos int, value double"), skip=[(0, 0)])
+    got = {(r["lon_i"], r["lat_i"], r["pos"]): r["value"] for r in filled.collect()}
+    assert got[1, 1, 0] == pytest.approx((1 + 2 + 1 + 3) / 4) and got[0, 0, 0] is None and got[0, 0, 1] is None
+
+
+def inside(points, shapes):
+    x, y = np.array([p[0] for p in points], float), np.array([p[1] for p in points], float)
+    return raster.inside_union(x, y, raster._edges(shapes), len(shapes)).tolist()
+
+
+def rectangle(x0, y0, x1, y1):
+    return [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
+
+
+def test_union_of_shapes(spark):
+    square = rectangle(0.0, 0.0, 2.0, 2.0)
+    assert inside([(1, 1), (0, 1), (2, 2), (3, 1)], [square]) == [True, False, False, False]
+    # overlap, shared edge, shared corner of four, touching corner of two, outer boundary, hole
+    assert inside([(1.5, 1)], [square, rectangle(1.0, 0.0, 3.0, 2.0)]) == [True]
+    assert inside([(2, 1), (2, 2), (2, 0)], [square, rectangle(2.0, 0.0, 4.0, 2.0)]) == [True, False, False]
+    four = [rectangle(i, j, i + 1.0, j + 1.0) for i in (0.0, 1.0) for j in (0.0, 1.0)]
+    assert inside([(1, 1), (1, 0), (1, 0.5)], four) == [True, False, True] and inside([(1, 1)], [four[0], four[3]]) == [False]
+    hole = [*rectangle(0.0, 0.0, 4.0, 4.0), *rectangle(1.0, 1.0, 3.0, 3.0)]
+    assert inside([(2, 2), (0.5, 2), (1, 2)], [hole]) == [False, True, False]
+    assert inside([(2, 2), (1, 2)], [hole, rectangle(1.0, 1.0, 3.0, 3.0)]) == [True, True]
+    cells = spark.createDataFrame([(0, 0, 1.0, 1.0), (1, 0, None, 1.0)], "lon_i int, lat_i int, lon double, lat double")
+    assert sorted(tuple(r) for r in raster.within(cells, [square]).collect()) == [(0, 0, True), (1, 0, False)]
+
+
+def test_outline_of_many_vertices(spark):
+    n = 100_000
+    ring = [(5.01 + 4 * math.cos(2 * math.pi * k / n), 5.02 + 4 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    df = spark.createDataFrame([(i, j, float(i), float(j), 0, True, 1.0) for i in range(11) for j in range(11)], "lon_i int, lat_i int, lon double, lat double, pos int, is_land boolean, value double")
+    got = {(r["lon_i"], r["lat_i"]): r["value"] for r in raster.clip(df, df.select("lon_i", "lat_i", "lon", "lat"), [[ring]]).collect()}
+    assert set(got) == {(i, j) for i in range(1, 10) for j in range(1, 10)}
+    assert all((v == 1.0) == (math.hypot(i - 5.01, j - 5.02) < 4) for (i, j), v in got.items())
+
+
+def test_reach_of_the_coast(spark):
+    assert raster.coast_reach(1.0, 38.5) == (1, 0) and raster.coast_reach(0.25, 38.5)[1] == 2
+    cells = spark.createDataFrame([(i, j, 70 + 0.25 * i, 30 + 0.25 * j) for i in range(9) for j in range(9)], "lon_i int, lat_i int, lon double, lat double")
+    dem = cells.select("lon", "lat", F.lit(10.0).alias("elev"))
+    coast = spark.createDataFrame([(71.0, 31.42)], "lon double, lat double")
+    got = {(r["lon_i"], r["lat_i"]): r["region"] for r in raster.classify_regions(cells, dem, coast, res=0.25).collect()}
+    km = lambda a, b, c, d: 2 * 6371 * math.asin(math.sqrt(math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2))
+    assert all((region == 2) == (km(30 + 0.25 * j, 70 + 0.25 * i, 31.42, 71.0) <= 50) for (i, j), region in got.items()) and got[4, 4] == 2
+
+
+def test_balance_needs_matching_grids(spark):
+    pet = spark.createDataFrame([(0, 0, 0, 25.0), (1, 1, 0, 50.0)], "lon_i int, lat_i int, m int, value double")
+    rain = GridFrame(one_cell(spark, "rain", [1.0]).df, Meta("rain", dt.date(2001, 1, 1), dt.date(2001, 1, 1), ARCHIVE["rain"]))
+    got = {(r["lon_i"], r["lat_i"]): r["value"] for r in drought.on_rain_grid(pet, ARCHIVE["tmax"], ARCHIVE["rain"]).collect()}
+    # 67.5/7.5 is rain cell (4, 4), 68.5/8.5 is (8, 8)
+    assert got[4, 4] == 25.0 and got[6, 6] == 25.0 and got[8, 8] == 50.0 and min(got) == (4, 4)
+    with pytest.raises(ValueError):
+        drought.on_rain_grid(pet, None, rain.meta.spec)
+    bare = one_cell(spark, "tmax", [1.0] * 3653)
+    with pytest.raises(ValueError):
+        drought.spei(GridFrame(bare.df, Meta("rain", bare.meta.start, bare.meta.end, ARCHIVE["rain"])), bare, GridFrame(bare.df, Meta("tmin", bare.meta.start, bare.meta.end)))
+
+
+def test_normals_of_other_years(spark):
+    late, early = one_cell(spark, "tmax", [36.0] * 365, "2021-01-01"), one_cell(spark, "tmax", [31.0] * 4018, "2000-01-01")
+    where = spark.createDataFrame([(0, 0, 1)], "lon_i int, lat_i int, region int")
+    with pytest.raises(ValueError, match="outside the data"):
+        extreme.heatwave(late, where, 2000, 2010)
+    with pytest.raises(ValueError, match="another variable"):
+        extreme.heatwave(late, where, 2000, 2010, GridFrame(early.df, Meta("tmin", early.meta.start, early.meta.end)))
+    got = extreme.heatwave(late, where, 2000, 2010, early)
+    assert {r[0] for r in got.select("class").distinct().collect()} == {1.0} and got.count() == 365
+
+
+def test_baseline_must_fit(spark):
+    g = one_cell(spark, "tmax", [20 + i % 7 for i in range(365)])
+    base = monthly.climatology(g)
+    for bad in (lambda: monthly.anomaly(g, base.where("month < 12")), lambda: monthly.anomaly(one_cell(spark, "tmax", [1.0] * 40)), lambda: monthly.anomaly(GridFrame(g.df, Meta("tmax", g.meta.start, g.meta.end, ARCHIVE["tmax"])), base, "tmax", ARCHIVE["rain"])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_lags_of_the_trend(spark):
+    x = yearly(spark, [float(k % 4) + 0.1 * k for k in range(24)])
+    assert trend.mmk_hr(x, lag=23).first()["mmk_hr"] == trend.mmk_hr(x).first()["mmk_hr"] != trend.mmk_hr(x, lag=1).first()["mmk_hr"]
 
 
-def test_gaps_wider_than_the_first_squares_are_filled(spark):
+def test_gaps_are_filled_in_order_and_however_wide(spark):
     import random
 
     r = random.Random(2)
@@ -162,12 +244,14 @@ def test_gaps_wider_than_the_first_squares_are_filled(spark):
     rows = [(i, j, p, v.get((i, j))) for p, v in day.items() for i in range(ni) for j in range(nj)]
     got = {(x["lon_i"], x["lat_i"], x["pos"]): x["value"] for x in raster.fill_na(spark.createDataFrame(rows, "lon_i int, lat_i int, pos int, value double")).collect()}
     assert len(got) == len(rows)
-    for i, j, p, v in rows:
-        if v is None and day[p]:
-            near = [(max(abs(a - i), abs(b - j)), x) for (a, b), x in day[p].items()]
-            least = [x for d, x in near if d == min(near)[0]]
-            v = sum(least) / len(least)
-        assert got[i, j, p] == (v if v is None else pytest.approx(v))
+    for p, have in day.items():
+        for i in range(ni):
+            for j in range(nj):
+                if (i, j) not in have and have:
+                    near = [(max(abs(a - i), abs(b - j)), x) for (a, b), x in have.items()]
+                    least = [x for d, x in near if d == min(near)[0]]
+                    have[i, j] = sum(least) / len(least)
+                assert got[i, j, p] == (pytest.approx(have[i, j]) if have else None)
 
 
 def test_nearest_prefers_the_lower_index():
