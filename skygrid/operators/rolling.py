@@ -141,4 +141,4 @@ def rolling(obs: DataFrame, objects: DataFrame, windows: Sequence[int] = (7, 30)
     if not windows or any(w < 1 for w in windows) or any(a not in (*MONOIDS, "mean") for a in aggs):
         raise ValueError("windows must be positive and aggs among sum, mean, min, max")
     out = schema(windows, aggs)
-    return per_series(with_objects(pack(obs), objects), _roll(tuple(windows), tuple(aggs), out.names), out, ("start_date", "days"))
+    return per_series(with_objects(pack(obs), objects), _roll(tuple(windows), tuple(aggs), out.names), out, ("start_date", "days"), "days")

@@ -195,31 +195,40 @@ def _unpack(rows: list[tuple], extra_names: tuple[str, ...]) -> Series:
     return Series(np.array(cols[0], np.int64), np.array(cols[1], np.int32), np.array(cols[2], np.int32), np.array(cols[3], np.int32), np.bincount(sid, minlength=len(heads)), pos, v, extra)
 
 
-def _stream(fn: Callable[[Series], pa.RecordBatch | None], extra_names: tuple[str, ...]) -> Callable:
+def _stream(fn: Callable[[Series], pa.RecordBatch | None], extra_names: tuple[str, ...], days: str | None) -> Callable:
+    at = 7 + extra_names.index(days) if days else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        readings = 0
+        size, spread = 0, 0
         for b in batches:
             for r in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
-                if readings >= STEP and r[:3] != held[-1][:3]:
+                new = not held or r[:3] != held[-1][:3]
+                own = (r[at] or 0) if at and new else 0
+                if new and held and (size >= STEP or spread + own > STEP):
                     if (out := fn(_unpack(held, extra_names))) is not None:
                         yield out
-                    held, readings = [], 0
+                    held, size, spread = [], 0, 0
                 held.append(r)
-                readings += r[4] + 1
+                size += r[4] + 1
+                spread += own
         if held and (out := fn(_unpack(held, extra_names))) is not None:
             yield out
 
     return run
 
 
-def per_series(blocks: DataFrame, fn: Callable[[Series], pa.RecordBatch | None], schema: T.StructType, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Apply fn to whole series: one shuffle of blocks by series, then vectorised steps over many series at once."""
+def per_series(blocks: DataFrame, fn: Callable[[Series], pa.RecordBatch | None], schema: T.StructType, extra: tuple[str, ...] = (), days: str | None = None) -> DataFrame:
+    """Apply fn to whole series: one shuffle of blocks by series, then vectorised steps over many series at once.
+
+    days names the extra column with the days that fn makes of a series, if that is more
+    than its readings: a step then has at most STEP of them (or one series).
+    """
     return (
         blocks.select(*BLOCK.names, *extra)
         .repartition(*SERIES)
         .sortWithinPartitions(*SERIES)
-        .mapInArrow(_stream(fn, extra), schema)
+        .mapInArrow(_stream(fn, extra, days), schema)
     )
 
 

@@ -27,6 +27,8 @@ DETAIL_Z = 3.0
 #: A temperature spike leaves its level by at least this many robust standard deviations of the series about its level.
 TEMP_Z = 6.5
 RAIN_RATIO = 4.0
+#: Part of a series' wet readings that can be rain spikes: what comes more often than that is how the series is.
+RAIN_CASES = 1 / 3
 #: Readings on either side that make up the level.
 SIDE = 4
 
@@ -135,7 +137,7 @@ def rain_spikes(v: np.ndarray, sid: np.ndarray, groups: int, calm: np.ndarray) -
     """Readings at least RAIN_RATIO times the largest reading of their series apart from cases, back at the level within two days.
 
     Going down from a series' largest readings, the deepest gap of that ratio within
-    the upper third of its wet readings separates the cases from the weather.
+    the upper RAIN_CASES of its wet readings separates the cases from the weather.
     """
     n = v.size
     out = np.zeros(n, bool)
@@ -149,7 +151,7 @@ def rain_spikes(v: np.ndarray, sid: np.ndarray, groups: int, calm: np.ndarray) -
     rank = np.arange(order.size) - start[s]
     below = np.append(x[1:], 0.0)
     below[np.append(s[1:] != s[:-1], True)] = 0.0
-    gap = (x >= RAIN_RATIO * below) & (below > 0) & (rank < np.maximum(wet[s] // 3, 1))
+    gap = (x >= RAIN_RATIO * below) & (below > 0) & (rank < np.maximum(np.floor(wet[s] * RAIN_CASES + 1e-9), 1))
     last = np.full(groups, -1)
     np.maximum.at(last, s[gap], rank[gap])
     cand = np.zeros(n, bool)

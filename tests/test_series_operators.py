@@ -18,6 +18,39 @@ def found(df, reason=None):
     return sorted((r["object_id"], r["pos"]) for r in df.collect() if reason is None or r["reason"] == reason)
 
 
+def test_steps_count_days_not_readings():
+    import pyarrow as pa
+
+    from skygrid.operators import series
+
+    n, seen = 100, []
+    empty = [pa.array(range(n), pa.int64()), *(pa.array([1] * n, pa.int32()) for _ in range(3)), pa.array([0] * n, pa.int32()), pa.array([b""] * n), pa.array([b""] * n), pa.array([10_958] * n, pa.int32())]
+    batch = pa.RecordBatch.from_arrays(empty, names=[*series.BLOCK.names, "days"])
+    list(series._stream(lambda s: seen.append(s.counts.size), ("days",), "days")([batch]))
+    assert sum(seen) == n and max(seen) * 10_958 <= series.STEP
+
+
+def test_ten_thousand_empty_series_fit(tmp_path):
+    code = '''
+import resource
+import numpy as np, pyarrow as pa
+from skygrid.operators import rolling, series
+n = 10_000
+cols = [pa.array(range(n), pa.int64()), *(pa.array([1] * n, pa.int32()) for _ in range(3)), pa.array([0] * n, pa.int32()), pa.array([b""] * n), pa.array([b""] * n), pa.array([None] * n, pa.date32()), pa.array([10_958] * n, pa.int32())]
+b = pa.RecordBatch.from_arrays(cols, names=[*series.BLOCK.names, "start_date", "days"])
+out = rolling.schema((7, 30), ("sum", "mean"))
+rows = sum(x.num_rows for x in series._stream(rolling._roll((7, 30), ("sum", "mean"), out.names), ("start_date", "days"), "days")([b]))
+print(rows, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+'''
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    rows, mb = map(int, subprocess.run([sys.executable, "-c", code], cwd=root, env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True, check=True).stdout.split())
+    assert rows == 10_000 * 10_958 and mb < 1000
+
+
 def test_spikes_of_one_and_two_days_but_no_spell(obs_of):
     a = weather(200, 1)
     a[50] += 15
