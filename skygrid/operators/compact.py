@@ -3,9 +3,13 @@
 A payload is a headerless run of little-endian float32 in [day][lat][lon] order,
 one encoded column block per day. Blocks are copied as they are into the value
 column of larger Parquet files whose footers are written new (see
-``sources.parquet_blocks``); nothing is decoded. Only days that came in several
-differing versions are looked at record by record, and of a later version only
-the records that no earlier file carried are copied.
+``sources.parquet_blocks``); nothing is decoded. Blocks travel once: they are
+dealt to the output files by object and month and arrive there by object, day and
+file, so the writer itself sees the versions of a day next to each other. An equal
+version is skipped; of a differing one only the records that no earlier file
+carried are copied. Equal versions of a day also collapse within each input batch, before
+they travel, and an object's month is bounded by the calendar, so neither a hot
+object nor a group of copies gathers in one task.
 
 Rules: a file is whole if its payload is not empty and as long as its days and
 grid say; others carry no record. Files count in order of file_id. Values are
@@ -26,14 +30,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skygrid.session import fresh_dir, materialise, remove
+from skygrid.session import fresh_dir, materialise, remove, settle
 
 #: Bytes of values that one consolidated file should hold.
 TARGET_BYTES = 128 << 20
 KINDS = ("rain", "tmax", "tmin")
 
+#: Bytes of blocks that a task looks through for copies at a time.
+HELD_BYTES = 32 << 20
+
 MANIFEST = T.StructType(
-    [T.StructField("cat", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("blocks", T.LongType()), T.StructField("records", T.LongType()), T.StructField("bytes", T.LongType())]
+    [T.StructField("cat", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("blocks", T.LongType()), T.StructField("records", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("days", T.LongType())]
+)
+#: A written file (path not NULL) or a file_id of which records were copied.
+WRITTEN = T.StructType([*MANIFEST.fields, T.StructField("file_id", T.LongType())])
+BLOCKS = T.StructType(
+    [T.StructField("object_id", T.LongType()), T.StructField("day", T.IntegerType()), T.StructField("file_id", T.LongType()), T.StructField("cat", T.StringType()), T.StructField("n_lat", T.IntegerType()), T.StructField("n_lon", T.IntegerType()), T.StructField("block", T.BinaryType())]
 )
 
 
@@ -98,29 +110,31 @@ def day_blocks(files: DataFrame) -> DataFrame:
     )
 
 
-def kept_blocks(files: DataFrame, scratch: list[str] | None = None) -> DataFrame:
-    """The blocks and parts of blocks to copy: every distinct record once, with the first file that carried it.
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (BLOCKS), equal ones of an object's day within a stretch of the input only by their first file."""
+    held: dict[tuple, tuple] = {}
+    size = 0
 
-    parts is NULL for a block copied whole, else the records to copy as (cell, 4 bytes).
-    Equal versions of a day collapse before the shuffle; the records of differing
-    versions are reduced to their first carrier with map-side aggregation, so no
-    object, day or value can gather an unbounded group in one task. The distinct
-    versions are written once to the shared folder, since three branches read them.
-    """
-    dated = day_blocks(files).where(F.col("day").isNotNull())
-    key = ["object_id", "day"]
-    first = dated.groupBy(*key, "n_lat", "n_lon", "block").agg(F.min(F.struct("file_id", "cat")).alias("f"))
-    first = materialise(first.select(*key, "n_lat", "n_lon", "block", F.col("f.file_id").alias("file_id"), F.col("f.cat").alias("cat")), "versions", scratch)
-    versions = first.groupBy(*key).agg(F.count(F.lit(1)).alias("versions"))
-    first = first.join(versions, key)
-    whole = first.where("versions = 1").select("cat", *key, "file_id", "n_lat", "n_lon", "block", F.lit(None).cast("array<struct<cell:int,raw:binary>>").alias("parts"))
-    records = first.where("versions > 1").select(
-        "cat", *key, "file_id", "n_lat", "n_lon", F.posexplode(F.expr("transform(sequence(0, n_lat * n_lon - 1), k -> substring(block, k * 4 + 1, 4))")).alias("cell", "raw")
-    )
-    carried = records.groupBy(*key, "n_lon", "cell", "raw").agg(F.min(F.struct("file_id", "cat", "n_lat")).alias("f"))
-    # at most one row per cell and file here: a file's part is bounded by its grid
-    parts = carried.groupBy("f.cat", *key, "f.file_id", "f.n_lat", "n_lon").agg(F.array_sort(F.collect_list(F.struct("cell", "raw"))).alias("parts"))
-    return whole.unionByName(parts.select("cat", *key, "file_id", "n_lat", "n_lon", F.lit(None).cast("binary").alias("block"), "parts"))
+    def flush() -> pa.RecordBatch:
+        rows = [(k[0], k[1], v[0], v[1], k[2], k[3], k[4]) for k, v in held.items()]
+        cols = list(zip(*rows)) or [()] * 7
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=BLOCKS.names)
+
+    for b in batches:
+        for object_id, day, file_id, cat, n_lat, n_lon, block in zip(*(b.column(i).to_pylist() for i in range(7))):
+            key = (object_id, day, n_lat, n_lon, block)
+            old = held.get(key)
+            if old is None:
+                held[key] = (file_id, cat)
+                size += len(block) + 200
+            elif file_id < old[0]:
+                held[key] = (file_id, cat)
+        if size > HELD_BYTES:
+            yield flush()
+            held, size = {}, 0
+    if held:
+        yield flush()
 
 
 def _axis(coords: list[float] | None, n: int) -> np.ndarray:
@@ -128,45 +142,82 @@ def _axis(coords: list[float] | None, n: int) -> np.ndarray:
     return np.array(coords, "<f8") if coords is not None and len(coords) == n else np.full(n, np.nan)
 
 
+def _codes(block: bytes, n_lat: int, n_lon: int) -> np.ndarray:
+    """One number per record of a block: its cell and the bits of its value."""
+    cell = np.repeat(np.arange(n_lat, dtype=np.uint64) << np.uint64(16), n_lon) + np.tile(np.arange(n_lon, dtype=np.uint64), n_lat)
+    return cell << np.uint64(32) | np.frombuffer(block, "<u4").astype(np.uint64)
+
+
 def _writer(out_dir: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
         from pyarrow import fs
 
         from skygrid.sources.parquet_blocks import BlockFile
 
         store, root = fs.FileSystem.from_uri(out_dir)
-        current, sink, file, made, temp = None, None, None, [], ""
+        current: tuple[int, int] | None = None
+        files: dict[str, tuple] = {}
+        made: list[tuple] = []
+        carried: set[int] = set()
+
+        def file_of(cat: str):
+            if cat not in files:
+                folder = f"{root}/{cat}/{current[0]}"
+                store.create_dir(folder, recursive=True)
+                temp = f"{folder}/.{uuid.uuid4().hex}"
+                sink = store.open_output_stream(temp)
+                files[cat] = (BlockFile(sink), sink, temp)
+            return files[cat][0]
 
         def finish() -> None:
-            size = file.close()
-            sink.close()
-            cat, year, bucket = current
-            final = f"{root}/{cat}/{year}/part-{bucket:05d}.parquet"
-            store.move(temp, final)  # a task that runs again writes the same bytes and replaces the file
-            made.append((cat, year, f"{out_dir}/{cat}/{year}/part-{bucket:05d}.parquet", file.blocks, file.rows, size))
-
-        for b in batches:
-            for cat, year, bucket, object_id, day, n_lat, n_lon, block, parts, lats, lons in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
-                if (cat, year, bucket) != current:
-                    if file is not None:
-                        finish()
-                    current = (cat, year, bucket)
-                    folder = f"{root}/{cat}/{year}"
-                    store.create_dir(folder, recursive=True)
-                    import uuid
-
-                    temp = f"{folder}/.{uuid.uuid4().hex}"
-                    sink = store.open_output_stream(temp)
-                    file = BlockFile(sink)
-                lat, lon = np.repeat(_axis(lats, n_lat), n_lon), np.tile(_axis(lons, n_lon), n_lat)
-                if parts is not None:
-                    cells = [p["cell"] for p in parts]
-                    lat, lon, block = lat[cells], lon[cells], b"".join(p["raw"] for p in parts)
-                file.add(object_id, day, lat, lon, block)
-        if file is not None:
-            finish()
-        cols = list(zip(*made)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=MANIFEST.names)
+            for cat, (file, sink, temp) in files.items():
+                size = file.close()
+                sink.close()
+                name = f"{cat}/{current[0]}/part-{current[1]:05d}.parquet"
+                store.move(temp, f"{root}/{name}")  # a task that runs again writes the same bytes and replaces the file
+                made.append((cat, current[0], f"{out_dir}/{name}", file.blocks, file.rows, size, file.days))
+            files.clear()
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(b.column(i).to_pylist() for i in range(b.num_columns)))
+
+        key, first, seen = None, None, None
+        cat, axes, shapes = "other", (None, None), {}
+        for year, bucket, object_id, day, file_id, n_lat, n_lon, block, own_cat, lats, lons in rows():
+            if (year, bucket) != current:
+                finish()
+                current = (year, bucket)
+            if day is None:  # an object's axes come before its blocks
+                cat, axes, shapes = own_cat, (lats, lons), {}
+                continue
+            shape = (n_lat, n_lon)
+            if shape not in shapes:
+                shapes[shape] = np.repeat(_axis(axes[0], n_lat), n_lon), np.tile(_axis(axes[1], n_lon), n_lat)
+            lat, lon = shapes[shape]
+            if (object_id, day) != key:
+                key, first, seen = (object_id, day), (shape, block), None
+                file_of(cat).add(object_id, day, lat, lon, block, True)
+                carried.add(file_id)
+                continue
+            if (shape, block) == first:
+                continue
+            codes = _codes(block, *shape)
+            if seen is None:
+                seen = set(_codes(first[1], *first[0]).tolist())
+            new = [k for k, c in enumerate(codes.tolist()) if c not in seen]
+            if new:
+                seen.update(codes[new].tolist())
+                part = np.frombuffer(block, "<u4")[new].tobytes()
+                file_of(cat).add(object_id, day, lat[new], lon[new], part, False)
+                carried.add(file_id)
+        finish()
+        ids = sorted(carried)
+        cols = list(zip(*made)) or [()] * 7
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(list(c) + [None] * len(ids), t) for c, t in zip(cols, kinds)), pa.array([None] * len(made) + ids, pa.int64())], names=WRITTEN.names)
 
     return run
 
@@ -192,12 +243,11 @@ SCHEMA_TEXT = "object_id:int64,day:date32[day],lat:double,lon:double,value:float
 
 @dataclass
 class Consolidation:
-    """What a run left: the manifest of written files, the files that add nothing, the folder, scratch tables, and the undated files, whose records are in no output."""
+    """What a run left: the manifest of written files, the files that add nothing, the folder, and the undated files, whose records are in no output."""
 
     manifest: DataFrame
     adds_nothing: DataFrame
     out_dir: str
-    scratch: list[str]
     undated: DataFrame
 
 
@@ -206,45 +256,57 @@ def consolidate(files: DataFrame, objects: DataFrame, out_dir: str | None = None
 
     Every distinct record (object, day, lat, lon, value) of a whole file is present
     exactly once. After writing, schema and row count are read back from every
-    footer and the totals of blocks and records are held against the plan; any
-    difference raises. adds_nothing lists file_id of the files without a kept
+    footer and held against what was written, and days and records are held against
+    counts taken from the input beforehand; any difference raises. adds_nothing lists file_id of the files without a kept
     record. Whole files without a day cannot be placed: they are warned of and listed
-    in undated, not in adds_nothing. An empty table gives an empty manifest.
+    in undated, not in adds_nothing. An empty table gives an empty manifest. Nothing but
+    the output and the small results stays behind.
     """
     spark = files.sparkSession
     out_dir = out_dir or fresh_dir(spark, "consolidated")
     scratch: list[str] = []
-    kept = materialise(kept_blocks(files, scratch), "kept-blocks", scratch)
-    remove(spark, scratch.pop(0))  # the versions are no longer needed
-    size = F.when(F.col("parts").isNull(), F.length("block")).otherwise(4 * F.size("parts"))
-    year = F.year("day")
-    totals = kept.groupBy("cat", year.alias("year")).agg(F.sum(size).alias("total"), F.count(F.lit(1)).alias("n"))
-    # at most one row per kind (four) and calendar year
-    plan = totals.select("cat", "year", F.ceil(F.col("total") / target_bytes).cast("int").alias("outputs"))
-    bucket = F.pmod(F.xxhash64("object_id", "day"), F.col("outputs").cast("long")).cast("int")
-    axes = objects.where(F.col("object_id").isNotNull()).groupBy(F.col("object_id").cast("long").alias("object_id")).agg(F.min("lat_array").alias("lat_array"), F.min("lon_array").alias("lon_array"))
-    rows = kept.withColumn("year", year).join(F.broadcast(plan), ["cat", "year"]).withColumn("bucket", bucket).join(axes, "object_id", "left")
-    order = ["cat", "year", "bucket", "object_id", "day", "file_id"]
-    written = (
-        rows.repartition("cat", "year", "bucket")
-        .sortWithinPartitions(*order)
-        .select("cat", "year", "bucket", "object_id", F.datediff("day", F.lit("1970-01-01").cast("date")).alias("day"), "n_lat", "n_lon", "block", "parts", "lat_array", "lon_array")
-        .mapInArrow(_writer(out_dir), MANIFEST)
+    blocks = day_blocks(files).where(F.col("day").isNotNull())
+    key, cells = ["object_id", "day"], F.col("n_lat").cast("long") * F.col("n_lon")
+    # a few numbers per object and day, added up before they travel
+    days = blocks.groupBy(*key).agg(
+        F.min("cat").alias("cat"), F.max(cells).alias("cells"), (F.min(F.xxhash64("n_lat", "n_lon", "block")) == F.max(F.xxhash64("n_lat", "n_lon", "block"))).alias("single")
+    )
+    known = objects.where(F.col("object_id").isNotNull()).groupBy(F.col("object_id").cast("long").alias("object_id")).agg(F.min("lat_array").alias("lats"), F.min("lon_array").alias("lons"))
+    year, month = F.year("day"), F.month("day")
+    months = days.groupBy("object_id", year.alias("year"), month.alias("month")).agg(
+        F.min("cat").alias("cat"), F.count(F.lit(1)).alias("days"), F.sum("cells").alias("cells"), F.sum(F.when(F.col("single"), F.col("cells")).otherwise(0)).alias("single"), F.count_if(~F.col("single")).alias("several")
     )
-    manifest = materialise(written, "manifest", scratch)
-    footers = manifest.select("path").mapInArrow(_footers, "path string, rows long, schema string")
-    check = manifest.join(footers, "path", "left")
-    bad = check.where(F.col("rows").isNull() | (F.col("rows") != F.col("records")) | (F.col("schema") != SCHEMA_TEXT)).count()
-    got = manifest.agg(F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("blocks"), F.lit(0))).first()
-    want = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if bad or got[0] * 4 != want[0] or got[1] != want[1]:
-        raise RuntimeError(f"consolidation is not whole: {bad} bad files, {got[0]} of {want[0] // 4} records, {got[1]} of {want[1]} blocks")
-    adding = kept.select("file_id").distinct()
-    nothing = files.select(F.col("file_id").cast("long").alias("file_id")).where(F.col("file_id").isNotNull()).distinct().join(adding, "file_id", "left_anti")
-    lost = materialise(undated(files), "undated", scratch)
+    months = materialise(months.join(known, "object_id", "left"), "months", scratch)
+    # one row per calendar year: how many files its largest kind needs
+    plan = months.groupBy("year", "cat").agg(F.sum("cells").alias("cells")).groupBy("year").agg(F.ceil(4 * F.max("cells") / target_bytes).cast("int").alias("outputs"))
+    bucket = F.pmod(F.xxhash64("object_id", "month"), F.col("outputs").cast("long")).cast("int").alias("bucket")
+    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    sent = blocks.select("object_id", number.alias("day"), "file_id", "cat", "n_lat", "n_lon", "block").mapInArrow(_once, BLOCKS)
+    date = F.date_from_unix_date("day")
+    sent = sent.withColumns({"year": F.year(date), "month": F.month(date)}).join(F.broadcast(plan), "year")
+    none = lambda kind: F.lit(None).cast(kind)
+    order = ["year", "bucket", "object_id", "day", "file_id"]
+    axes = months.join(F.broadcast(plan), "year").select("year", bucket, "object_id", none("int").alias("day"), none("long").alias("file_id"), none("int").alias("n_lat"), none("int").alias("n_lon"), none("binary").alias("block"), "cat", "lats", "lons")
+    payload = sent.select("year", bucket, "object_id", "day", "file_id", "n_lat", "n_lon", "block", none("string").alias("cat"), none("array<double>").alias("lats"), none("array<double>").alias("lons"))
+    written = payload.unionByName(axes).repartition("year", "bucket").sortWithinPartitions(*order).mapInArrow(_writer(out_dir), WRITTEN)
+    written = materialise(written, "written", scratch)
+    manifest = written.where(F.col("path").isNotNull()).select(*MANIFEST.names)
+    footers = manifest.select("path").repartition("path").mapInArrow(_footers, "path string, rows long, schema string")
+    bad = manifest.join(footers, "path", "left").where(F.col("rows").isNull() | (F.col("rows") != F.col("records")) | (F.col("schema") != SCHEMA_TEXT)).count()
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    got = manifest.agg(zero("records"), zero("days")).first()
+    want = months.agg(zero("single"), zero("days"), zero("several"), zero("cells")).first()
+    # days of one version have exactly its records, those of several at least one block's
+    if bad or got[1] != want[1] or got[0] < want[3] or (not want[2] and got[0] != want[0]):
+        raise RuntimeError(f"consolidation is not whole: {bad} bad files, {got[0]} of {want[3]} records or more, {got[1]} of {want[1]} days")
+    nothing = files.select(F.col("file_id").cast("long").alias("file_id")).where(F.col("file_id").isNotNull()).distinct().join(written.where(F.col("file_id").isNotNull()).select("file_id"), "file_id", "left_anti")
+    lost = settle(undated(files))
     if n := lost.count():
         warnings.warn(f"{n} whole files show no day; their records are in no output", stacklevel=2)
-    return Consolidation(manifest, nothing.join(lost, "file_id", "left_anti"), out_dir, scratch, lost)
+    nothing, manifest = settle(nothing.join(lost, "file_id", "left_anti")), settle(manifest)
+    for path in scratch:
+        remove(spark, path)
+    return Consolidation(manifest, nothing, out_dir, lost)
 
 
 def undated(files: DataFrame) -> DataFrame:

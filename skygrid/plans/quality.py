@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skygrid.operators.compact import consolidate
 from skygrid.operators.rolling import rolling
 from skygrid.operators.spikes import implausible
-from skygrid.session import remove, table
+from skygrid.session import remove, settle, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p2_consolidated(spark: SparkSession, d: str) -> DataFrame:
     """What the consolidated files hold, read back from them."""
     done = consolidate(table(spark, d, "raw_files"), table(spark, d, "imd_objects"))
     back = spark.read.option("basePath", done.out_dir).parquet(f"{done.out_dir}/*/*/*.parquet")
-    return (
+    totals = (
         back.withColumn("cat", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+/[^/]+$", 1))
         .groupBy("cat", F.year("day").alias("year"))
         .agg(
@@ -41,6 +41,8 @@ def p2_consolidated(spark: SparkSession, d: str) -> DataFrame:
             F.round(F.sum(F.col("lon").cast("double")), 1).alias("lon_total"),
         )
     )
+    # one row per kind and year
+    return settle(totals, [done.out_dir])
 
 
 def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +66,56 @@ SELECT object_id, lon_i, lat_i, pos, CASE WHEN impossible THEN 'impossible' ELSE
 FROM f WHERE impossible OR stuck
 """
 
+# the rules of the operator by windows: readings without impossible ones in order, levels of four readings on either side, medians per series
+P1_FOUND_SQL = """
+WITH r AS (
+  SELECT object_id, lon_i, lat_i, pos, min(var) AS var, min(value) AS v FROM grid_obs
+  WHERE value IS NOT NULL AND value <> -999 GROUP BY object_id, lon_i, lat_i, pos),
+s AS (
+  SELECT *, row_number() OVER (PARTITION BY object_id, lon_i, lat_i ORDER BY pos)
+          - row_number() OVER (PARTITION BY object_id, lon_i, lat_i, v ORDER BY pos) AS run FROM r),
+n AS (SELECT *, count(*) OVER (PARTITION BY object_id, lon_i, lat_i, v, run) AS len FROM s),
+f AS (
+  SELECT *, CASE WHEN var = 'rain' THEN v < 0 OR v > 2000 ELSE v < -60 OR v > 60 END AS impossible,
+         len >= 6 AND NOT (var = 'rain' AND v = 0) AS stuck FROM n),
+q AS (
+  SELECT object_id, lon_i, lat_i, pos, var, v, stuck, (v - lag(v) OVER w) / 2 AS d,
+         median(v) OVER (PARTITION BY object_id, lon_i, lat_i ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING EXCLUDE CURRENT ROW) AS level,
+         list(v) OVER (PARTITION BY object_id, lon_i, lat_i ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)
+           || list(v) OVER (PARTITION BY object_id, lon_i, lat_i ORDER BY pos ROWS BETWEEN 2 FOLLOWING AND 5 FOLLOWING) AS around,
+         lag(v) OVER w AS v_1, lead(v) OVER w AS v1, lead(v, 2) OVER w AS v2, lead(pos) OVER w AS pos1
+  FROM f WHERE NOT impossible WINDOW w AS (PARTITION BY object_id, lon_i, lat_i ORDER BY pos)),
+m AS (
+  SELECT object_id, lon_i, lat_i, 1.4826 * median(abs(v - level)) FILTER (WHERE NOT stuck) AS scale, 3 * 1.4826 * median(abs(d)) FILTER (WHERE NOT stuck) AS bound
+  FROM q GROUP BY object_id, lon_i, lat_i),
+t AS (
+  SELECT q.*, scale, bound, lead(d) OVER w AS d1, lead(d, 2) OVER w AS d2, list_aggregate(around, 'median') AS level2
+  FROM q JOIN m USING (object_id, lon_i, lat_i) WINDOW w AS (PARTITION BY object_id, lon_i, lat_i ORDER BY pos)),
+one AS (
+  SELECT object_id, lon_i, lat_i, pos FROM t WHERE var <> 'rain' AND abs(d) > bound AND abs(d1) > bound AND d * d1 < 0
+     AND abs(v - level) >= 6.5 * scale AND abs(v - level) > 0 AND greatest(abs(v_1 - level), abs(v1 - level)) < 0.5 * abs(v - level)),
+two AS (
+  SELECT object_id, lon_i, lat_i, unnest([pos, pos1]) AS pos FROM t WHERE var <> 'rain' AND abs(d) > bound AND abs(d2) > bound AND d * d2 < 0 AND pos1 = pos + 1
+     AND (v - level2) * (v1 - level2) > 0 AND least(abs(v - level2), abs(v1 - level2)) >= 6.5 * scale
+     AND greatest(abs(v_1 - level2), abs(v2 - level2)) < 0.5 * least(abs(v - level2), abs(v1 - level2))),
+w AS (
+  SELECT object_id, lon_i, lat_i, pos, v, row_number() OVER k - 1 AS rank, coalesce(lead(v) OVER k, 0) AS below, count(*) OVER (PARTITION BY object_id, lon_i, lat_i) AS wet
+  FROM q WHERE var = 'rain' AND NOT stuck AND v > 0 WINDOW k AS (PARTITION BY object_id, lon_i, lat_i ORDER BY v DESC, pos)),
+c AS (
+  SELECT object_id, lon_i, lat_i, pos FROM (
+    SELECT *, max(rank) FILTER (WHERE v >= 4 * below AND below > 0 AND rank < greatest(wet // 3, 1)) OVER (PARTITION BY object_id, lon_i, lat_i) AS last FROM w) WHERE rank <= last),
+y AS (
+  SELECT t.object_id, t.lon_i, t.lat_i, t.pos, d, d1, bound, c.pos IS NOT NULL AS cand,
+         row_number() OVER (PARTITION BY t.object_id, t.lon_i, t.lat_i ORDER BY t.pos) - row_number() OVER (PARTITION BY t.object_id, t.lon_i, t.lat_i, c.pos IS NOT NULL ORDER BY t.pos) AS run
+  FROM t LEFT JOIN c ON c.object_id = t.object_id AND c.lon_i = t.lon_i AND c.lat_i = t.lat_i AND c.pos = t.pos WHERE var = 'rain'),
+z AS (
+  SELECT object_id, lon_i, lat_i, run FROM y WHERE cand GROUP BY object_id, lon_i, lat_i, run
+  HAVING count(*) <= 2 AND coalesce(arg_min(coalesce(d, 1e9), pos) > coalesce(max(bound), 0), true) AND coalesce(arg_max(coalesce(d1, -1e9), pos) < -coalesce(max(bound), 0), true))
+SELECT object_id, lon_i, lat_i, pos FROM f WHERE impossible OR stuck
+UNION SELECT * FROM one UNION SELECT * FROM two
+UNION SELECT y.object_id, y.lon_i, y.lat_i, y.pos FROM y JOIN z USING (object_id, lon_i, lat_i, run) WHERE y.cand
+"""
+
 _RECORDS_SQL = r"""
 w AS (
   SELECT *, regexp_extract(path, '[^/]*$') AS base,
@@ -122,4 +174,4 @@ WINDOW w7 AS (PARTITION BY object_id, lon_i, lat_i ORDER BY pos ROWS 6 PRECEDING
 """
 
 QUERIES = {"p1_found": p1_found, "p1_stuck": p1_stuck, "p2_found": p2_found, "p2_consolidated": p2_consolidated, "p3_rolling": p3_rolling}
-SQL = {"p1_stuck": P1_STUCK_SQL, "p2_found": P2_FOUND_SQL, "p2_consolidated": P2_CONSOLIDATED_SQL, "p3_rolling": P3_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_stuck": P1_STUCK_SQL, "p2_found": P2_FOUND_SQL, "p2_consolidated": P2_CONSOLIDATED_SQL, "p3_rolling": P3_SQL}

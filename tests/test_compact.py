@@ -1,4 +1,5 @@
 import io
+import os
 import struct
 
 import numpy as np
@@ -68,8 +69,14 @@ def test_every_record_once_and_the_files_that_add_nothing(spark, target):
     assert sum(r["object_id"] == 9 and np.isnan(r["lon"]) for r in back) == 4
     m = done.manifest.collect()
     assert sum(r["records"] for r in m) == len(seen) and {(r["cat"], r["year"]) for r in m} == {("tmax", 2003), ("rain", 2019), ("rain", 2020)}
-    if target == 8:
-        assert len(m) > 3
+    assert all((r["blocks"] >= r["days"]) and r["bytes"] > 0 for r in m)
+
+
+def test_large_years_are_dealt_to_several_files(spark):
+    rows = [(i, o, f"o{o}/tmax/max01{m:02d}2003.grd", 1, payload(i, o)) for i, (o, m) in enumerate((o, m) for o in range(5) for m in range(1, 13))]
+    done = compact.consolidate(files_of(spark, rows), objects(spark), target_bytes=100)
+    m = done.manifest.collect()
+    assert len(m) == 5 and sum(r["records"] for r in m) == 120 and done.adds_nothing.count() == 0
 
 
 def test_empty_null_and_undated(spark):
@@ -117,4 +124,35 @@ def test_block_file_is_parquet(monkeypatch):
     assert f.close() == sink.tell()
     t = pq.read_table(sink)
     assert t["value"].to_pylist() == [0, 0.5, 1, 1.5, 2, 2.5, 3, 3.5] and t["object_id"].to_pylist() == [1 << 40] * 8
-    assert pq.ParquetFile(sink).metadata.num_row_groups == 2
+    assert t["day"].cast("int32").to_pylist() == [0, 0, -1, -1, -2, -2, -3, -3] and t["lat"].to_pylist() == [1, 2] * 4 and t["lon"].to_pylist() == [3, 4] * 4
+    m = pq.ParquetFile(sink).metadata
+    assert m.num_row_groups == 2 and f.days == 4
+    stats = m.row_group(0).column(1).statistics
+    assert (stats.min, stats.max, stats.null_count) == (__import__("datetime").date(1969, 12, 30), __import__("datetime").date(1970, 1, 1), 0)
+    assert pq.read_table(sink, filters=[("object_id", "=", 5)]).num_rows == 0
+
+
+def test_keys_are_packed_losslessly():
+    r = np.random.default_rng(3)
+    sink = io.BytesIO()
+    f = parquet_blocks.BlockFile(sink)
+    want = []
+    for k in range(300):
+        n = int(r.integers(1, 40))
+        lat, lon, v = r.integers(0, 700, n) / 4, r.integers(0, 3, n) * 1.0, r.normal(size=n).astype("<f4")
+        f.add(k // 7, int(r.integers(-9, 9)), lat, lon, v.tobytes())
+        want += list(zip([k // 7] * n, lat.tolist(), lon.tolist(), v.tolist()))
+    f.close()
+    t = pq.read_table(sink)
+    assert list(zip(t["object_id"].to_pylist(), t["lat"].to_pylist(), t["lon"].to_pylist(), t["value"].to_pylist())) == want
+
+
+def test_nothing_is_left_behind(spark, tmp_path):
+    from skygrid.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    done = compact.consolidate(files_of(spark, ROWS), objects(spark), out_dir=f"file://{tmp_path}/out")
+    left = set(os.listdir(folder)) - before
+    assert all(x.count("-") == 4 and os.path.isdir(os.path.join(folder, x)) and all(y.startswith("rdd-") for y in os.listdir(os.path.join(folder, x))) for x in left)
+    assert done.adds_nothing.count() == len(brute(ROWS)[1])
