@@ -34,7 +34,7 @@ from skygrid.session import fresh_dir, materialise, remove, settle
 
 #: Bytes of values that one consolidated file should hold.
 TARGET_BYTES = 128 << 20
-KINDS = ("rain", "tmax", "tmin")
+KINDS = ("rain", "tmax", "tmin", "other")
 
 #: Bytes of blocks that a task looks through for copies at a time.
 HELD_BYTES = 32 << 20
@@ -45,39 +45,40 @@ MANIFEST = T.StructType(
 #: A written file (path not NULL) or a file_id of which records were copied.
 WRITTEN = T.StructType([*MANIFEST.fields, T.StructField("file_id", T.LongType())])
 BLOCKS = T.StructType(
-    [T.StructField("object_id", T.LongType()), T.StructField("day", T.IntegerType()), T.StructField("file_id", T.LongType()), T.StructField("cat", T.StringType()), T.StructField("n_lat", T.IntegerType()), T.StructField("n_lon", T.IntegerType()), T.StructField("block", T.BinaryType())]
+    [T.StructField("object_id", T.LongType()), T.StructField("day", T.IntegerType()), T.StructField("file_id", T.LongType()), T.StructField("n_lat", T.IntegerType()), T.StructField("n_lon", T.IntegerType()), T.StructField("block", T.BinaryType())]
 )
 
 
-def _date(text: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(fmt)).cast("date")
-
-
 def first_day(path: Column, start_day: Column) -> Column:
     """First day of a file: by the naming styles of its path, else by start_day (yyyy-MM-dd, yyyyMMdd, with or without a time)."""
     base = F.regexp_extract(path, r"[^/]*$", 0)
 
-    def part(pattern: str) -> Column:
-        m = F.regexp_extract(base, pattern, 1)
-        return F.when(m != "", m)
+    def day(text: Column, year: int, month: int, last: int, century: Column | None = None) -> Column:
+        """A date from a text's digits at these places, NULL if there is none."""
+        y = F.substring(text, year, 4) if century is None else F.concat(century, F.substring(text, year, 2))
+        return F.concat_ws("-", y, F.substring(text, month, 2), F.substring(text, last, 2)).try_cast("date")
 
-    yy = part(r"(?i)ind0\.25_(\d{2}_\d{2}_\d{2})")
-    full = F.when(F.substring(yy, 1, 2) >= "91", F.concat(F.lit("19"), yy)).otherwise(F.concat(F.lit("20"), yy))
-    plain = F.regexp_replace(F.substring(F.trim(start_day), 1, 10), "-", "")
+    yy = F.regexp_extract(base, r"(?i)ind0\.25_(\d{2}_\d{2}_\d{2})", 1)
+    by_kind = F.regexp_extract(base, r"(?i)(?:max|min)(\d{8})(?!\d)", 1)
+    dashed = F.regexp_extract(base, r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)", 1)
+    plain = F.regexp_extract(base, r"(?<!\d)(\d{8})(?!\d)", 1)
+    own = F.substring(F.trim(start_day), 1, 10)
     return F.coalesce(
-        _date(full, "yyyy_MM_dd"),
-        _date(part(r"(?i)(?:max|min)(\d{8})(?!\d)"), "ddMMyyyy"),
-        _date(part(r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)"), "yyyy-MM-dd"),
-        _date(part(r"(?<!\d)(\d{8})(?!\d)"), "yyyyMMdd"),
-        _date(F.substring(plain, 1, 8), "yyyyMMdd"),
+        F.when(yy != "", day(yy, 1, 4, 7, F.when(F.substring(yy, 1, 2) >= "91", "19").otherwise("20"))),
+        F.when(by_kind != "", day(by_kind, 5, 3, 1)),
+        F.when(dashed != "", day(dashed, 1, 6, 9)),
+        F.when(plain != "", day(plain, 1, 5, 7)),
+        F.when(F.regexp_like(own, F.lit(r"^\d{4}-\d{2}-\d{2}$")), day(own, 1, 6, 9)),
+        F.when(F.regexp_like(own, F.lit(r"^\d{8}")), day(own, 1, 5, 7)),
     )
 
 
 def kind(path: Column, cat: Column) -> Column:
-    """rain, tmax or tmin: by cat where that is clean after trimming and lower case, else by the path."""
+    """Place in KINDS: by cat where that is clean after trimming and lower case, else by the path."""
     c, p = F.lower(F.trim(cat)), F.lower(path)
-    by_path = F.when(p.contains("rain"), "rain").when(F.regexp_like(p, F.lit("tmax|/max")), "tmax").when(F.regexp_like(p, F.lit("tmin|/min")), "tmin")
-    return F.coalesce(F.when(c.isin(*KINDS), c), by_path, F.lit("other"))
+    number = F.when(c == KINDS[0], 0).when(c == KINDS[1], 1).when(c == KINDS[2], 2)
+    by_path = F.when(p.contains("rain"), 0).when(p.contains("tmax") | p.contains("/max"), 1).when(p.contains("tmin") | p.contains("/min"), 2)
+    return F.coalesce(number, by_path, F.lit(3))
 
 
 def day_blocks(files: DataFrame) -> DataFrame:
@@ -112,24 +113,21 @@ def day_blocks(files: DataFrame) -> DataFrame:
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks (BLOCKS), equal ones of an object's day within a stretch of the input only by their first file."""
-    held: dict[tuple, tuple] = {}
+    held: dict[tuple, int] = {}
     size = 0
 
     def flush() -> pa.RecordBatch:
-        rows = [(k[0], k[1], v[0], v[1], k[2], k[3], k[4]) for k, v in held.items()]
-        cols = list(zip(*rows)) or [()] * 7
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+        cols = list(zip(*held)) or [()] * 5
+        cols.insert(2, list(held.values()))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=BLOCKS.names)
 
     for b in batches:
-        for object_id, day, file_id, cat, n_lat, n_lon, block in zip(*(b.column(i).to_pylist() for i in range(7))):
-            key = (object_id, day, n_lat, n_lon, block)
-            old = held.get(key)
-            if old is None:
-                held[key] = (file_id, cat)
-                size += len(block) + 200
-            elif file_id < old[0]:
-                held[key] = (file_id, cat)
+        object_id, day, file_id, n_lat, n_lon, block = (b.column(i).to_pylist() for i in range(6))
+        for key, i in zip(zip(object_id, day, n_lat, n_lon, block), file_id):
+            if held.setdefault(key, i) > i:
+                held[key] = i
+        size += b.nbytes
         if size > HELD_BYTES:
             yield flush()
             held, size = {}, 0
@@ -265,10 +263,11 @@ def consolidate(files: DataFrame, objects: DataFrame, out_dir: str | None = None
     spark = files.sparkSession
     out_dir = out_dir or fresh_dir(spark, "consolidated")
     scratch: list[str] = []
-    blocks = day_blocks(files).where(F.col("day").isNotNull())
+    every = day_blocks(files)
+    blocks = every.where(F.col("day").isNotNull())
     key, cells = ["object_id", "day"], F.col("n_lat").cast("long") * F.col("n_lon")
     # a few numbers per object and day, added up before they travel
-    days = blocks.groupBy(*key).agg(
+    days = every.groupBy(*key).agg(
         F.min("cat").alias("cat"), F.max(cells).alias("cells"), (F.min(F.xxhash64("n_lat", "n_lon", "block")) == F.max(F.xxhash64("n_lat", "n_lon", "block"))).alias("single")
     )
     known = objects.where(F.col("object_id").isNotNull()).groupBy(F.col("object_id").cast("long").alias("object_id")).agg(F.min("lat_array").alias("lats"), F.min("lon_array").alias("lons"))
@@ -278,15 +277,17 @@ def consolidate(files: DataFrame, objects: DataFrame, out_dir: str | None = None
     )
     months = materialise(months.join(known, "object_id", "left"), "months", scratch)
     # one row per calendar year: how many files its largest kind needs
+    late = months.where("year is null").limit(1).count()  # whole files that show no day
+    months = months.where("year is not null")
     plan = months.groupBy("year", "cat").agg(F.sum("cells").alias("cells")).groupBy("year").agg(F.ceil(4 * F.max("cells") / target_bytes).cast("int").alias("outputs"))
     bucket = F.pmod(F.xxhash64("object_id", "month"), F.col("outputs").cast("long")).cast("int").alias("bucket")
     number = F.datediff("day", F.lit("1970-01-01").cast("date"))
-    sent = blocks.select("object_id", number.alias("day"), "file_id", "cat", "n_lat", "n_lon", "block").mapInArrow(_once, BLOCKS)
+    sent = blocks.select("object_id", number.alias("day"), "file_id", "n_lat", "n_lon", "block").mapInArrow(_once, BLOCKS)
     date = F.date_from_unix_date("day")
     sent = sent.withColumns({"year": F.year(date), "month": F.month(date)}).join(F.broadcast(plan), "year")
     none = lambda kind: F.lit(None).cast(kind)
     order = ["year", "bucket", "object_id", "day", "file_id"]
-    axes = months.join(F.broadcast(plan), "year").select("year", bucket, "object_id", none("int").alias("day"), none("long").alias("file_id"), none("int").alias("n_lat"), none("int").alias("n_lon"), none("binary").alias("block"), "cat", "lats", "lons")
+    axes = months.join(F.broadcast(plan), "year").select("year", bucket, "object_id", none("int").alias("day"), none("long").alias("file_id"), none("int").alias("n_lat"), none("int").alias("n_lon"), none("binary").alias("block"), F.element_at(F.array(*[F.lit(x) for x in KINDS]), F.col("cat") + 1).alias("cat"), "lats", "lons")
     payload = sent.select("year", bucket, "object_id", "day", "file_id", "n_lat", "n_lon", "block", none("string").alias("cat"), none("array<double>").alias("lats"), none("array<double>").alias("lons"))
     written = payload.unionByName(axes).repartition("year", "bucket").sortWithinPartitions(*order).mapInArrow(_writer(out_dir), WRITTEN)
     written = materialise(written, "written", scratch)
@@ -300,9 +301,9 @@ def consolidate(files: DataFrame, objects: DataFrame, out_dir: str | None = None
     if bad or got[1] != want[1] or got[0] < want[3] or (not want[2] and got[0] != want[0]):
         raise RuntimeError(f"consolidation is not whole: {bad} bad files, {got[0]} of {want[3]} records or more, {got[1]} of {want[1]} days")
     nothing = files.select(F.col("file_id").cast("long").alias("file_id")).where(F.col("file_id").isNotNull()).distinct().join(written.where(F.col("file_id").isNotNull()).select("file_id"), "file_id", "left_anti")
-    lost = settle(undated(files))
-    if n := lost.count():
-        warnings.warn(f"{n} whole files show no day; their records are in no output", stacklevel=2)
+    lost = settle(undated(files) if late else undated(files.limit(0)))
+    if late:
+        warnings.warn(f"{lost.count()} whole files show no day; their records are in no output", stacklevel=2)
     nothing, manifest = settle(nothing.join(lost, "file_id", "left_anti")), settle(manifest)
     for path in scratch:
         remove(spark, path)
