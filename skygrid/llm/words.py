@@ -6,6 +6,8 @@ import html
 import re
 import unicodedata
 
+import regex
+
 #: Letters of other scripts that look like Latin ones (Cyrillic, Greek and a few Latin variants), before lower-casing.
 LOOKALIKES = str.maketrans(
     {
@@ -20,7 +22,8 @@ LOOKALIKES = str.maketrans(
 
 LINK = re.compile(r"(?:(?:https?|hxxps?|ftp)://|www\.)[^\s<>\"')\]]+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/[^\s<>\"')\]]*)?(?![\w@])|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/[^\s<>\"')\]]*", re.I)
 TAGS = re.compile(r"<[^<>]*>")
-_MARK = re.compile(r"[̀-ͯ]")
+#: Accents, and format and control characters other than line break, tab and our own marks.
+_GONE = regex.compile(r"[\u0300-\u036f]+|(?![\n\t\x01-\x03])[\p{Cf}\p{Cc}]")
 
 
 def unescape(text: str) -> str:
@@ -33,14 +36,11 @@ def unescape(text: str) -> str:
 
 
 def fold(text: str) -> str:
-    """Compatibility forms, look-alikes, accents of Latin letters and invisible characters folded; lower case."""
+    """Compatibility forms, look-alikes, accents of Latin letters and invisible characters folded; lower case. The marks \x01 to \x03 stay."""
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFKD", text).translate(LOOKALIKES)
-    text = _MARK.sub("", text)
-    if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t")
-    return text.casefold()
+    return _GONE.sub("", text).casefold()
 
 
 #: Common little words of each language, folded; how sentences are held together.
