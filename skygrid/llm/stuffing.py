@@ -1,34 +1,37 @@
 """Reviews that are keyword stuffing, link lists or tag lists instead of sentences.
 
-Every word of a text (a link is one word) is marked as stuffed where one of these
-measures, each thresholded, says so:
-
-* links and tags themselves, and the anchor texts of link lists (link-text ratio);
-* missing function words: their density in the window around the word is below the
-  language's threshold;
-* n-gram share: the word lies in a repeated pair or triple while the window states
-  nothing (no subjects, auxiliaries or negation);
-* top-word chains: the word lies between close occurrences of one content word
-  that recurs without a statement in between ("rain gauge for the garden, rain
-  gauge with the best price");
-* list items: several short items between separators in a row, without function words.
-
-Top-word share, duplicate-line share and separator density are returned as columns
-and have no threshold of their own: chains stand in for the first, list items for
-the last, and repeated lines count only as repeated n-grams.
-
-A document is found if at least SHARE of its words are stuffed. The function-word
-threshold of each language is a fraction of that language's median density over
-all documents, from a counting pass; the language is the one whose little words
-the text holds most of, since labels are often missing or wrong.
+No word list is given; what prose of a language looks like is learnt from all
+documents, in passes whose results are a few numbers per language and word:
+
+1. Texts become words (a link is one word), with marks for links and tags, list
+   separators and sentence ends. Documents of very high link-text, n-gram, top-word or
+   duplicate-line share or of short list items throughout are set apart as suspects.
+2. Per language, words are counted in the other documents and in the suspects: first by label,
+   many of which are wrong, then again by what that says of each document. Frequent
+   words that are much rarer in suspects are the language's statement words (its
+   function words, and verbs such as stuffing never has); frequent words
+   of either are its vocabulary. A document's language is the one whose vocabulary covers
+   most of it; its own label, often missing or wrong, decides nothing. What no
+   vocabulary covers is of an unlisted language.
+3. Thresholds per language come from the histograms of all its documents that are no
+   suspects: of statement words a part of the median; of top-word share, n-gram share,
+   duplicate-line share, link share and separator density a high percentile.
+4. A word is stuffed if it is a link, tag or link text, if statement words are missing
+   around it and most words there are of some language's vocabulary (rare words in a row are no
+   keywords), or if statement words are scarce around it and the document passes one of
+   the five other thresholds. In an unlisted language missing words say nothing: there only links,
+   repeated n-grams and list items count, and one of the five thresholds must be passed.
+
+A document is found if at least SHARE of its words are stuffed. Texts of fewer than
+SHORT words (very short ones are no cases) are found only for links and tags.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,237 +39,446 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skygrid.llm.words import FUNCTION_WORDS, LINK, STATEMENT, TAGS, fold, unescape
-from skygrid.session import materialise, spread
+from skygrid.llm.words import LINK, TAGS, fold, unescape
+from skygrid.session import materialise, settle
 
 SHARE = 2 / 3
+SHORT = 12
 WINDOW = 9
-#: Statement words a window must have at least, as a share, for its words to count as saying something.
-STATED = 0.12
-#: A language's threshold of function-word density is this part of its median.
-PART_OF_MEDIAN = 0.3
-#: Threshold where a language has too few documents to calibrate.
-DEFAULT_DENSITY = 0.15
+#: Parts of a language's median of statement words below which they are missing, or scarce.
+MISSING, SCARCE = 0.4, 0.45
+#: Percentile of a language's documents above which another measure is passed, and what it must be at least.
+HIGH, LEAST = 0.99, {"top_word_share": 0.12, "ngram_share": 0.3, "duplicate_line_share": 0.3, "link_share": 0.3, "separator_density": 0.25}
+#: A statement word occurs in this part of a label's documents, and so many times more often per word than in suspects.
+FREQUENT, RATIO = 0.004, 4.0
+#: As FREQUENT, when labels are all that is known of languages: many are wrong, so only the commonest words count.
+COMMON = 0.03
+#: And the word is in so many documents, or comes so often in suspects.
+SUPPORT = 8
+#: Part of the words of a document, and of those around a word where statement words are missing, that a language's vocabulary (or that of any) must cover.
+COVERED, AROUND = 0.5, 0.5
+#: Labels of fewer documents are no language of their own.
 ENOUGH = 30
-#: Texts of fewer words are found only for their links and tags.
-SHORT = 12
-#: A chain: occurrences of the same content word at most so far apart, at least so many in a row.
-CHAIN_GAP, CHAIN_LINKS = 8, 3
+#: Suspects: shares of links, words of repeated n-grams, the top word, repeated lines, short list items.
+SUSPECT = {"link_share": 0.5, "ngram_share": 0.5, "top_word_share": 0.2, "duplicate_line_share": 0.5, "item_share": 0.7}
+#: Items of a list have at most so many words each, and at least so many follow each other.
+ITEM_WORDS, ITEMS = 4, 5
+#: Words of so many letters do not count as top word of a suspect: in most languages those are function words.
+LITTLE = 3
 BINS = 100
-#: Numbers of function words in a window below which a threshold can lie.
-LEVELS = 4
-
-_LISTS = {lang: frozenset(fold(w) for w in ws.split()) for lang, ws in FUNCTION_WORDS.items()}
-_FUNCTION = frozenset().union(*_LISTS.values())
-_OF = {w: tuple(sorted(lang for lang, ws in _LISTS.items() if w in ws)) for w in _FUNCTION}
-_LINK = "\x01"
-_MAYBE_LINK = re.compile(r"\w\.[a-z]|://|www", re.I)
-_TOKEN = re.compile("\x02|[#@]?[\\wऀ-෿$@!|]*[\\wऀ-෿][\\wऀ-෿$@'’]*(?:[-.][\\wऀ-෿$@]+)*")
-_ANCHOR = re.compile(r"<a\b[^<>]*href[^<>]*>(.*?)</a\s*>", re.I | re.S)
-_MARKDOWN = re.compile(r"\[([^\[\]]*)\]\(\s*([^()\s]+)\s*\)")
-_SEPARATOR = re.compile(r"\s+[/|•·–—-]+\s+|[,;|•·]\s|[.!?।…]+(?:\s|$)|\n")
-_BREAK = "\x02"
-#: Items of a list: at most so many words each, at least so many items in a row.
-ITEM_WORDS, ITEMS = 4, 2
-#: Texts of fewer words must besides lack function words as a whole, or have REPEATING of their words in repeated n-grams or in chains and list items.
-BRIEF, REPEATING = 25, 0.5
+STEP_CHARS = 1_000_000
+MEASURES = tuple(LEAST)
 
+TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.StringType()), T.StructField("suspect", T.BooleanType()), T.StructField("w", T.BinaryType()), T.StructField("marks", T.BinaryType())])
 FEATURES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("language", T.StringType()),
         T.StructField("words", T.IntegerType()),
         T.StructField("function_share", T.DoubleType()),
-        T.StructField("top_word_share", T.DoubleType()),
-        T.StructField("ngram_share", T.DoubleType()),
-        T.StructField("chain_share", T.DoubleType()),
-        T.StructField("duplicate_line_share", T.DoubleType()),
-        T.StructField("link_share", T.DoubleType()),
-        T.StructField("separator_density", T.DoubleType()),
-        T.StructField("stuffed_by_level", T.ArrayType(T.DoubleType())),
+        *[T.StructField(m, T.DoubleType()) for m in MEASURES],
+        T.StructField("stuffed_share", T.DoubleType()),
+        T.StructField("found", T.BooleanType()),
     ]
 )
 
+# marks between words: an anchor's text stands between two _LINK; _END stands between texts
+_LINK, _LIST, _END, _STOP = "\x01", "\x02", "\x03", "\x04"
+_OURS = re.compile("[\x00-\x08]")
+_MAYBE_LINK = re.compile(r"\w\.[a-z]|://|www", re.I)
+_ANCHOR = re.compile(r"<a\b[^<>\x03]*href[^<>\x03]*>([^\x03]*?)</a\s*>", re.I)
+_MARKDOWN = re.compile(r"\[([^\[\]\x03]*)\]\(\s*([^()\s]+)\s*\)")
+_LISTED = re.compile(r"\s+[/|•·–—-]+\s+|[,;|•·]\s")
+_STOPPED = re.compile(r"[.!?।…]+(?:\s|$)|\n")
+_TOKEN = re.compile("[\x01-\x04]|[#@]?[\\wऀ-෿$@!|]*[\\wऀ-෿][\\wऀ-෿$@'’]*(?:[-.][\\wऀ-෿$@]+)*")
+#: Marks of a word: link, tag or link text; a list separator before it; the first of a sentence; of LITTLE letters or fewer.
+FORCED, AFTER_LIST, FIRST, BRIEF = 1, 2, 4, 8
+
+
+#: Signs that stand for letters in a disguised word.
+_DISGUISES = str.maketrans({"@": "a", "$": "s", "3": "e", "0": "o", "1": "i"})
+_DISGUISED = re.compile(r"(?:^|[^\W\d_])[@$301]+[^\W\d_]|[^\W\d_][@$301]+(?:$|[^\W\d_])|[@$].*[@$]")
+
+
+class _Codes(dict):
+    """Words to 32-bit codes, kept by a worker; 2^32 is added for tags, 2^33 for words of few letters."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        plain = word.translate(_DISGUISES) if _DISGUISED.search(word) else word
+        code = max(zlib.crc32(plain.encode()), 16) | (word[0] == "#") << 32 | (len(word) <= LITTLE) << 33
+        self[word] = code
+        return code
+
 
-def split(text: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-    """Folded words (links as one), lines, which words are links, tags or anchor text, and the item (between separators) of each word."""
+_CODES = _Codes()
+_CODE = {_LINK: 1, _LIST: 2, _END: 3, _STOP: 4}
+
+
+def _marked(text: str) -> str:
+    """Folded text with our marks for links, separators and stops; works on several texts with _END between."""
     t = unescape(text)
     if "<" in t:
-        t = TAGS.sub(" ", _ANCHOR.sub(lambda m: f" \x01{m[1]}\x01 ", t))
+        t = TAGS.sub(" ", _ANCHOR.sub(f" {_LINK}\\1{_LINK} ", t))
     if "](" in t:
-        t = _MARKDOWN.sub(lambda m: f" \x01{m[1]}\x01 ", t)
+        t = _MARKDOWN.sub(f" {_LINK}\\1{_LINK} ", t)
     if _MAYBE_LINK.search(t):
-        t = LINK.sub(" \x01\x01 ", t)
-    lines = [x for x in (fold(y).strip() for y in re.split(r"[\n.!?।]+", t)) if x]
-    t = _SEPARATOR.sub(" \x02 ", t)
-    # an anchor's text sits between two marks and counts as one link with its words
-    words: list[str] = []
-    forced: list[bool] = []
-    item: list[int] = []
-    at = 0
-    for i, piece in enumerate(t.split("\x01")):
-        inside = i % 2 == 1
-        if inside:
-            words.append(_LINK)
-            forced.append(True)
-            item.append(at)
-        for w in _TOKEN.findall(_BREAK.join(fold(x) for x in piece.split(_BREAK))):
-            if w == _BREAK:
-                at += 1
-                continue
-            words.append(w)
-            forced.append(inside or w[0] == "#")
-            item.append(at)
-    return words, lines, np.array(forced, bool), np.array(item, int)
-
-
-def _items(item: np.ndarray, fn: np.ndarray, forced: np.ndarray) -> np.ndarray:
-    """Words of short items without function words, of which several follow each other."""
-    n = item.size
-    if item[-1] < ITEMS - 1:
-        return np.zeros(n, bool)
-    start = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
-    size = np.diff(np.append(start, n))
-    bare = (size <= ITEM_WORDS) & (np.add.reduceat(fn, start) == 0) | np.logical_and.reduceat(forced, start)
-    edge = np.flatnonzero(np.append(True, bare[1:] != bare[:-1]))
-    length = np.diff(np.append(edge, bare.size))
-    return np.repeat(bare & np.repeat(length >= ITEMS, length), size)
-
-
-def language(words: list[str]) -> str:
-    """The language whose function words are most frequent, "" if none occurs; ties go to the first in alphabetical order."""
-    counts = Counter(lang for w in words for lang in _OF.get(w, ()))
-    return min(counts, key=lambda lang: (-counts[lang], lang)) if counts else ""
-
-
-def density(marks: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Share of marks in the window around each position, moved inwards at the ends."""
-    n = marks.size
-    if n <= window:
-        return np.full(n, marks.mean() if n else 0.0)
-    total = np.concatenate([[0], np.cumsum(marks)])
-    low = np.clip(np.arange(n) - window // 2, 0, n - window)
-    return (total[low + window] - total[low]) / window
-
-
-def _repeated(words: list[str]) -> np.ndarray:
-    """Words in triples that occur twice or pairs that occur three times."""
-    n = len(words)
-    out = np.zeros(n, bool)
+        t = LINK.sub(f" {_LINK}{_LINK} ", t)
+    return fold(_STOPPED.sub(f" {_STOP} ", _LISTED.sub(f" {_LIST} ", t)))
+
+
+@dataclass
+class Texts:
+    """Words of many texts, concatenated: code and marks of each, and where each text begins and ends."""
+
+    w: np.ndarray
+    marks: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    doc: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.doc = np.repeat(np.arange(self.starts.size), self.ends - self.starts)
+
+    @property
+    def n(self) -> np.ndarray:
+        return self.ends - self.starts
+
+    def share(self, hit: np.ndarray) -> np.ndarray:
+        """Part of each text's words."""
+        return np.bincount(self.doc, weights=hit, minlength=self.starts.size) / np.maximum(self.n, 1)
+
+
+def split(texts: list[str | None]) -> Texts:
+    """Plain texts and the others are swept apart, since folding costs more than all else."""
+    clean = [_OURS.sub(" ", t or "") for t in texts]
+    plain = np.array([t.isascii() for t in clean], bool)
+    parts = []
+    for kind in (True, False):
+        at = np.flatnonzero(plain == kind)
+        if at.size:
+            tokens = _TOKEN.findall(_marked(f"\n{_END}\n".join(clean[i] for i in at)))
+            code = np.fromiter(map(_CODES.__getitem__, tokens), np.int64, len(tokens))
+            parts.append((at, *_assemble(code, at.size)))
+    size = np.zeros(len(texts), int)
+    for at, _, _, n in parts:
+        size[at] = n
+    ends = np.cumsum(size)
+    starts = ends - size
+    w, marks = np.zeros(int(size.sum()), np.uint32), np.zeros(int(size.sum()), np.uint8)
+    for at, own, m, n in parts:
+        to = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(own.size)
+        w[to], marks[to] = own, m
+    return Texts(w, marks, starts, ends)
+
+
+_CODES.update(_CODE)
+
+
+def _assemble(code: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of words, their marks, and the number of words of each text."""
+    doc = np.cumsum(code == _CODE[_END])
+    link = code == _CODE[_LINK]
+    opens = link & (np.cumsum(link) % 2 == 1)
+    inside = np.cumsum(link) % 2 == 1
+    keep = np.flatnonzero((code >= 16) | opens)
+    count = lambda c: np.cumsum(code == c)[keep]
+    listed, stopped, own = count(_CODE[_LIST]), count(_CODE[_STOP]), doc[keep]
+    new = np.ones(keep.size, bool)
+    new[1:] = own[1:] != own[:-1]
+    step = lambda x: np.append(True, x[1:] != x[:-1]) if x.size else np.zeros(0, bool)
+    marks = (opens[keep] | inside[keep] | (code[keep] >> 32 & 1 == 1)) * FORCED | (code[keep] >> 33 & 1) * BRIEF | (step(listed) & ~new) * AFTER_LIST | (step(stopped) | new) * FIRST
+    return (code[keep] & 0xFFFFFFFF).astype(np.uint32), marks.astype(np.uint8), np.bincount(own, minlength=texts)
+
+
+def _mix(*columns: np.ndarray) -> np.ndarray:
+    h = np.zeros(columns[0].size, np.uint64)
+    for c in columns:
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def repeated(t: Texts) -> np.ndarray:
+    """Words in triples that occur twice or pairs that occur three times in their text."""
+    out = np.zeros(t.w.size, bool)
     for size, least in ((3, 2), (2, 3)):
-        grams = list(zip(*(words[k:] for k in range(size))))
-        if len(set(grams)) == len(grams):
-            continue
-        count = Counter(grams)
-        for i, g in enumerate(grams):
-            if count[g] >= least:
-                out[i : i + size] = True
-    return out
-
-
-def _chains(words: list[str], stated: np.ndarray) -> np.ndarray:
-    """Words in chains of one recurring content word with no statement between."""
-    out = np.zeros(len(words), bool)
-    places: dict[str, list[int]] = {}
-    for i, w in enumerate(words):
-        places.setdefault(w, []).append(i)
-    said = np.concatenate([[0], np.cumsum(stated)])
-    for w, at in places.items():
-        if len(at) <= CHAIN_LINKS or w in _FUNCTION:
+        if t.w.size < size:
             continue
-        linked = [b - a <= CHAIN_GAP and said[b] == said[a] for a, b in zip(at, at[1:])] + [False]
-        begin = 0
-        for k, fine in enumerate(linked):
-            if not fine:
-                if k - begin >= CHAIN_LINKS:
-                    out[max(at[begin] - 2, 0) : min(at[k] + CHAIN_GAP // 2, len(words))] = True
-                begin = k + 1
+        n = t.w.size - size + 1
+        whole = t.doc[:n] == t.doc[size - 1 :]
+        _, inverse, count = np.unique(_mix(t.doc[:n], *(t.w[k : k + n] for k in range(size))), return_inverse=True, return_counts=True)
+        at = np.flatnonzero(whole & (count[inverse] >= least))
+        for k in range(size):
+            out[at + k] = True
     return out
 
 
-def measure(text: str | None) -> dict:
-    """All features of one text; stuffed_by_level[k] is its stuffed share if windows of fewer than k + 1 function words lack them."""
-    words, lines, forced, item = split(text or "")
-    n = len(words)
-    if not n:
-        return dict.fromkeys(FEATURES.names, 0.0) | {"language": "", "words": 0, "stuffed_by_level": [0.0] * LEVELS}
-    fn = np.fromiter((w in _FUNCTION for w in words), float, n)
-    plain = ~forced
-    stated = np.fromiter((w in STATEMENT for w in words), float, n)
-    repeated = _repeated(words)
-    chained = _chains(words, stated) | _items(item, fn, forced)
-    base = forced | chained
-    if repeated.any():
-        base |= repeated & (density(stated) < STATED)
-    # function words of each window, whole numbers
-    held = np.floor(density(fn) * WINDOW + 1e-9).astype(int)
-    below = np.cumsum(np.bincount(np.minimum(held[~base], LEVELS), minlength=LEVELS + 1)[:LEVELS])
-    marked = int(np.count_nonzero(base))
-    count = Counter(words)
+def list_items(t: Texts) -> np.ndarray:
+    """Words of short items between separators or stops, of which several follow each other after list separators."""
+    if not t.w.size:
+        return np.zeros(0, bool)
+    begin = np.flatnonzero(t.marks & (AFTER_LIST | FIRST) > 0)
+    size = np.diff(np.append(begin, t.w.size))
+    short = size <= ITEM_WORDS
+    # a run of short items ends with a long one or with the text
+    edge = np.flatnonzero(np.append(True, (short[1:] != short[:-1]) | (t.doc[begin][1:] != t.doc[begin][:-1])))
+    length = np.diff(np.append(edge, begin.size))
+    listed = np.add.reduceat(t.marks[begin] & AFTER_LIST > 0, edge)
+    fine = short[edge] & (length >= ITEMS) & (listed * 2 >= length)
+    return np.repeat(np.repeat(fine, length), size)
+
+
+def _top(t: Texts, use: np.ndarray) -> np.ndarray:
+    """Share of each text's most frequent word among those in use."""
+    out = np.zeros(t.starts.size)
+    u, count = np.unique(t.doc[use].astype(np.uint64) << np.uint64(32) | t.w[use], return_counts=True)
+    np.maximum.at(out, (u >> np.uint64(32)).astype(int), count)
+    return out / np.maximum(t.n, 1)
+
+
+def _duplicate_lines(t: Texts) -> np.ndarray:
+    """Share of each text's sentences and lines that repeat an earlier one."""
+    begin = np.flatnonzero(t.marks & FIRST > 0)
+    if not begin.size:
+        return np.zeros(t.starts.size)
+    at = np.arange(t.w.size) - np.repeat(begin, np.diff(np.append(begin, t.w.size)))
+    line = np.add.reduceat(_mix(t.w, at), begin)
+    doc = t.doc[begin]
+    lines = np.bincount(doc, minlength=t.starts.size)
+    once = np.unique(np.stack([doc.astype(np.uint64), line], 1), axis=0)[:, 0].astype(int)
+    return 1 - np.bincount(once, minlength=t.starts.size) / np.maximum(lines, 1) - (lines == 0)
+
+
+def measures(t: Texts, statement: np.ndarray) -> dict[str, np.ndarray]:
+    """The five measures besides missing words, of each text; statement marks the words that do not count as top word."""
     return {
-        "language": language(words),
-        "words": n,
-        # over the words that are no links
-        "function_share": float(fn[plain].sum()) / max(int(np.count_nonzero(plain)), 1),
-        "top_word_share": max((c for w, c in count.items() if w not in _FUNCTION), default=0) / n,
-        "ngram_share": int(np.count_nonzero(repeated)) / n,
-        "chain_share": int(np.count_nonzero(chained)) / n,
-        "duplicate_line_share": 1 - len(set(lines)) / len(lines) if lines else 0.0,
-        "link_share": int(np.count_nonzero(forced)) / n,
-        "separator_density": (int(item[-1]) + 1) / n,
-        "stuffed_by_level": [(marked + x) / n for x in below.tolist()],
+        "top_word_share": _top(t, ~statement),
+        "ngram_share": t.share(repeated(t)),
+        "duplicate_line_share": _duplicate_lines(t),
+        "link_share": t.share(t.marks & FORCED > 0),
+        "separator_density": t.share(t.marks & AFTER_LIST > 0),
     }
 
 
-def level_of(threshold: float) -> int:
-    """The index into stuffed_by_level of a density threshold: windows hold whole numbers of function words."""
-    return min(max(math.ceil(threshold * WINDOW - 1e-9), 1), LEVELS) - 1
+def suspects(t: Texts) -> np.ndarray:
+    m = measures(t, t.marks & BRIEF > 0) | {"item_share": t.share(list_items(t))}
+    out = np.zeros(t.starts.size, bool)
+    for name, least in SUSPECT.items():
+        out |= m[name] >= least
+    return out & (t.n >= SHORT) | (m["link_share"] >= SHARE)
 
 
-def verdict(m: dict, thresholds: dict[str, float]) -> bool:
-    """Whether a measured text is found, by its language's threshold; what stuffed() states in SQL."""
-    t = thresholds.get(m["language"], DEFAULT_DENSITY)
-    prose = m["words"] < BRIEF and m["function_share"] >= t and max(m["ngram_share"], m["chain_share"]) < REPEATING
-    return m["stuffed_by_level"][level_of(t)] >= SHARE and (m["link_share"] >= SHARE or m["words"] >= SHORT and not prose)
+def _slices(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    offsets = np.append(starts, ends[-1:] if ends.size else 0).astype(np.int64) * raw.dtype.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), ends.size, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = {"string": pa.string(), "integer": pa.int32(), "double": pa.float64(), "array": pa.list_(pa.float64())}
-    for b in batches:
-        got = [measure(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([g[f.name] for g in got], types[f.dataType.typeName()]) for f in FEATURES.fields[1:]], names=FEATURES.names)
-
-
-def calibrate(features: DataFrame) -> dict[str, float]:
-    """Function-word threshold per language from the density histograms of all documents (at most 7 x BINS counts come back)."""
-    bin_of = F.least(F.floor(F.col("function_share") * BINS), F.lit(BINS - 1)).cast("int")
-    rows = features.where(F.col("words") >= SHORT).groupBy("language", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
-    out = {}
-    for lang in {r["language"] for r in rows}:
-        hist = np.zeros(BINS)
-        for r in rows:
-            if r["language"] == lang:
-                hist[r["bin"]] += r["n"]
-        if lang and hist.sum() >= ENOUGH:
-            median = (np.searchsorted(np.cumsum(hist), hist.sum() / 2) + 0.5) / BINS
-            out[lang] = PART_OF_MEDIAN * float(median)
-    return out
+def _by_chars(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= STEP_CHARS:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
-def stuffed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(2).to_pylist()
+        for x, y in _by_chars(texts):
+            t = split(texts[x:y])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), b.column(1).slice(x, y - x), pa.array(suspects(t)), _slices(t.w, t.starts, t.ends), _slices(t.marks, t.starts, t.ends)], names=TOKENS.names)
+
+
+def _texts(b: pa.RecordBatch) -> Texts:
+    w, marks = b.column(b.schema.get_field_index("w")).to_pylist(), b.column(b.schema.get_field_index("marks")).to_pylist()
+    ends = np.cumsum([len(m) for m in marks]) if marks else np.zeros(0, int)
+    return Texts(np.frombuffer(b"".join(w), "<u4"), np.frombuffer(b"".join(marks), np.uint8), ends - np.diff(ends, prepend=0), ends)
+
+
+COUNTS = "label string, word long, docs long, clean long, stuffed long"
+
+
+def _count(sent):
+    """Per label (or language, once some are known) and word: documents that are no suspects and hold it, its occurrences in them, and in suspects. Word -1: documents and words at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _counted(b, sent.value if sent else None)
+
+    return run
+
+
+def _counted(b: pa.RecordBatch, know: Languages | None) -> pa.RecordBatch:
+    t = _texts(b)
+    labels, label = np.unique(np.array(b.column(1).to_pylist() if know is None else [know.name(k) for k in know.read(t)[0].tolist()], object), return_inverse=True)
+    suspect = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+    plain = t.marks & FORCED == 0
+    own = label[t.doc[plain]].astype(np.uint64) << np.uint64(32) | t.w[plain]
+    u, inverse = np.unique(own, return_inverse=True)
+    bad = suspect[t.doc[plain]]
+    clean, stuffed = np.bincount(inverse, weights=~bad, minlength=u.size), np.bincount(inverse, weights=bad, minlength=u.size)
+    once = np.unique(np.stack([t.doc[plain][~bad], inverse[~bad]], 1), axis=0)[:, 1]
+    docs = np.bincount(once, minlength=u.size)
+    of, word = (u >> np.uint64(32)).astype(int), (u & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    k = np.arange(labels.size)
+    total = lambda x, by: np.bincount(by, weights=x, minlength=labels.size)
+    cols = [
+        np.append(of, k), np.append(word, np.full(k.size, -1)), np.append(docs, total((~suspect & (t.n > 0)).astype(float), label)),
+        np.append(clean, total(clean, of)), np.append(stuffed, total(stuffed, of)),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(labels[cols[0]].tolist(), pa.string()), *(pa.array(c.astype(np.int64)) for c in cols[1:])], names=["label", "word", "docs", "clean", "stuffed"])
+
+
+class Languages:
+    """What has been learnt of the languages: for every frequent word, whose vocabulary and whose statement word it is; thresholds per language."""
+
+    def __init__(self, names: list[str], words: np.ndarray, known: np.ndarray, statement: np.ndarray):
+        self.names, self.words, self.known, self.statement = names, words, known, statement
+        self.missing: dict[str, float] = {}
+        self.scarce: dict[str, float] = {}
+        self.high: dict[str, dict[str, float]] = {"": dict(LEAST)}
+
+    def read(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language of each text (-1: unlisted), which of its words are statement words of that language, and which are known in any; ties go to the first by name."""
+        lang = np.full(t.starts.size, -1)
+        statement = np.zeros(t.w.size, bool)
+        if not self.words.size or not t.w.size:
+            return lang, statement, statement.copy()
+        at = np.minimum(np.searchsorted(self.words, t.w), self.words.size - 1)
+        hit = self.words[at] == t.w
+        plain = t.marks & FORCED == 0
+        cover = np.stack([np.bincount(t.doc, weights=hit & plain & self.known[at, k], minlength=t.starts.size) for k in range(len(self.names))], 1)
+        best = cover.argmax(axis=1)
+        words = np.bincount(t.doc, weights=plain, minlength=t.starts.size)
+        listed = cover[np.arange(best.size), best] >= COVERED * np.maximum(words, 1)
+        lang[listed] = best[listed]
+        own = lang[t.doc]
+        hit &= plain
+        return lang, hit & (own >= 0) & self.statement[at, np.maximum(own, 0)], hit
+
+    def name(self, k: int) -> str:
+        return self.names[k] if k >= 0 else ""
+
+
+def learn(tokens: DataFrame, know: Languages | None = None, often: float = COMMON) -> Languages:
+    """Statement words and vocabularies of the labels with ENOUGH documents, or, given a first idea of them, of the languages.
+
+    At most 1 / often times the distinct words of a mean document come back per label,
+    however many documents there are.
+    """
+    sent = tokens.sparkSession.sparkContext.broadcast(know) if know else None
+    counts = tokens.mapInArrow(_count(sent), COUNTS).groupBy("label", "word").agg(*[F.sum(c).alias(c) for c in ("docs", "clean", "stuffed")])
+    whole = counts.where("word = -1 and label <> ''").select("label", F.col("docs").alias("all_docs"), F.col("clean").alias("all_clean"), F.col("stuffed").alias("all_stuffed")).where(F.col("all_docs") >= ENOUGH)
+    # one row per label, of two letters at most
+    per = counts.where("word >= 0").join(F.broadcast(whole), "label")
+    frequent = F.col("docs") >= F.greatest(often * F.col("all_docs"), F.lit(SUPPORT))
+    head = per.where(frequent | (F.col("stuffed") >= F.greatest(often / 10 * F.col("all_stuffed"), F.lit(SUPPORT))))
+    rows = head.select("label", "word", frequent.alias("often"), (F.col("clean") / F.col("all_clean")).alias("rate"), ((F.col("stuffed") + 0.5) / (F.col("all_stuffed") + 200.0)).alias("bad")).collect()
+    names = sorted({r["label"] for r in rows})
+    words = np.array(sorted({r["word"] for r in rows}), np.uint32)
+    known, statement = np.zeros((words.size, len(names)), bool), np.zeros((words.size, len(names)), bool)
+    for r in rows:
+        i, k = np.searchsorted(words, r["word"]), names.index(r["label"])
+        known[i, k] = True
+        statement[i, k] = r["often"] and r["rate"] >= RATIO * r["bad"]
+    return Languages(names, words, known, statement)
+
+
+def _histogram(sent):
+    """Per language and measure, documents that are no suspects by value; only texts of SHORT words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        know: Languages = sent.value
+        names = ("statement", *MEASURES)
+        hist = np.zeros((len(know.names) + 1, len(names), BINS), np.int64)
+        for b in batches:
+            t = _texts(b)
+            lang, statement, _ = know.read(t)
+            use = (t.n >= SHORT) & ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            m = {"statement": t.share(statement), **measures(t, statement)}
+            for j, name in enumerate(names):
+                at = np.clip((m[name][use] * BINS).astype(int), 0, BINS - 1)
+                np.add.at(hist, (lang[use], j, at), 1)
+        k, j, at = np.nonzero(hist)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(hist[k, j, at])], names=["k", "j", "bin", "n"])
+
+    return run
+
+
+def calibrate(tokens: DataFrame, know: Languages) -> None:
+    """Thresholds of each language from the histograms of all its documents; those of unlisted ones from all together."""
+    sent = tokens.sparkSession.sparkContext.broadcast(know)
+    # languages x measures x BINS counts at most
+    rows = tokens.mapInArrow(_histogram(sent), "k int, j int, bin int, n long").groupBy("k", "j", "bin").agg(F.sum("n").alias("n")).collect()
+    hist = np.zeros((len(know.names) + 1, len(MEASURES) + 1, BINS))
+    for r in rows:
+        hist[r["k"], r["j"], r["bin"]] += r["n"]
+    point = lambda h, q: float(np.searchsorted(np.cumsum(h), q * h.sum())) / BINS if h.sum() else 0.0
+    for k, name in enumerate(know.names):
+        median = point(hist[k, 0], 0.5)
+        know.missing[name], know.scarce[name] = MISSING * median, SCARCE * median
+    for name, h in [*zip(know.names, hist), ("", hist.sum(axis=0))]:
+        know.high[name] = {m: max(LEAST[m], point(h[j], HIGH) + 1 / BINS) for j, m in enumerate(MEASURES, 1)}
+
+
+def density(marked: np.ndarray, t: Texts, window: int = WINDOW) -> np.ndarray:
+    """Share of marked words in the window around each word, moved inwards at the ends of its text."""
+    total = np.concatenate([[0], np.cumsum(marked)])
+    at, start, end = np.arange(t.w.size), t.starts[t.doc], t.ends[t.doc]
+    low = np.maximum(np.minimum(at - window // 2, end - window), start)
+    high = np.minimum(low + window, end)
+    return (total[high] - total[low]) / np.maximum(high - low, 1)
+
+
+def judge(t: Texts, know: Languages) -> dict[str, np.ndarray]:
+    """Features and verdict of each text."""
+    lang, statement, known = know.read(t)
+    m = measures(t, statement)
+    names = [know.name(k) for k in lang.tolist()]
+    passed = np.zeros(t.starts.size, bool)
+    for x in MEASURES:
+        passed |= m[x] > np.array([know.high[name][x] for name in names])
+    listed = lang >= 0
+    missing, scarce = (np.array([table.get(name, -1.0) for name in names]) for table in (know.missing, know.scarce))
+    said = density(statement, t)
+    quiet = np.where(passed[t.doc], said < scarce[t.doc], (said < missing[t.doc]) & (density(known, t) >= AROUND))
+    forced = t.marks & FORCED > 0
+    marked = np.where(listed[t.doc], forced | quiet, (forced | repeated(t) | list_items(t)) & passed[t.doc])
+    share = t.share(marked)
+    links = m["link_share"] >= SHARE
+    return {"language": np.array(names, object), "words": t.n, "function_share": t.share(statement), **m, "stuffed_share": share, "found": (share >= SHARE) & ((t.n >= SHORT) | links) & (t.n > 0)}
+
+
+def _judge(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        know: Languages = sent.value
+        for b in batches:
+            got = judge(_texts(b), know)
+            kinds = {"language": pa.string(), "words": pa.int32(), "found": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[c].tolist() if c == "language" else got[c].astype(bool if c == "found" else float if c != "words" else np.int32), kinds.get(c, pa.float64())) for c in FEATURES.names[1:])], names=FEATURES.names)
+
+    return run
+
+
+def stuffed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Features, stuffed_share and verdict (found) of every document, one row per input row.
 
-    One pass over the texts measures them and writes the features; the thresholds come
-    from all of those. NULL and empty texts have no words and are never found; very
-    long texts are processed whole; an empty table gives no rows; repeated rows are
-    repeated. Labels and other columns are not looked at.
+    The texts are split once; everything learnt comes from all of them. Labels (lang, if
+    documents has that column) only serve to learn languages from, most of them being
+    right. NULL and empty texts have no words and are never found; very long texts are
+    processed whole; an empty table gives no rows; repeated rows are repeated. Other
+    columns are not looked at.
     """
-    rows = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    features = materialise(rows.mapInArrow(_measure, FEATURES), "stuffing")
-    limit, level = F.lit(DEFAULT_DENSITY), F.lit(level_of(DEFAULT_DENSITY))
-    for lang, t in sorted(calibrate(features).items()):
-        limit = F.when(F.col("language") == lang, F.lit(t)).otherwise(limit)
-        level = F.when(F.col("language") == lang, F.lit(level_of(t))).otherwise(level)
-    prose = (F.col("words") < BRIEF) & (F.col("function_share") >= limit) & (F.greatest("ngram_share", "chain_share") < REPEATING)
-    found = (F.col("stuffed_share") >= SHARE) & ((F.col("link_share") >= SHARE) | (F.col("words") >= SHORT) & ~prose)
-    return features.withColumn("stuffed_share", F.element_at("stuffed_by_level", level + 1)).withColumn("found", found).drop("stuffed_by_level")
+    spark = documents.sparkSession
+    scratch: list[str] = []
+    label = F.regexp_extract(F.lower(F.trim(F.col(lang))), "^[a-z]{2}", 0) if lang in documents.columns else F.lit("")
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(label, F.lit("")).alias("label"), F.col(text).cast("string").alias("text"))
+    tokens = materialise(rows.mapInArrow(_tokenise, TOKENS), "stuffing", scratch)
+    know = learn(tokens, learn(tokens), FREQUENT)
+    calibrate(tokens, know)
+    return settle(tokens.mapInArrow(_judge(spark.sparkContext.broadcast(know)), FEATURES), scratch)

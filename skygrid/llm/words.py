@@ -1,4 +1,4 @@
-"""Words of reviews: link-aware splitting, look-alike folding and small function-word lists."""
+"""Links and markup in reviews, and folding of what looks alike."""
 
 from __future__ import annotations
 
@@ -41,31 +41,3 @@ def fold(text: str) -> str:
         return text.lower()
     text = unicodedata.normalize("NFKD", text).translate(LOOKALIKES)
     return _GONE.sub("", text).casefold()
-
-
-#: Common little words of each language, folded; how sentences are held together.
-FUNCTION_WORDS = {
-    "en": "a an the and or but so yet nor if than as of to in on at by for from with without within into onto over under up down out off about after before until while because although whereas behind beyond beside below above across around inside during between through i we you he she it they us him her them my our your his its their mine this that these those one ones another every each any some all both such no not nobody nothing never only very too even still already just more most less much many is am are was were be been being have has had do does did can could will would should may might must what which who whom when where why how there here again also m s t d ll re ve don won doesn isn wasn didn",
-    "de": "der die das den dem des ein eine einen einem einer eines und oder aber denn doch sondern wenn dass als wie ob ich du er sie es wir ihr mich mir dich uns ihm ihn ihnen mein meine meinen meinem meiner dein sein seine ihre unser unsere nicht kein keine nichts niemand nie nur sehr auch noch schon immer mehr mal wieder ist sind war waren bin habe haben hatte wird werden wurde kann konnte konnten soll muss will fur mit ohne von vom zu zum zur in im an am auf aus bei beim nach vor uber unter hinter neben zwischen durch gegen seit bis um diese dieser dieses diesen diesem jede jeder jedes alles alle was wer wo man so da hier jederzeit sich",
-    "es": "el la los las lo un una unos unas y o u pero porque aunque que si como cuando donde mientras yo tu el ella nosotros ellos te se nos le les mi mis tu su sus nuestro nuestra este esta estos estas ese esa eso esto aquel no ni nada nadie nunca solo muy mas menos tan tambien ya aun todavia es son era fue fueron ser esta estan estaba estaba he ha han habia hay de del a al en con sin por para sobre entre desde hasta tras durante contra bajo ante cada todo toda todos todas otro otra igual mejor mismo misma sigue tiene viene vienen",
-    "fr": "le la les l un une des du de d au aux et ou mais donc car que qu qui quoi dont ou si comme quand je j tu il elle on nous vous ils elles m te t se s lui leur mon ma mes ton sa son ses notre nos votre leurs ce c cet cette ces ca cela ne n pas plus rien personne jamais tres trop aussi encore deja tout toute tous toutes meme est sont etait suis a ai as ont avait avoir etre fait par pour avec sans dans en sur sous chez entre vers depuis apres avant pendant contre y",
-    "pt": "o a os as uma uns umas e ou mas porque embora que se como quando onde enquanto eu tu ele ela nos eles elas te lhe lhes meu minha meus minhas seu sua seus suas nosso nossa este esta esse essa isso isto aquele nao nem nada ninguem nunca so muito muita mais menos tao tambem ja ainda e sao era foi foram ser estar esta estou estava ter tem tinha ha de do da dos das em no na nos nas ao aos com sem por pelo pela para sobre entre desde ate apos durante contra cada tudo todo toda outro outra mesmo mesma igual",
-    "hi": "है हैं था थी थे हूँ हो का की के को से में पर ने तक और या लेकिन पर कि जो यह वह ये वे इस उस इसे उसे इसका इसकी इसके मैं मैंने हम हमने आप मेरा मेरी मेरे मुझे हमें नहीं न ना भी ही तो कर करता करती रहा रही रहे गया गयी गई गए जाता जाती लिए साथ बाद दिया दी दिए लिया ली एक कोई कुछ सब बहुत अब तब जब अगर करना करने पड़ा पड़ी पड़े देता देती देते होता होती होते हुआ हुई हुए चल चलता चलती आया आई आए सकता सकती",
-}
-#: Of these, words that carry a statement (pronouns as subjects, auxiliaries, negation, reference), folded.
-STATEMENT_WORDS = {
-    "en": "i we he she they this that these those one another every nobody nothing never not no only very too even still already just more less is am are was were be been have has had do does did can could will would should may might must what which when where but because although whereas yet until while again after before m ve ll don won doesn isn wasn didn",
-    "de": "ich er es wir mich mir uns mein meine meinen meinem meiner sein unser unsere nicht kein keine nichts niemand nie nur sehr auch noch schon immer ist sind war waren bin habe haben hatte wird wurde kann konnte konnten dass aber denn was seit nach wenn jede alles diesen diese dieser man beim liegen lief",
-    "es": "lo se nos no ni nada nadie nunca solo muy es son era fue he ha han habia hay este esta ese esto que pero porque aunque cuando ya sigue tiene vienen todo mi su tras despues",
-    "fr": "je j tu il elle on nous vous ils m se s ne n pas rien personne jamais tres est sont etait suis ai as ont avait fait ce c cela que qu qui mais car apres mon ma notre tout y",
-    "pt": "eu ele ela lhe meu minha nao nem nada ninguem nunca so muito sao era foi estou esta tem tinha ha isso este que mas porque ja fica tudo",
-    "hi": "है हैं था थी थे हूँ हो ने यह वह इस इसे इसका इसकी इसके मैं मैंने मेरा मेरी मेरे मुझे नहीं भी ही कर रहा रही गया गई गए जाता दिया लिया कोई लिए",
-}
-
-
-def _union(table: dict[str, str]) -> frozenset[str]:
-    return frozenset(fold(w) for ws in table.values() for w in ws.split())
-
-
-FUNCTION = _union(FUNCTION_WORDS)
-STATEMENT = _union(STATEMENT_WORDS)
