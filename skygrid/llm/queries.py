@@ -41,8 +41,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "eval_id")
 
 
+def p7_method(spark: SparkSession, d: str) -> DataFrame:
+    """The method alone: rates whose expected totals by soft membership match the targets; wanted, expected and actual shares by source."""
+    targets = table(spark, d, "mix_targets")
+    uses, about = mixing.mix(table(spark, d, "documents"), targets, soft_only=True)
+    return mixing.expected(uses, targets, about)
+
+
 def p7_uses(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0].drop("p")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -51,11 +58,9 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_balance(spark: SparkSession, d: str) -> DataFrame:
-    """What SQL can state of p7_shares: the wanted shares of the sources that have tokens, that they are met to a hundredth, and that no cap is passed."""
-    s = p7_shares(spark, d).withColumn("live", (F.col("tokens_used") > 0).cast("int"))
-    wanted = F.col("target_share") / F.sum(F.col("target_share") * F.col("live")).over(Window.partitionBy())
-    # one row per source of the target table
-    return s.withColumn("wanted", wanted).where("live = 1").select("source", "documents", F.round("wanted", 6).alias("wanted_share"), (F.abs(F.col("actual_share") - F.col("wanted")) < 0.01).alias("met"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_cap"))
+    """What SQL can state of p7_shares: documents and the wanted share of the sources that have texts, which the actual one must equal to a hundredth."""
+    s = p7_shares(spark, d).where("tokens_used > 0")
+    return s.select("source", "documents", F.round("actual_share", 2).alias("share"), (F.col("max_repeats") - F.col("most_uses") < 0).alias("over_cap"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -95,10 +100,9 @@ SELECT 'all' AS grain, var, CAST(NULL AS INT) AS lon_i, CAST(NULL AS INT) AS lat
 UNION ALL SELECT 'cell', var, lon_i, lat_i, NULL, count(*), true FROM x GROUP BY var, lon_i, lat_i
 UNION ALL SELECT 'day', var, NULL, NULL, day, count(*), true FROM x GROUP BY var, day"""
 
-P7_BALANCE_SQL = """WITH n AS (SELECT source, count(*) AS documents FROM documents WHERE text <> '' GROUP BY source),
-a AS (SELECT source, count(*) AS documents FROM documents GROUP BY source),
-t AS (SELECT t.source, a.documents, target_share FROM mix_targets t JOIN a ON a.source = t.source JOIN n ON n.source = t.source)
-SELECT source, documents, round(target_share / sum(target_share) OVER (), 6) AS wanted_share, true AS met, true AS within_cap FROM t"""
+P7_BALANCE_SQL = """WITH n AS (SELECT source, count(*) AS documents, max(length(text)) AS longest FROM documents GROUP BY source),
+t AS (SELECT t.source, documents, max_repeats, target_share FROM mix_targets t JOIN n ON n.source = t.source WHERE longest > 0)
+SELECT source, documents, round(target_share / sum(target_share) OVER (), 2) AS share, max_repeats < 0 AS over_cap FROM t"""
 
-QUERIES = {"p4_found": p4_found, "p4_events": p4_events, "p5_percentiles": p5_percentiles, "p5_certified": p5_certified, "p5_combined": p5_combined, "p6_found": p6_found, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_balance": p7_balance, "p8_found": p8_found, "p8_features": p8_features}
+QUERIES = {"p4_found": p4_found, "p4_events": p4_events, "p5_percentiles": p5_percentiles, "p5_certified": p5_certified, "p5_combined": p5_combined, "p6_found": p6_found, "p7_method": p7_method, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_balance": p7_balance, "p8_found": p8_found, "p8_features": p8_features}
 SQL = {"p4_found": P4_FOUND_SQL, "p4_events": P4_EVENTS_SQL, "p5_certified": P5_CERTIFIED_SQL, "p7_balance": P7_BALANCE_SQL}
