@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skygrid.operators.series import BLOCK, TAGS, Series, _decode, _encode, pack, per_series, with_objects
-from skygrid.session import materialise
+from skygrid.session import materialise, settle
 
 DELTA = 400.0
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -31,10 +31,10 @@ PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 GRAINS = {"all": 0, "cell": 1, "day": 2, "object": 3}
 #: Centroids that a task holds before it hands on what it has.
 HELD = 2_000_000
-#: Tasks' digests of one variable as a whole are merged in so many parts first.
-SALT = 32
-#: Groups whose estimates may be sent to every task for the counting pass; beyond it they are joined. 24 doubles each.
-SENT_GROUPS = 200_000
+#: Tasks' digests of a group are merged in so many parts first, each of FAN neighbouring tasks' (and those PARTS * FAN further on).
+PARTS, FAN = 64, 64
+#: Parts over which the readings of an object are dealt where they meet its estimates.
+DEALT = 32
 
 DIGEST = T.StructType(
     [
@@ -126,7 +126,7 @@ def _rows(keys: np.ndarray, g: np.ndarray, m: np.ndarray, w: np.ndarray, salt: i
         n = np.rint(np.add.reduceat(ww, starts)).astype(np.int64)
         none = pa.array([b""] * at.size, pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[at, 0], pa.int32()), pa.array(keys[at, 1], pa.int32()), pa.array(keys[at, 2], pa.int64()), pa.array(keys[at, 3], pa.int64()), pa.array(np.where(keys[at, 0] == GRAINS["all"], salt, 0), pa.int32()), pa.array(n), pa.array(ends - starts, pa.int32()), _binary(_encode(mm), ends, starts), none if flag else _binary(ww, ends, starts)],
+            [pa.array(keys[at, 0], pa.int32()), pa.array(keys[at, 1], pa.int32()), pa.array(keys[at, 2], pa.int64()), pa.array(keys[at, 3], pa.int64()), pa.array(np.full(at.size, salt), pa.int32()), pa.array(n), pa.array(ends - starts, pa.int32()), _binary(_encode(mm), ends, starts), none if flag else _binary(ww, ends, starts)],
             names=DIGEST.names,
         )
 
@@ -220,7 +220,7 @@ def _digest(grains: Sequence[int], delta: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = _Held(TaskContext.get().partitionId() % SALT, delta)
+        held = _Held(TaskContext.get().partitionId() // FAN % PARTS, delta)
         for part in _by_size(batches, 4, 400_000):
             for keys, g, v in _keys(part, grains):
                 held.add(keys, *cluster(g, v, None, len(keys), delta))
@@ -272,11 +272,10 @@ def _merge(delta: float, keep_salt: bool) -> Callable:
 
 
 def merge(digests: DataFrame, delta: float = DELTA) -> DataFrame:
-    """One digest per group. The digests of a variable as a whole come from every task and are merged in SALT parts first."""
+    """One digest per group. Any group, a hot cell or day as well as a whole variable, may have a digest from every task: they are merged in PARTS parts, then those."""
     order = [*KEY, "salt"]
     once = digests.repartition(*order).sortWithinPartitions(*order).mapInArrow(_merge(delta, True), DIGEST)
-    top = once.where(F.col("grain") == GRAINS["all"]).repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_merge(delta, False), DIGEST)
-    return once.where(F.col("grain") != GRAINS["all"]).unionByName(top)
+    return once.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_merge(delta, False), DIGEST)
 
 
 def digests(blocks: DataFrame, grains: Sequence[str], delta: float = DELTA) -> DataFrame:
@@ -291,7 +290,7 @@ def roll_up(kept: DataFrame, delta: float = DELTA) -> DataFrame:
     Digests per day lack the readings of unknown objects: certify their sum over the
     blocks whose start is known.
     """
-    whole = kept.withColumns({"grain": F.lit(GRAINS["all"]), "a": F.lit(0).cast("long"), "b": F.lit(0).cast("long"), "salt": F.pmod(F.xxhash64("a", "b"), F.lit(SALT)).cast("int")})
+    whole = kept.withColumns({"grain": F.lit(GRAINS["all"]), "a": F.lit(0).cast("long"), "b": F.lit(0).cast("long"), "salt": F.pmod(F.xxhash64("a", "b"), F.lit(PARTS)).cast("int")})
     return merge(whole.select(*DIGEST.names), delta)
 
 
@@ -337,40 +336,48 @@ def _count(grains: Sequence[int], sent) -> Callable:
     return run
 
 
-def _long(grains: Sequence[int]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _by_size(batches, 4, 100_000):
-            for keys, g, v in _keys(part, grains):
-                k = keys[g]
-                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0], pa.int32()), pa.array(k[:, 1], pa.int32()), pa.array(k[:, 2]), pa.array(k[:, 3]), pa.array(v)], names=[*KEY, "value"])
-
-    return run
+def _count_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _count, of blocks that carry the estimates of their object; one row per block."""
+    for b in batches:
+        rows = list(zip(*(b.column(i).to_pylist() for i in range(b.num_columns))))
+        parts = [_decode(r[5], r[6])[1] for r in rows]
+        if not rows:
+            continue
+        n = np.array([v.size for v in parts])
+        v, g, est = np.concatenate(parts), np.repeat(np.arange(n.size), n), np.array([r[8] for r in rows])
+        count = lambda op: np.stack([np.bincount(g[op(v, est[g, j])], minlength=n.size) for j in range(est.shape[1])], 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([GRAINS["object"]] * n.size, pa.int32()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([0] * n.size, pa.int64()), pa.array(list(count(np.less))), pa.array(list(count(np.less_equal)))],
+            names=[*KEY, "below", "upto"],
+        )
 
 
-def certify(blocks: DataFrame, merged: DataFrame, grains: Sequence[str], ps: Sequence[float] = PERCENTILES, delta: float = DELTA, sent_groups: int = SENT_GROUPS) -> DataFrame:
+def certify(blocks: DataFrame, merged: DataFrame, grains: Sequence[str], ps: Sequence[float] = PERCENTILES, delta: float = DELTA, scratch: list[str] | None = None) -> DataFrame:
     """Percentiles of the merged digests with their counted rank errors.
 
     Columns grain, tag, a, b, n, est, rank_error (both arrays by percentile),
-    within_bound. The estimates are sent to every task where there are at most
-    sent_groups groups (variables x (1 + cells + days): bounded by the calendar and
-    the grid); beyond that readings and estimates are joined by group, the same
-    result by a shuffle.
+    within_bound. Estimates of variables, cells and days are sent to every task: there
+    are at most four variables, 67,721 cells in the largest catalogued grid and 36,525 days in a
+    century. Those of objects, of which there is no such bound, meet the
+    object's blocks by a join, dealt over DEALT parts of each object.
     """
     spark = blocks.sparkSession
-    ids = [GRAINS[x] for x in grains]
+    bounded = [GRAINS[x] for x in grains if x != "object"]
     est = merged.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_estimates(ps), "grain int, tag int, a long, b long, n long, est array<double>")
-    est = materialise(est, "estimates")
-    groups = est.count()
-    if groups <= sent_groups:
-        got = est.select(*KEY, "est").toPandas()
+    est = materialise(est, "estimates", scratch)
+    counts = []
+    if bounded:
+        got = est.where(F.col("grain").isin(bounded)).select(*KEY, "est").toPandas()
         keys = got[KEY].to_numpy(np.int64).reshape(-1, 4)
         values = np.array(got["est"].tolist(), float).reshape(-1, len(ps))
-        sent = spark.sparkContext.broadcast((keys, values))
-        counts = blocks.mapInArrow(_count(ids, sent), COUNTS)
-        cols = [F.sum(F.col(x)[j]).alias(f"{x}{j}") for x in ("below", "upto") for j in range(len(ps))]
-    else:
-        counts = blocks.mapInArrow(_long(ids), "grain int, tag int, a long, b long, value double").join(est.select(*KEY, "est"), KEY)
-        cols = [F.count_if(op(F.col("value"), F.col("est")[j])).alias(f"{x}{j}") for x, op in (("below", lambda v, e: v < e), ("upto", lambda v, e: v <= e)) for j in range(len(ps))]
+        counts.append(blocks.mapInArrow(_count(bounded, spark.sparkContext.broadcast((keys, values))), COUNTS))
+    if "object" in grains:
+        part = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))
+        own = est.where(F.col("grain") == GRAINS["object"]).select(F.col("a").alias("object_id"), "tag", "est", part.alias("part"))
+        dealt = blocks.where("n > 0").withColumn("part", F.pmod(F.xxhash64("lon_i", "lat_i"), F.lit(DEALT)).cast("int"))
+        counts.append(dealt.join(own, ["object_id", "tag", "part"]).select(*DAYS.names, "est").mapInArrow(_count_own, COUNTS))
+    counts = counts[0] if len(counts) == 1 else counts[0].unionByName(counts[1])
+    cols = [F.sum(F.col(x)[j]).alias(f"{x}{j}") for x in ("below", "upto") for j in range(len(ps))]
     counts = counts.groupBy(*KEY).agg(*cols)
     n = F.col("n").cast("double")
     errors = [F.greatest(F.lit(0.0), F.lit(p) - F.col(f"upto{j}") / n, F.col(f"below{j}") / n - F.lit(p)) for j, p in enumerate(ps)]
@@ -409,6 +416,7 @@ def percentiles(obs: DataFrame, objects: DataFrame, grains: Sequence[str] = ("al
     are fine: a certificate counts the whole tie as the estimate's rank range. Groups
     without reading, and empty tables, give no rows.
     """
-    blocks = readings(obs, objects)
+    scratch: list[str] = []
+    blocks = readings(obs, objects, scratch)
     merged = digests(blocks, grains, delta)
-    return named(certify(blocks, merged, grains, ps, delta), ps)
+    return settle(named(certify(blocks, merged, grains, ps, delta, scratch), ps), scratch)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skygrid.llm import digests, leakage, mixing, runs, stuffing
-from skygrid.session import table
+from skygrid.session import settle, table
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,19 +22,22 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_certified(spark: SparkSession, d: str) -> DataFrame:
-    """What SQL can state of p5_percentiles: the groups, their readings, and that every estimate keeps the bound."""
-    return p5_percentiles(spark, d).select("grain", "var", "lon_i", "lat_i", "day", "n", "within_bound")
+    """What SQL can state of p5_percentiles: the groups and their readings, and the percentiles themselves of groups of so few readings that their digests hold every value."""
+    df = p5_percentiles(spark, d)
+    ps = [c for c in df.columns if c[0] == "p" and c[1:].isdigit()]
+    return df.select("grain", "var", "lon_i", "lat_i", "day", "n", *[F.when(F.col("n") <= int(digests.DELTA / 2), F.round(c, 4)).alias(c) for c in ps])
 
 
 def p5_combined(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each variable from the digests kept per object and from those kept per day, each certified."""
-    blocks = digests.readings(table(spark, d, "grid_obs"), table(spark, d, "imd_objects")).where("start is not null")
+    scratch: list[str] = []
+    blocks = digests.readings(table(spark, d, "grid_obs"), table(spark, d, "imd_objects"), scratch).where("start is not null")
     parts = []
     for grain in ("object", "day"):
         whole = digests.roll_up(digests.digests(blocks, [grain]))
-        got = digests.named(digests.certify(blocks, whole, ["all"]))
+        got = digests.named(digests.certify(blocks, whole, ["all"], scratch=scratch))
         parts.append(got.select(F.lit(grain).alias("kept_per"), "var", "n", *[c for c in got.columns if c[0] == "p" and c[1:].isdigit()], "max_rank_error", "within_bound"))
-    return parts[0].unionByName(parts[1])
+    return settle(parts[0].unionByName(parts[1]), scratch)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -94,11 +97,20 @@ SELECT f.*, CAST(start_day AS DATE) + first_pos AS first_day, CAST(start_day AS
        round((last_pos - first_pos + 1) / CAST(date_diff('day', CAST(start_day AS DATE), CAST(end_day AS DATE)) + 1 AS DOUBLE), 6) AS share
 FROM f JOIN imd_objects o ON o.object_id = f.object_id"""
 
+# interpolation between the middles of the ranks
+_EXACT = ", ".join(
+    f"CASE WHEN n <= 200 THEN round(l[CAST(floor(x{q}) AS BIGINT) + 1] + (x{q} - floor(x{q})) * (coalesce(l[CAST(floor(x{q}) AS BIGINT) + 2], 0) - l[CAST(floor(x{q}) AS BIGINT) + 1]) * CAST(floor(x{q}) + 1 < n AS INT), 4) END AS p{q}"
+    for q in ("05", "25", "50", "75", "95", "99")
+)
+_RANKS = ", ".join(f"least(greatest(0.{q} * n - 0.5, 0), n - 1) AS x{q}" for q in ("05", "25", "50", "75", "95", "99"))
+
 P5_CERTIFIED_SQL = f"""WITH {_READINGS},
-x AS (SELECT r.*, CAST(o.start_day AS DATE) + r.pos AS day FROM r JOIN imd_objects o ON o.object_id = r.object_id)
-SELECT 'all' AS grain, var, CAST(NULL AS INT) AS lon_i, CAST(NULL AS INT) AS lat_i, CAST(NULL AS DATE) AS day, count(*) AS n, true AS within_bound FROM x GROUP BY var
-UNION ALL SELECT 'cell', var, lon_i, lat_i, NULL, count(*), true FROM x GROUP BY var, lon_i, lat_i
-UNION ALL SELECT 'day', var, NULL, NULL, day, count(*), true FROM x GROUP BY var, day"""
+x AS (SELECT r.*, CAST(o.start_day AS DATE) + r.pos AS day FROM r JOIN imd_objects o ON o.object_id = r.object_id),
+g AS (SELECT 'all' AS grain, var, CAST(NULL AS INT) AS lon_i, CAST(NULL AS INT) AS lat_i, CAST(NULL AS DATE) AS day, count(*) AS n, list(v ORDER BY v) AS l FROM x GROUP BY var
+UNION ALL SELECT 'cell', var, lon_i, lat_i, NULL, count(*), list(v ORDER BY v) FROM x GROUP BY var, lon_i, lat_i
+UNION ALL SELECT 'day', var, NULL, NULL, day, count(*), list(v ORDER BY v) FROM x GROUP BY var, day),
+k AS (SELECT *, {_RANKS} FROM g)
+SELECT grain, var, lon_i, lat_i, day, n, {_EXACT} FROM k"""
 
 P7_BALANCE_SQL = """WITH n AS (SELECT source, count(*) AS documents, max(length(text)) AS longest FROM documents GROUP BY source),
 t AS (SELECT t.source, documents, max_repeats, target_share FROM mix_targets t JOIN n ON n.source = t.source WHERE longest > 0)
