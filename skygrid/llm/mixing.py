@@ -194,7 +194,8 @@ def levels_of(classes: int) -> int:
 
 def cells_of(p: np.ndarray, levels: int) -> np.ndarray:
     """Number of the cell of each posterior: its steps as digits (hashed where there are too many classes for that)."""
-    step = np.rint(p * levels).astype(np.uint64)
+    # by rounding the running sums the steps of a posterior always add up to levels
+    step = np.diff(np.rint(np.cumsum(p, axis=1) * levels), axis=1, prepend=0).astype(np.uint64)
     out = np.zeros(len(p), np.uint64)
     for c in range(p.shape[1]):
         out = out * np.uint64(levels + 1 if (levels + 1) ** p.shape[1] < 2**63 else 0x9E3779B97F4A7C15) + step[:, c]

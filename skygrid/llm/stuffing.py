@@ -60,7 +60,7 @@ COVERED, AROUND = 0.5, 0.5
 #: Labels of fewer documents are no language of their own.
 ENOUGH = 30
 #: Suspects: shares of links, words of repeated n-grams, the top word, repeated lines, short list items.
-SUSPECT = {"link_share": 0.5, "ngram_share": 0.5, "top_word_share": 0.2, "duplicate_line_share": 0.5, "item_share": 0.7}
+SUSPECT = {"link_share": 0.5, "ngram_share": 0.65, "top_word_share": 0.25, "duplicate_line_share": 0.5, "item_share": 0.7}
 #: Items of a list have at most so many words each, and at least so many follow each other.
 ITEM_WORDS, ITEMS = 4, 5
 #: Words of so many letters do not count as top word of a suspect: in most languages those are function words.

@@ -59,26 +59,41 @@ def test_quantiles_of_many_small_groups():
     assert got.tolist() == [[5, 5, 5], [1, 2, 9], [3, 3, 3]]
 
 
-def test_percentiles_by_both_counting_ways(obs_of, objects_of):
+def test_certificates_are_exact_ranks(obs_of, objects_of):
     r = random.Random(4)
     series = {(o, var): [r.choice([None, -999, round(r.gauss(20, 9), 2), 0.0]) for _ in range(40)] for o, var in ((1, "tmax"), (2, "tmax"), (3, "rain"), (4, None))}
     extra = [(900 + p, 1, "tmax", None, p, 1, 2, None if series[1, "tmax"][p] is None else float(series[1, "tmax"][p]), 0, "", "", 0, "") for p in range(40)]
     obs, objects = obs_of(series, extra), objects_of({1: 40, 2: 40, 3: 40})
     blocks = digests.readings(obs, objects)
     grains = ("all", "cell", "day", "object")
-    merged = digests.digests(blocks, grains)
-    a = digests.named(digests.certify(blocks, merged, grains))
-    b = digests.named(digests.certify(blocks, merged, grains, sent_groups=0))
-    key = lambda x: tuple((y is None, y) for y in x)
-    rows = sorted(map(tuple, a.collect()), key=key)
-    assert rows == sorted(map(tuple, b.collect()), key=key)
-    ok = [v for o in (1, 2) for v in series[o, "tmax"] if v is not None and v != -999]
-    whole = [r for r in a.where("grain = 'all' and var = 'tmax'").collect()][0]
-    assert whole["n"] == len(ok) and whole["within_bound"] and abs(whole["p50"] - np.median(ok)) < 0.5
-    assert a.where("not within_bound").count() == 0
-    assert a.where("grain = 'day' and var is null").count() == 0 and a.where("grain = 'all' and var is null").first()["n"] > 0
+    a = digests.named(digests.certify(blocks, digests.digests(blocks, grains), grains))
+    groups = {}
+    for (o, var), vs in series.items():
+        for pos, v in enumerate(vs):
+            if v not in (None, -999):
+                for key in (("all", var, None, None), ("cell", var, None, None), ("object", var, o, None), *((("day", var, None, pos),) if o != 4 else ())):
+                    groups.setdefault(key, []).append(v)
+    day0 = __import__("datetime").date(2001, 1, 1)
+    got = {(x["grain"], x["var"], x["object_id"], None if x["day"] is None else (x["day"] - day0).days): x for x in a.collect()}
+    assert set(got) == set(groups)
+    for key, vs in groups.items():
+        x, v = got[key], np.array(vs, float)
+        error = max(max(0.0, p - (v <= e).mean(), (v < e).mean() - p) for p, e in zip(digests.PERCENTILES, (x[c] for c in ("p05", "p25", "p50", "p75", "p95", "p99"))))
+        assert x["n"] == v.size and x["within_bound"] and x["max_rank_error"] == pytest.approx(error)
     kept = digests.named(digests.certify(blocks.where("start is not null"), digests.roll_up(digests.digests(blocks, ["day"])), ["all"]))
-    assert {r["var"]: r["n"] for r in kept.collect() if r["var"]} == {"tmax": len(ok), "rain": sum(v not in (None, -999) for v in series[3, "rain"])}
+    assert {r["var"]: r["n"] for r in kept.collect() if r["var"]} == {v: len(groups["all", v, None, None]) for v in ("tmax", "rain")}
+
+
+def test_nothing_but_checkpoints_stays(spark, obs_of, objects_of):
+    import os
+
+    from skygrid.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert digests.percentiles(obs_of({(1, "rain"): [1.0, 2.0]}), objects_of({1: 2})).count() == 4
+    assert pairs(spark, [ITEM]) == [(0, 100)]
+    assert all(x.count("-") == 4 for x in set(os.listdir(folder)) - before)
 
 
 def test_no_readings(obs_of, objects_of):
@@ -153,7 +168,7 @@ def test_brute_force_over_random_texts(spark):
     for i, t in enumerate(texts):
         for k, item in enumerate(items):
             a = leakage.words_of(item)
-            if leakage.align(a, leakage.words_of(t), len(a) < leakage.RUNNING):
+            if leakage.matches(a, leakage.words_of(t)):
                 want.append((i, 100 + k))
     assert len(want) > 30
     assert pairs(spark, texts, items) == sorted(want)
@@ -173,18 +188,58 @@ def test_long_texts_are_searched_in_windows(spark):
         assert pairs(spark, [" ".join(text)], (ITEM,)) == [(0, 100)]
 
 
-def test_bound_never_exceeds_what_is_kept():
-    r = random.Random(3)
-    for _ in range(200):
-        item = ["".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(r.choice([5, 9, 12, 20, 40]))]
-        n = min(len(item), r.choice([12, 16, 23]))
-        s = r.randrange(len(item) - n + 1)
-        part = item[s : s + n]
-        for k in r.sample(range(n), n // 8):
-            part[k] = "#" * r.randint(1, 9)
-        kept = set(leakage.grams(leakage._codes(item)).tolist())
-        shared = sum(h in kept for h in leakage.grams(leakage._codes(part)).tolist())
-        assert shared >= leakage.bound(item) or leakage.bound(item) == 1
+def test_words_before_the_first_shared_gram_are_seen(spark):
+    item = "it is in a blue wooden cabin standing beside quiet mountain water where seven herons wait for the evening boat"
+    assert pairs(spark, ["it is in a green wooden cabin standing beside quiet mountain water"], (item,)) == [(0, 100)]
+
+
+def test_changed_ends(spark):
+    w = "nine copper kettles waited beside the narrow window until midnight came quietly".split()
+    assert len(w) == 12
+    texts = [" ".join(w[:11] + ["quietley"]), " ".join(["mine"] + w[1:]), " ".join(w[:11] + ["loudly"]), " ".join(w[:10] + ["x", "y"])]
+    assert pairs(spark, texts, (" ".join(w),)) == [(0, 100), (1, 100), (2, 100)]
+    # of a longer item eleven words are no case, unless the twelfth is misspelt
+    long = w + "and nobody dared to open that heavy wooden door again before spring".split()
+    texts = [" ".join(w[:11] + ["quietley"]), " ".join(w[:11] + ["loudly"]), " ".join(w[:11])]
+    assert pairs(spark, texts, (" ".join(long),)) == [(0, 100)]
+    # three changes in 24 words, none of whose shorter stretches qualifies
+    w24 = (long + ["extra"])[:24]
+    part = [x if i not in (8, 11, 12) else "zzz" for i, x in enumerate(w24)]
+    assert pairs(spark, [" ".join(part)], (" ".join(w24 + w24[::-1]),)) == [(0, 100)]
+
+
+def test_filter_loses_nothing():
+    """Short words, another script, changes anywhere: the filtered search finds what aligning whole texts finds."""
+    r = random.Random(11)
+    latin = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.choice([1, 2, 2, 3, 3, 4, 5, 8, 14]))) for _ in range(300)]
+    hindi = ["".join(r.choice("कखगघचछजझटठडढतथदधनपफबभमयरलवशसह") for _ in range(r.choice([1, 2, 2, 3, 4, 6]))) for _ in range(200)]
+    found = 0
+    for vocabulary in (latin, hindi, latin + hindi) * 2:
+        items = [[r.choice(vocabulary) for _ in range(r.choice([1, 2, 4, 8, 9, 11, 12, 13, 15, 18, 24, 25, 30, 60]))] for _ in range(20)]
+        index = leakage.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+        docs = []
+        for k, item in enumerate(items):
+            for _ in range(5):
+                a = r.randrange(max(len(item) - 11, 1))
+                part = item[a : a + r.choice([12, 12, 13, 16, 20, 24, 25, 30])]
+                for _ in range(r.choice([0, 1, 1, 2, 2, 3])):
+                    if part:
+                        j = r.choice([0, len(part) - 1, r.randrange(len(part))])
+                        w = part[j]
+                        part[j : j + 1] = r.choice([[], [r.choice(vocabulary)], [w, "z" * r.choice([2, 9, 38])], [w[:-1] + "q"], [w[:1] + w[2:] or w], ["q" + w]])
+                around = lambda: [r.choice(vocabulary) for _ in range(r.choice([0, 5, 20]))]
+                docs.append((k, around() + part + around()))
+        got = {(x[0], x[1]) for x in leakage._search(index, docs)}
+        for i, (k, w) in enumerate(docs):
+            want = leakage.matches(items[k], w) is not None
+            found += want
+            assert want == ((i, k) in got), (items[k], w)
+    assert found > 200
+
+
+def test_many_texts_at_once_split_as_one_by_one():
+    texts = ["", "a_b _ c", "Caf\u00e9 &amp; <b>x</b>y <br> z-\n> w", "plain - text", "odd \x03 mark", "1 < 2 and", "3 > 2", ITEM, "ques-\ntioned"]
+    assert leakage.words_of_many(texts) == [leakage.words_of(t) for t in texts]
 
 
 # mixing
@@ -209,6 +264,25 @@ def test_mix_meets_its_shares(spark):
     assert share["absent"] == 0 and all(abs(share[s] - 1 / 3) < 0.003 for s in "abc")
 
 
+def test_the_soft_fit_alone(spark):
+    """Where the words tell the sources apart, expected shares meet the targets."""
+    r = random.Random(8)
+    words = {"a": ["sea", "ship", "sail"], "b": ["corn", "barn", "plough"]}
+    rows = [(i, s, " ".join(r.choice(words[s]) for _ in range(r.randint(5, 30)))) for i, s in enumerate(r.choices("ab", (5, 2), k=900))]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    uses, about = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), targets, soft_only=True)
+    got = {x["source"]: x for x in mixing.expected(uses, targets, about).collect()}
+    assert all(abs(x["expected_share"] - 0.5) < 0.02 and x["most_uses"] <= x["max_repeats"] for x in got.values()) and about["objective"][-1] < 1e-3
+
+
+def test_cells_follow_the_sources_not_the_documents():
+    assert mixing.levels_of(8) == 8 and mixing.levels_of(200) < 8
+    p = np.random.default_rng(1).dirichlet(np.ones(8), 50_000)
+    assert np.unique(mixing.cells_of(p, 8)).size <= 7000
+    w, n = mixing.features(["b a a", "", "c", "\x03"])
+    assert n.tolist() == [2, 0, 1, 0] and w.size == 3
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
@@ -250,35 +324,55 @@ HONEST = [
 ]
 
 
+#: Honest reviews in languages of which there are no others.
+ELSEWHERE = [
+    "Купила этот дождемер для дачи в прошлом месяце и очень довольна. Он стоит в саду уже три недели, пережил две грозы и сильный ветер. Показания совпадают с тем, что передают по радио. Крепление удобное, шкала читается легко.",
+    "Kupiłam ten deszczomierz do ogrodu w zeszłym miesiącu i jestem bardzo zadowolona. Stoi na tarasie od trzech tygodni, przetrwał dwie burze i silny wiatr. Wskazania zgadzają się z tym, co podają w radiu.",
+    "Ho comprato questo pluviometro per il giardino il mese scorso e sono molto contento. Sta sul balcone da tre settimane, ha resistito a due temporali e a un vento forte. Le misure concordano con quelle della radio.",
+    "Bu yağmur ölçeri geçen ay bahçe için aldım ve çok memnunum. Üç haftadır balkonda duruyor, iki fırtınaya ve kuvvetli rüzgâra dayandı. Ölçümler radyoda söylenenlerle uyuşuyor. Montajı kolay.",
+    "先月、庭のためにこの雨量計を買いました。とても満足しています。ベランダに三週間置いていますが、二度の嵐と強い風にも耐えました。数値はラジオの発表と一致します。取り付けは簡単で、目盛りも読みやすいです。",
+]
+#: Stuffing there needs other evidence.
+ELSEWHERE_STUFFED = ["купить дождемер, дешево дождемер, дождемер цена, дождемер недорого, дождемер магазин, дождемер отзывы, " * 4]
+CORPUS = "/root/testdata/sf0.1/documents.parquet"
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(CORPUS), reason="no test tables")
 def test_stuffing(spark):
-    rows = [(i, t, "zz", 1) for i, t in enumerate([*STUFFED, *HONEST])]
-    df = spark.createDataFrame(rows, "doc_id long, text string, language string, words int")
-    got = {r["doc_id"] for r in stuffing.stuffed(df).where("found").collect()}
-    assert got == set(range(len(STUFFED)))
+    texts = [*STUFFED, *ELSEWHERE_STUFFED, *HONEST, *ELSEWHERE]
+    few = len(STUFFED) + len(ELSEWHERE_STUFFED)
+    rows = [(10**9 + i, t, "zz", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, words int")
+    corpus = spark.read.parquet(CORPUS).select("doc_id", "text", "lang").withColumn("words", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1))
+    got = stuffing.stuffed(corpus.unionByName(df).unionByName(df)).where(f"doc_id >= {10**9}").collect()
+    assert len(got) == 2 * len(texts)
+    # the praise of few other words is at the limit where so few texts are learnt from
+    assert {r["doc_id"] - 10**9 for r in got if r["found"]} - {few + 1} == set(range(few))
+    assert {r["language"] for r in got if r["doc_id"] - 10**9 >= len(texts) - len(ELSEWHERE)} == {""}
     assert stuffing.stuffed(df.limit(0)).count() == 0
-    again = stuffing.stuffed(df.unionByName(df))
-    assert again.count() == 2 * len(rows) and again.where("found").count() == 2 * len(STUFFED)
+    # without any language learnt only links, repeats and lists are evidence
+    alone = {r["doc_id"] - 10**9 for r in stuffing.stuffed(df.drop("lang")).where("found").collect()}
+    assert {2, 3, 4} <= alone <= set(range(few))
 
 
-def test_brief_texts_of_chains_are_no_prose():
-    brief = "rain gauge for garden, cheap rain gauge with stand, large rain gauge in copper, buy rain gauge by post"
-    m, th = stuffing.measure(brief), {"en": 0.13}
-    assert m["words"] < stuffing.BRIEF and m["function_share"] >= 0.13 and m["ngram_share"] < 0.5
-    assert stuffing.verdict(m, th)
-    assert not any(stuffing.verdict(stuffing.measure(t), th) for t in HONEST)
+def test_texts_are_split_together_as_one_by_one():
+    texts = [*STUFFED, *HONEST, "a\x01b \x03 c <a href='x'>one two</a> [three](http://x.test/y)", "x " * 50_000]
+    t = stuffing.split(texts)
+    for i, text in enumerate(texts):
+        own = stuffing.split([text])
+        assert own.w.tolist() == t.w[t.starts[i] : t.ends[i]].tolist() and own.marks.tolist() == t.marks[t.starts[i] : t.ends[i]].tolist()
+    assert stuffing.split([]).w.size == 0 and stuffing.split([None, ""]).n.tolist() == [0, 0]
 
 
-def test_long_text_is_judged_whole():
-    th = {"en": 0.15}
-    many = " ".join(f"w{i % 30000} the" for i in range(100_000))
-    assert stuffing.measure(many)["words"] == 200_000
-    honest = "I ordered the green one for use in the shed and it has survived every storm. "
-    assert not stuffing.verdict(stuffing.measure(STUFFED[0] + ". " + honest * 3000), th)
-    assert stuffing.verdict(stuffing.measure(honest + "buy rain gauge cheap hose " * 20000), th)
+def test_measures_by_hand():
+    t = stuffing.split(["red hat red hat red hat", "One. Two. One. Three.", "https://a.test #x y z", "aa, bb, cc, dd, ee, ff"])
+    m = stuffing.measures(t, np.zeros(t.w.size, bool))
+    assert m["top_word_share"].tolist() == [0.5, 0.5, 0.25, 1 / 6] and m["ngram_share"].tolist()[0] == 1.0
+    assert m["duplicate_line_share"].tolist() == [0, 0.25, 0, 0] and m["link_share"][2] == 0.5
+    assert m["separator_density"][3] == pytest.approx(5 / 6) and stuffing.list_items(t).tolist() == [False] * 14 + [True] * 6
+    assert stuffing.density(np.array([True] * 3 + [False] * 17), stuffing.split(["a " * 20])).tolist()[0] == pytest.approx(3 / 9)
 
 
-def test_thresholds_follow_the_language(spark):
-    df = spark.createDataFrame([("en", 30, 0.4)] * 40 + [("de", 30, 0.5)] * 3 + [("", 30, 0.0)] * 99, "language string, words int, function_share double")
-    th = stuffing.calibrate(df)
-    assert list(th) == ["en"] and th["en"] == pytest.approx(0.3 * 0.405)
-    assert [stuffing.level_of(x) for x in (0.0, 0.05, 1 / 9, 0.15, 0.3, 0.9)] == [0, 0, 0, 1, 2, 3]
+def test_disguised_words_are_one_word():
+    t = stuffing.split(["d3humidifi3r dehumidifier w3@th3r weather UM-241 2024 33"])
+    assert t.w[0] == t.w[1] and t.w[2] == t.w[3] and len(set(t.w.tolist())) == 5
