@@ -63,13 +63,15 @@ ENOUGH = 30
 SUSPECT = {"link_share": 0.5, "ngram_share": 0.65, "top_word_share": 0.25, "duplicate_line_share": 0.5, "item_share": 0.7}
 #: Items of a list have at most so many words each, and at least so many follow each other.
 ITEM_WORDS, ITEMS = 4, 5
-#: Words of so many letters do not count as top word of a suspect: in most languages those are function words.
+#: Words of so many letters do not count as top word: in most languages those are function words.
 LITTLE = 3
 BINS = 100
 STEP_CHARS = 1_000_000
+#: Low bits of a word's code that do not tell where to look for it.
+SLOT = 12
 MEASURES = tuple(LEAST)
 
-TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.StringType()), T.StructField("suspect", T.BooleanType()), T.StructField("w", T.BinaryType()), T.StructField("marks", T.BinaryType())])
+TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.StringType()), T.StructField("suspect", T.BooleanType()), T.StructField("top", T.DoubleType()), T.StructField("duplicate", T.DoubleType()), T.StructField("w", T.BinaryType()), T.StructField("marks", T.BinaryType())])
 FEATURES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -85,14 +87,14 @@ FEATURES = T.StructType(
 # marks between words: an anchor's text stands between two _LINK; _END stands between texts
 _LINK, _LIST, _END, _STOP = "\x01", "\x02", "\x03", "\x04"
 _OURS = re.compile("[\x00-\x08]")
-_MAYBE_LINK = re.compile(r"\w\.[a-z]|://|www", re.I)
+_DOTTED = re.compile(r"\.[A-Za-z]")
 _ANCHOR = re.compile(r"<a\b[^<>\x03]*href[^<>\x03]*>([^\x03]*?)</a\s*>", re.I)
 _MARKDOWN = re.compile(r"\[([^\[\]\x03]*)\]\(\s*([^()\s]+)\s*\)")
 _LISTED = re.compile(r"\s+[/|•·–—-]+\s+|[,;|•·]\s")
 _STOPPED = re.compile(r"[.!?।…]+(?:\s|$)|\n")
 _TOKEN = re.compile("[\x01-\x04]|[#@]?[\\wऀ-෿$@!|]*[\\wऀ-෿][\\wऀ-෿$@'’]*(?:[-.][\\wऀ-෿$@]+)*")
-#: Marks of a word: link, tag or link text; a list separator before it; the first of a sentence; of LITTLE letters or fewer.
-FORCED, AFTER_LIST, FIRST, BRIEF = 1, 2, 4, 8
+#: Marks of a word: link, tag or link text; a list separator before it; the first of a sentence; of LITTLE letters or fewer; in a repeated n-gram; in a list of short items.
+FORCED, AFTER_LIST, FIRST, BRIEF, REPEATED, LISTED = 1, 2, 4, 8, 16, 32
 
 
 #: Signs that stand for letters in a disguised word.
@@ -116,14 +118,20 @@ _CODES = _Codes()
 _CODE = {_LINK: 1, _LIST: 2, _END: 3, _STOP: 4}
 
 
+def linky(t: str) -> bool:
+    """Whether a text may hold links, markup or entities."""
+    return "<" in t or "&" in t or "](" in t or "://" in t or "www" in t or "WWW" in t or _DOTTED.search(t) is not None
+
+
 def _marked(text: str) -> str:
     """Folded text with our marks for links, separators and stops; works on several texts with _END between."""
     t = unescape(text)
+    linked = linky(t)
     if "<" in t:
         t = TAGS.sub(" ", _ANCHOR.sub(f" {_LINK}\\1{_LINK} ", t))
     if "](" in t:
         t = _MARKDOWN.sub(f" {_LINK}\\1{_LINK} ", t)
-    if _MAYBE_LINK.search(t):
+    if linked:
         t = LINK.sub(f" {_LINK}{_LINK} ", t)
     return fold(_STOPPED.sub(f" {_STOP} ", _LISTED.sub(f" {_LIST} ", t)))
 
@@ -151,12 +159,14 @@ class Texts:
 
 
 def split(texts: list[str | None]) -> Texts:
-    """Plain texts and the others are swept apart, since folding costs more than all else."""
-    clean = [_OURS.sub(" ", t or "") for t in texts]
-    plain = np.array([t.isascii() for t in clean], bool)
+    """ASCII texts and others, with and without markup or links, are swept apart, since folding and links cost more than all else."""
+    clean = [t or "" for t in texts]
+    if _OURS.search("".join(clean)):
+        clean = [_OURS.sub(" ", t) for t in clean]
+    group = np.array([2 * t.isascii() + linky(t) for t in clean], int)
     parts = []
-    for kind in (True, False):
-        at = np.flatnonzero(plain == kind)
+    for kind in range(4):
+        at = np.flatnonzero(group == kind)
         if at.size:
             tokens = _TOKEN.findall(_marked(f"\n{_END}\n".join(clean[i] for i in at)))
             code = np.fromiter(map(_CODES.__getitem__, tokens), np.int64, len(tokens))
@@ -251,19 +261,19 @@ def _duplicate_lines(t: Texts) -> np.ndarray:
     return 1 - np.bincount(once, minlength=t.starts.size) / np.maximum(lines, 1) - (lines == 0)
 
 
-def measures(t: Texts, statement: np.ndarray) -> dict[str, np.ndarray]:
-    """The five measures besides missing words, of each text; statement marks the words that do not count as top word."""
-    return {
-        "top_word_share": _top(t, ~statement),
-        "ngram_share": t.share(repeated(t)),
-        "duplicate_line_share": _duplicate_lines(t),
-        "link_share": t.share(t.marks & FORCED > 0),
-        "separator_density": t.share(t.marks & AFTER_LIST > 0),
-    }
+def mark(t: Texts) -> None:
+    """Add the marks of repeated n-grams and of lists."""
+    t.marks = t.marks | repeated(t) * np.uint8(REPEATED) | list_items(t) * np.uint8(LISTED)
+
 
+def measures(t: Texts, top: np.ndarray, duplicate: np.ndarray) -> dict[str, np.ndarray]:
+    """The five measures besides missing words, of each marked text."""
+    part = lambda m: t.share(t.marks & m > 0)
+    return {"top_word_share": top, "ngram_share": part(REPEATED), "duplicate_line_share": duplicate, "link_share": part(FORCED), "separator_density": part(AFTER_LIST)}
 
-def suspects(t: Texts) -> np.ndarray:
-    m = measures(t, t.marks & BRIEF > 0) | {"item_share": t.share(list_items(t))}
+
+def suspects(t: Texts, m: dict[str, np.ndarray]) -> np.ndarray:
+    m = m | {"item_share": t.share(t.marks & LISTED > 0)}
     out = np.zeros(t.starts.size, bool)
     for name, least in SUSPECT.items():
         out |= m[name] >= least
@@ -291,7 +301,10 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = b.column(2).to_pylist()
         for x, y in _by_chars(texts):
             t = split(texts[x:y])
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), b.column(1).slice(x, y - x), pa.array(suspects(t)), _slices(t.w, t.starts, t.ends), _slices(t.marks, t.starts, t.ends)], names=TOKENS.names)
+            mark(t)
+            top, duplicate = _top(t, t.marks & BRIEF == 0), _duplicate_lines(t)
+            suspect = suspects(t, measures(t, top, duplicate))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), b.column(1).slice(x, y - x), pa.array(suspect), pa.array(top), pa.array(duplicate), _slices(t.w, t.starts, t.ends), _slices(t.marks, t.starts, t.ends)], names=TOKENS.names)
 
 
 def _texts(b: pa.RecordBatch) -> Texts:
@@ -322,8 +335,8 @@ def _counted(b: pa.RecordBatch, know: Languages | None) -> pa.RecordBatch:
     u, inverse = np.unique(own, return_inverse=True)
     bad = suspect[t.doc[plain]]
     clean, stuffed = np.bincount(inverse, weights=~bad, minlength=u.size), np.bincount(inverse, weights=bad, minlength=u.size)
-    once = np.unique(np.stack([t.doc[plain][~bad], inverse[~bad]], 1), axis=0)[:, 1]
-    docs = np.bincount(once, minlength=u.size)
+    once = np.unique(inverse[~bad] * t.starts.size + t.doc[plain][~bad])
+    docs = np.bincount(once // max(t.starts.size, 1), minlength=u.size)
     of, word = (u >> np.uint64(32)).astype(int), (u & np.uint64(0xFFFFFFFF)).astype(np.int64)
     k = np.arange(labels.size)
     total = lambda x, by: np.bincount(by, weights=x, minlength=labels.size)
@@ -342,6 +355,17 @@ class Languages:
         self.missing: dict[str, float] = {}
         self.scarce: dict[str, float] = {}
         self.high: dict[str, dict[str, float]] = {"": dict(LEAST)}
+        # words by their first bits: the place of the only one, -1 for none, -2 for several
+        slot, at, n = np.unique(words >> np.uint32(SLOT), return_index=True, return_counts=True)
+        self.slots = np.full(1 << (32 - SLOT), -1, np.int32)
+        self.slots[slot] = np.where(n == 1, at, -2)
+
+    def find(self, w: np.ndarray) -> np.ndarray:
+        """Place of each word among the frequent ones, -1 if it is none."""
+        at = self.slots[w >> np.uint32(SLOT)]
+        several = np.flatnonzero(at == -2)
+        at[several] = np.minimum(np.searchsorted(self.words, w[several]), self.words.size - 1)
+        return np.where((at >= 0) & (self.words[at] == w), at, -1)
 
     def read(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language of each text (-1: unlisted), which of its words are statement words of that language, and which are known in any; ties go to the first by name."""
@@ -349,16 +373,16 @@ class Languages:
         statement = np.zeros(t.w.size, bool)
         if not self.words.size or not t.w.size:
             return lang, statement, statement.copy()
-        at = np.minimum(np.searchsorted(self.words, t.w), self.words.size - 1)
-        hit = self.words[at] == t.w
+        at = self.find(t.w)
         plain = t.marks & FORCED == 0
-        cover = np.stack([np.bincount(t.doc, weights=hit & plain & self.known[at, k], minlength=t.starts.size) for k in range(len(self.names))], 1)
+        hit = plain & (at >= 0)
+        some = np.flatnonzero(hit)
+        cover = np.stack([np.bincount(t.doc[some[own]], minlength=t.starts.size) for own in self.known[at[some]].T], 1)
         best = cover.argmax(axis=1)
-        words = np.bincount(t.doc, weights=plain, minlength=t.starts.size)
+        words = np.bincount(t.doc[plain], minlength=t.starts.size)
         listed = cover[np.arange(best.size), best] >= COVERED * np.maximum(words, 1)
         lang[listed] = best[listed]
         own = lang[t.doc]
-        hit &= plain
         return lang, hit & (own >= 0) & self.statement[at, np.maximum(own, 0)], hit
 
     def name(self, k: int) -> str:
@@ -400,7 +424,7 @@ def _histogram(sent):
             t = _texts(b)
             lang, statement, _ = know.read(t)
             use = (t.n >= SHORT) & ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            m = {"statement": t.share(statement), **measures(t, statement)}
+            m = {"statement": t.share(statement), **measures(t, *_kept(b))}
             for j, name in enumerate(names):
                 at = np.clip((m[name][use] * BINS).astype(int), 0, BINS - 1)
                 np.add.at(hist, (lang[use], j, at), 1)
@@ -435,10 +459,14 @@ def density(marked: np.ndarray, t: Texts, window: int = WINDOW) -> np.ndarray:
     return (total[high] - total[low]) / np.maximum(high - low, 1)
 
 
-def judge(t: Texts, know: Languages) -> dict[str, np.ndarray]:
-    """Features and verdict of each text."""
+def _kept(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("top", "duplicate")]
+
+
+def judge(t: Texts, know: Languages, top: np.ndarray, duplicate: np.ndarray) -> dict[str, np.ndarray]:
+    """Features and verdict of each marked text."""
     lang, statement, known = know.read(t)
-    m = measures(t, statement)
+    m = measures(t, top, duplicate)
     names = [know.name(k) for k in lang.tolist()]
     passed = np.zeros(t.starts.size, bool)
     for x in MEASURES:
@@ -448,7 +476,7 @@ def judge(t: Texts, know: Languages) -> dict[str, np.ndarray]:
     said = density(statement, t)
     quiet = np.where(passed[t.doc], said < scarce[t.doc], (said < missing[t.doc]) & (density(known, t) >= AROUND))
     forced = t.marks & FORCED > 0
-    marked = np.where(listed[t.doc], forced | quiet, (forced | repeated(t) | list_items(t)) & passed[t.doc])
+    marked = np.where(listed[t.doc], forced | quiet, (t.marks & (FORCED | REPEATED | LISTED) > 0) & passed[t.doc])
     share = t.share(marked)
     links = m["link_share"] >= SHARE
     return {"language": np.array(names, object), "words": t.n, "function_share": t.share(statement), **m, "stuffed_share": share, "found": (share >= SHARE) & ((t.n >= SHORT) | links) & (t.n > 0)}
@@ -458,7 +486,7 @@ def _judge(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know: Languages = sent.value
         for b in batches:
-            got = judge(_texts(b), know)
+            got = judge(_texts(b), know, *_kept(b))
             kinds = {"language": pa.string(), "words": pa.int32(), "found": pa.bool_()}
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[c].tolist() if c == "language" else got[c].astype(bool if c == "found" else float if c != "words" else np.int32), kinds.get(c, pa.float64())) for c in FEATURES.names[1:])], names=FEATURES.names)
 

@@ -366,7 +366,8 @@ def test_texts_are_split_together_as_one_by_one():
 
 def test_measures_by_hand():
     t = stuffing.split(["red hat red hat red hat", "One. Two. One. Three.", "https://a.test #x y z", "aa, bb, cc, dd, ee, ff"])
-    m = stuffing.measures(t, np.zeros(t.w.size, bool))
+    stuffing.mark(t)
+    m = stuffing.measures(t, stuffing._top(t, np.ones(t.w.size, bool)), stuffing._duplicate_lines(t))
     assert m["top_word_share"].tolist() == [0.5, 0.5, 0.25, 1 / 6] and m["ngram_share"].tolist()[0] == 1.0
     assert m["duplicate_line_share"].tolist() == [0, 0.25, 0, 0] and m["link_share"][2] == 0.5
     assert m["separator_density"][3] == pytest.approx(5 / 6) and stuffing.list_items(t).tolist() == [False] * 14 + [True] * 6
