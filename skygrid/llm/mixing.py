@@ -88,11 +88,19 @@ _FEATURE = _Features({_END: -1})
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words of each text, each once, one text after the other; and how many each has."""
-    words = _WORD.findall(fold(f"\n{_END}\n".join(t.replace(_END, " ") for t in texts)))
-    code = np.fromiter(map(_FEATURE.__getitem__, words), np.int64, len(words))
-    doc = np.cumsum(code < 0)
-    u = np.unique((doc << 16 | code)[code >= 0])
+    """Hashed words of each text, each once, one text after the other; and how many each has.
+
+    ASCII texts and others are swept apart, since folding the latter costs more than all else.
+    """
+    plain = np.array([t.isascii() for t in texts], bool)
+    keys = []
+    for kind in (True, False):
+        at = np.flatnonzero(plain == kind)
+        if at.size:
+            words = _WORD.findall(fold(f"\n{_END}\n".join(texts[i].replace(_END, " ") for i in at)))
+            code = np.fromiter(map(_FEATURE.__getitem__, words), np.int64, len(words))
+            keys.append((at[np.cumsum(code < 0)] << 16 | code)[code >= 0])
+    u = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     return (u & 0xFFFF).astype("<u2"), np.bincount(u >> 16, minlength=len(texts))
 
 
