@@ -258,7 +258,8 @@ def consolidate(files: DataFrame, objects: DataFrame, out_dir: str | None = None
     counts taken from the input beforehand; any difference raises. adds_nothing lists file_id of the files without a kept
     record. Whole files without a day cannot be placed: they are warned of and listed
     in undated, not in adds_nothing. An empty table gives an empty manifest. Nothing but
-    the output and the small results stays behind.
+    the output and the small results stays behind. Only rows by year and by output file
+    are broadcast; what grows with files or objects never passes the driver.
     """
     spark = files.sparkSession
     out_dir = out_dir or fresh_dir(spark, "consolidated")
@@ -275,7 +276,8 @@ def consolidate(files: DataFrame, objects: DataFrame, out_dir: str | None = None
     months = days.groupBy("object_id", year.alias("year"), month.alias("month")).agg(
         F.min("cat").alias("cat"), F.count(F.lit(1)).alias("days"), F.sum("cells").alias("cells"), F.sum(F.when(F.col("single"), F.col("cells")).otherwise(0)).alias("single"), F.count_if(~F.col("single")).alias("several")
     )
-    months = materialise(months.join(known, "object_id", "left"), "months", scratch)
+    # hinted: from sizes of files the planner takes many objects for few, and their axes would go through the driver
+    months = materialise(months.join(known.hint("merge"), "object_id", "left"), "months", scratch)
     # one row per calendar year: how many files its largest kind needs
     late = months.where("year is null").limit(1).count()  # whole files that show no day
     months = months.where("year is not null")
@@ -300,11 +302,14 @@ def consolidate(files: DataFrame, objects: DataFrame, out_dir: str | None = None
     # days of one version have exactly its records, those of several at least one block's
     if bad or got[1] != want[1] or got[0] < want[3] or (not want[2] and got[0] != want[0]):
         raise RuntimeError(f"consolidation is not whole: {bad} bad files, {got[0]} of {want[3]} records or more, {got[1]} of {want[1]} days")
-    nothing = files.select(F.col("file_id").cast("long").alias("file_id")).where(F.col("file_id").isNotNull()).distinct().join(written.where(F.col("file_id").isNotNull()).select("file_id"), "file_id", "left_anti")
     lost = settle(undated(files) if late else undated(files.limit(0)))
     if late:
         warnings.warn(f"{lost.count()} whole files show no day; their records are in no output", stacklevel=2)
-    nothing, manifest = settle(nothing.join(lost, "file_id", "left_anti")), settle(manifest)
+    # counted, not joined: no set of files is ever sent to the driver
+    marked = lambda df, kept: df.select(F.col("file_id").cast("long").alias("file_id"), F.lit(kept).alias("kept"))
+    ids = marked(files, 0).unionByName(marked(written, 1)).unionByName(marked(lost, 1)).where(F.col("file_id").isNotNull())
+    nothing = ids.groupBy("file_id").agg(F.max("kept").alias("kept")).where("kept = 0").select("file_id")
+    nothing, manifest = settle(nothing), settle(manifest)
     for path in scratch:
         remove(spark, path)
     return Consolidation(manifest, nothing, out_dir, lost)

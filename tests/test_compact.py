@@ -156,3 +156,21 @@ def test_nothing_is_left_behind(spark, tmp_path):
     left = set(os.listdir(folder)) - before
     assert all(x.count("-") == 4 and os.path.isdir(os.path.join(folder, x)) and all(y.startswith("rdd-") for y in os.listdir(os.path.join(folder, x))) for x in left)
     assert done.adds_nothing.count() == len(brute(ROWS)[1])
+
+
+def test_nothing_that_grows_with_files_or_objects_is_broadcast(spark, tmp_path):
+    import re
+
+    files_of(spark, [*ROWS, (20, 7, "nothing here", 1, payload(8, 9))]).write.parquet(str(tmp_path / "files"))  # of Parquet the planner believes the sizes
+    objects(spark).write.parquet(str(tmp_path / "objects"))
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    with pytest.warns(UserWarning, match="1 whole files show no day"):
+        done = compact.consolidate(spark.read.parquet(str(tmp_path / "files")), spark.read.parquet(str(tmp_path / "objects")))
+    bus.waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    plans = [x.physicalPlanDescription() for x in map(runs.apply, range(runs.size())) if x.executionId() not in before]
+    keys = {k for p in plans for k in re.findall(r"BroadcastHashJoin[^\n]*\nLeft keys \[\d+\]: \[(\w+)#", p)}
+    assert "year" in keys and keys <= {"year", "path"}
+    assert sorted(r[0] for r in done.adds_nothing.collect()) == brute(ROWS)[1] and [r[0] for r in done.undated.collect()] == [20]
